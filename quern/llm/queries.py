@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding
+import corpus_pipeline
+
+from . import decontaminate, mixing, near_dedup, quality_rules, sharding, token_output
 from .common import documents
 
 
@@ -15,6 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": lambda spark, d: sharding.op1(documents(spark, d)),
         "op2_mixing": lambda spark, d: mixing.op2(documents(spark, d)),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(documents(spark, d)),
+        "op7_benchmark_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op9_near_dedup": lambda spark, d: near_dedup.op9(documents(spark, d)),
+        "op10_token_output": lambda spark, d: token_output.op10(documents(spark, d)),
+        "pipeline": corpus_pipeline.run,
     }
 
 
