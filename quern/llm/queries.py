@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, near_dedup, quality_rules, sharding, token_output
+from . import decontaminate, importance, mixing, near_dedup, quality_rules, sharding, token_output, toxicity
 from .common import documents
 
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": lambda spark, d: sharding.op1(documents(spark, d)),
         "op2_mixing": lambda spark, d: mixing.op2(documents(spark, d)),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(documents(spark, d)),
+        "op5_importance": lambda spark, d: importance.op5(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op7_benchmark_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op8_toxicity": lambda spark, d: toxicity.op8(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op9_near_dedup": lambda spark, d: near_dedup.op9(documents(spark, d)),
         "op10_token_output": lambda spark, d: token_output.op10(documents(spark, d)),
         "pipeline": corpus_pipeline.run,
