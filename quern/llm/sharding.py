@@ -6,7 +6,7 @@ can prune by any of them.
 
 No global sort is needed. Rows are counted by (cell, salt); the counts give each such bin its offset on the curve,
 and a row's rank is its bin's offset plus its number in the bin. The salt, a hash of the row, splits cells that hold
-many rows (a hot source), so no task sees more than 1/64 of a cell.
+many rows (a hot source), so no task sees more than 1/32 of a cell.
 
 Defined cases: null source, lang, doc_id or text are values of their own (grid coordinate 0; text counts 0 bytes);
 an empty table gives no rows; repeated rows each get a slot of their own; other columns pass through.
@@ -17,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let, stored
+
 BITS = 4
-SALTS = 64
+SALTS = 32
 
 
 def _hashed(c: Column) -> Column:
@@ -52,13 +54,22 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
             lambda v, j: F.when((j == 0) & inverted, v.bitwiseXOR(q - 1)).when(~inverted & ((j == 0) | (j == i)) & (i != 0), v.bitwiseXOR(swap)).otherwise(v),
         )
 
-    x = F.aggregate(steps, F.array(*coords), undo)
-    gray = F.transform(x, lambda _, j: F.aggregate(F.slice(x, 1, j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
     tops = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    flip = F.aggregate(tops, F.lit(0), lambda t, q: F.when(F.get(gray, F.lit(n - 1)).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
     places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    bit = lambda p: F.get(gray, p["i"]).bitwiseXOR(flip)
-    return F.aggregate(places, F.lit(0), lambda h, p: h * 2 + F.call_function("getbit", bit(p), p["b"]).cast("int"))
+
+    def gray(x: Column) -> Column:
+        return F.transform(x, lambda _, j: F.aggregate(F.slice(x, 1, j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+
+    def flip(g: Column) -> Column:
+        last = F.get(g, F.lit(n - 1))
+        return F.aggregate(tops, F.lit(0), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+
+    def interleaved(g: Column) -> Column:
+        bit = lambda p, t: F.call_function("getbit", F.get(g, p["i"]).bitwiseXOR(t), p["b"]).cast("int")
+        return let(flip(g), lambda t: F.aggregate(places, F.lit(0), lambda h, p: h * 2 + bit(p, t)))
+
+    # Each step is bound to a variable; written inside one another they would be evaluated again at every use.
+    return let(F.aggregate(steps, F.array(*coords), undo), lambda x: let(gray(x), interleaved))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -72,9 +83,11 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = rows.withColumns({"__cell": cell, "__salt": F.pmod(F.xxhash64("doc_id", "text_crc32", "source"), F.lit(SALTS)).cast("int")})
 
     n = len(dims)
-    bins = rows.groupBy("__cell", "__salt").agg(F.count("*").alias("__n"))
+    # Stored, so that no filter on the curve index is moved below the count and evaluated for every row.
+    bins = stored(rows.groupBy("__cell", "__salt").agg(F.count("*").alias("__n")))
     coords = [F.shiftright("__cell", BITS * (n - 1 - i)).bitwiseAND(2**BITS - 1).cast("int") for i in range(n)]
-    bins = bins.withColumn("curve", hilbert_index(coords)).withColumn("__part", F.shiftright("curve", 6))
+    cells = stored(bins.select("__cell").distinct()).withColumn("curve", hilbert_index(coords))
+    bins = stored(bins.join(stored(cells), "__cell")).withColumn("__part", F.shiftright("curve", 6))
     # 1024 stretches of the curve are summed in one task; inside a stretch the sums run in parallel.
     parts = bins.groupBy("__part").agg(F.sum("__n").alias("__pn"))
     one = Window.partitionBy(F.lit(0))
