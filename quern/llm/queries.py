@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, importance, katz, mixing, near_dedup, quality_rules, sharding, token_output, toxicity
+from . import decontaminate, importance, katz, mixing, near_dedup, quality_rules, repeats, sharding, token_output, toxicity
 from .common import documents
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": lambda spark, d: sharding.op1(documents(spark, d)),
         "op2_mixing": lambda spark, d: mixing.op2(documents(spark, d)),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(documents(spark, d)),
+        "op4_repeats": lambda spark, d: repeats.op4(documents(spark, d)),
         "op5_importance": lambda spark, d: importance.op5(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op6_katz_backoff": lambda spark, d: katz.op6(documents(spark, d)),
         "op7_benchmark_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
