@@ -27,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Limit what passes to Python at once by bytes too: long texts would else fill memory by their number alone."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
+def hash_sample(df: DataFrame, column: str, total: int, wanted: int) -> DataFrame:
+    """About `wanted` of `total` rows, twice as many at most, those of least hash, in one partition; only these are moved."""
+    if total > wanted:
+        df = df.filter(F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int((1 << 40) * wanted / total))
+    return df.limit(2 * wanted).repartition(1)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

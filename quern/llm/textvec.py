@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)

@@ -9,8 +9,8 @@ alone. A block holds up to BLOCK_BYTES of frames:
 Blocks are the `payload` rows of a Parquet table (part, block, n_ids, payload), so any store that Spark reaches will do, and its committer covers lost
 executors. The dictionary lies beside them in a table of one row.
 
-Encoding: texts are cut before single spaces, which never changes the ids of a byte-level BPE whose words may begin with one space, and each
-distinct piece is encoded once per worker (a bounded cache).
+Encoding: texts are cut before single spaces and around single line ends, which never changes the ids of a byte-level BPE whose words may begin with one space, and each
+distinct piece is encoded once per worker (a bounded cache, keyed by 64-bit hashes); new pieces are encoded many at a time, as lines of a text.
 
 Defined cases: null text is empty (the end id only); null doc_ids come first; rows that repeat a doc_id follow each other; an empty table gives an empty
 table; a sample too small to train on gives an empty dictionary.
@@ -31,16 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import shared_dir
+from .common import bounded_batches, hash_sample, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: The dictionary is trained on this many documents, those of least hash, and on SAMPLE_BYTES of each at most.
+#: The dictionary is trained on about this many documents, those of least hash, and on SAMPLE_BYTES of each at most.
 SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 1 << 16
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 2_500_000
 LEVEL = 3
 MAGIC = b"QTB1"
 
@@ -50,7 +50,7 @@ _STARTS[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = F
 
 
 class Encoder:
-    """ids of many texts at once; pieces already seen are looked up."""
+    """ids of many texts at once; pieces already seen are looked up by their 64-bit hashes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,32 +62,75 @@ class Encoder:
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        newline = self._plain(["\n"])[0]
+        self.newline = newline[0] if len(newline) == 1 else None
         self._reset()
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, self.dtype)
         self.bounds = np.zeros(1 << 16, np.int64)
-
-    def _add(self, pieces: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)]
-        n = len(self.known)
-        flat = np.fromiter((i for ids in encoded for i in ids), self.dtype)
-        end = self.bounds[n]
-        while len(self.bounds) <= n + len(pieces):
+        self.count = 0
+        # (hashes ascending, numbers of their pieces): all but the latest, and the latest.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if new."""
+        out = np.full(len(h), -1, np.int64)
+        for keys, at in self.known:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                out = np.where(keys[k] == h, at[k], out)
+        return out
+
+    def _add(self, h: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
+        """h ascending; plain: which pieces may stand in a list with line ends between."""
+        n, size, flat = len(h), np.zeros(len(h), np.int64), []
+        text = [p.decode("utf-8", "surrogatepass") for p in pieces]
+        lines, rest = (np.flatnonzero(plain), np.flatnonzero(~plain)) if self.newline is not None else (np.zeros(0, np.int64), np.arange(n))
+        groups = [lines[i : i + 500] for i in range(0, len(lines), 500)]
+        order = []
+        for group, ids in zip(groups, self._plain(["\n".join([text[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            if len(ends) != len(group):
+                rest = np.concatenate([rest, group])
+                continue
+            size[group] = np.diff(np.append(-1, ends)) - 1
+            flat.append(np.delete(ids, ends[:-1]))
+            order.append(group)
+        for i, ids in zip(rest, self._plain([text[i] for i in rest]), strict=True):
+            size[i] = len(ids)
+            flat.append(np.array(ids, self.dtype))
+        order = np.concatenate([*order, rest]).astype(np.int64)
+        flat = np.concatenate(flat)
+        first, end = self.count, self.bounds[self.count]
+        while len(self.bounds) <= first + n:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         while len(self.ids) < end + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[end : end + len(flat)] = flat
-        self.bounds[n + 1 : n + 1 + len(pieces)] = end + np.cumsum([len(x) for x in encoded])
-        self.known.update((p, n + k) for k, p in enumerate(pieces))
+        self.bounds[first + 1 : first + 1 + n] = end + np.cumsum(size[order])
+        self.count += n
+        number = np.empty(n, np.int64)
+        number[order] = first + np.arange(n)
+        self.known[1] = _merged(self.known[1], (h, number))
+        if len(self.known[1][0]) > 1 << 18:
+            self.known = [_merged(*self.known), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts data[bounds[i] : bounds[i + 1] - 1]."""
-        if len(self.known) > CACHE_PIECES:
+        if self.count > CACHE_PIECES:
             self._reset()
         cut = np.zeros(len(data) + 1, bool)
-        cut[:-1][:-1] = (data[:-1] == 32) & _STARTS[data[1:]]
+        good = _STARTS[data]
+        cut[: len(data) - 1] = (data[:-1] == 32) & good[1:]
+        # A line end between two characters that are no spaces is a piece of its own.
+        alone = np.flatnonzero((data[1:-1] == 10) & good[:-2] & (data[:-2] < 128) & good[2:]) + 1
+        cut[alone] = True
+        cut[alone + 1] = True
         # The separator after each text is in no piece: texts begin and end at cuts of their own.
         cut[bounds[1:] - 1] = False
         cut[bounds[:-1]] = bounds[1:] - bounds[:-1] > 1
@@ -96,21 +139,28 @@ class Encoder:
         end = np.minimum(np.append(start[1:], len(data)), bounds[text + 1] - 1)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(bounds), np.int64)
-        h = textvec.span_hashes(textvec.prefix_hashes(data), start, end)
-        _, at, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        pieces = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-        if new := [p for p in pieces if p not in self.known]:
-            self._add(new)
-        known = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[back]
+        h, at, back = np.unique(textvec.span_hashes(textvec.prefix_hashes(data), start, end), return_index=True, return_inverse=True)
+        known = self._find(h)
+        if len(new := np.flatnonzero(known < 0)):
+            raw, s, e = data.tobytes(), start[at[new]], end[at[new]]
+            bad = np.append(0, np.cumsum(~good))
+            plain = bad[e] - bad[np.minimum(s + 1, e)] + ~good[s] * (data[s] != 32) == 0
+            self._add(h[new], [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], plain)
+            known = self._find(h)
+        known = known[back]
         size = self.bounds[known + 1] - self.bounds[known]
         to = np.cumsum(size)
         ids = self.ids[np.arange(to[-1]) + np.repeat(self.bounds[known] - to + size, size)]
-        total = np.zeros(len(bounds), np.int64)
-        np.add.at(total, text + 1, size)
+        total = np.bincount(text + 1, size, len(bounds)).astype(np.int64)
         return ids, np.cumsum(total)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.concatenate([a[0], b[0]])
+    order = np.argsort(h, kind="stable")
+    return h[order], np.concatenate([a[1], b[1]])[order]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -125,7 +175,7 @@ def _serialized(batches, path: str, end_id: int):
     enc = _encoder(path)
     for batch in batches:
         pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-        for rows, data, bounds in textvec.buffers(pairs):
+        for rows, data, bounds in textvec.buffers(pairs, 2 << 20):
             ids, at = enc.encode(data, bounds)
             full = np.insert(ids, at[1:], end_id)
             at = at + np.arange(len(at))
@@ -205,9 +255,9 @@ def _written(dictionary: bytes, path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) and write blocks in ascending doc_id order under the folder out."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    dictionary = sample.coalesce(1).mapInArrow(_trained(tokenizer, end_id), "dictionary binary")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = hash_sample(docs, "doc_id", docs.count(), SAMPLE_DOCS).sortWithinPartitions("doc_id", "text")
+    dictionary = sample.mapInArrow(_trained(tokenizer, end_id), "dictionary binary")
     dictionary.write.parquet(f"{out}/dictionary")
     first = docs.sparkSession.read.parquet(f"{out}/dictionary").first()
     raw = bytes(first.dictionary) if first else b""
