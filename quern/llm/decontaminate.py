@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .common import bounded_batches
 
 MIN_WORDS = 5
 #: A document is contaminated if this share of an item's words is covered.
@@ -172,7 +173,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS, limit:
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    out = docs.drop(*_FOUND.names)
+    out = bounded_batches(docs).drop(*_FOUND.names)
     for b in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], least))
@@ -183,7 +184,9 @@ def tiled(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS, limit:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS, limit: float = COVERAGE) -> DataFrame:
     """The documents that cover no item to the limit."""
-    return tiled(docs, benchmark, least, limit).filter(F.col("__coverage") < limit).drop(*_FOUND.names)
+    own = {c: f"__own{c}" for c in docs.columns if c in _FOUND.names}
+    kept = tiled(docs.withColumnsRenamed(own), benchmark, least, limit).filter(F.col("__coverage") < limit).drop(*_FOUND.names)
+    return kept.withColumnsRenamed({b: a for a, b in own.items()}).select(*docs.columns)
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored
+from .common import bounded_batches, stored
 
 BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
@@ -72,7 +72,7 @@ def _scored(shared):
             for w in textvec.words((None, t) for t in batch.column(1).to_pylist()):
                 at, bucket = _grams(w)
                 n.append(np.bincount(at, minlength=len(w.rows)))
-                score.append(np.bincount(at, ratio[bucket], len(w.rows)))
+                score.append(np.bincount(at, ratio[bucket], len(w.rows)).astype(np.float64))
             if n:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(score))], ["doc_id", "n_grams", "log_weight"])
 
@@ -107,7 +107,7 @@ def top(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, kept of every row."""
-    ratio = log_ratio(docs, labels)
+    ratio = log_ratio(bounded_batches(docs), labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), "doc_id long, n_grams long, log_weight double")
     u = (F.pmod(F.xxhash64("doc_id", "n_grams", "log_weight", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -125,10 +125,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows that share doc_id and text share their copies."""
-    kept = mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("__hash").alias("__h"), "copies").distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(7)))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__h")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    kept = mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("__hash").alias("__h"), F.col("copies").alias("__copies")).distinct()
+    keyed = docs.withColumn("__mix", F.xxhash64("doc_id", "text", F.lit(7)))
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mix") == F.col("__h")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:

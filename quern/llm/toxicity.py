@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import bounded_batches
 
 TRAIN_DOCS = 6000
 WINDOW, STRIDE = 64, 32
@@ -281,7 +282,7 @@ def _scored(shared):
     def run(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            score = [np.zeros(len(w.rows)) if scorer is None else scorer.scores(w) for w in textvec.words((None, t) for t in batch.column(1).to_pylist())]
+            score = [np.zeros(len(w.rows)) if scorer is None else scorer.scores(w) for w in textvec.words(((None, t) for t in batch.column(1).to_pylist()), limit=2 << 20)]
             if score:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(score), 0, 1))], ["doc_id", "score"])
 
@@ -302,7 +303,7 @@ def model(docs: DataFrame, labels: DataFrame) -> bytes:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(model(bounded_batches(docs), labels))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), "doc_id long, score double")
 
 
