@@ -104,4 +104,4 @@ def judged(docs: DataFrame, host: str = "source", rates: DataFrame | None = None
 
 def op3(docs: DataFrame) -> DataFrame:
     rows = stored(measured(docs.select("doc_id", "source", "text")).drop("text"))
-    return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

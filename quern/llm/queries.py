@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, importance, katz, mixing, near_dedup, quality_rules, repeats, sharding, token_output, toxicity
+from . import decontaminate, importance, katz, mixing, near_dedup, oracles, quality_rules, repeats, sharding, token_output, toxicity
 from .common import documents
 
 
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
