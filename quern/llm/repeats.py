@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored
+from .common import bounded_batches, stored
 from .katz import _pack, _unpack
 from .suffix_sort import suffix_array
 
 LENGTH = 100
 GRAM = 32
-DEALT_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+DEALT_BYTES = 24 << 20
+SHARD_BYTES = 2 << 20
 BATCH_BYTES = 12 << 20
 BROADCAST_IDS = 1_000_000
 _DEALT = "dest int, payload binary"
@@ -77,7 +77,8 @@ def _dealt(parts: int, length: int, gram: int):
     def flush(held: list):
         doc, begin, size, anchor, block = (np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True))
         ids = np.concatenate([h[0] for h in held])
-        dest = ((anchor >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+        # Anchors are least values, so they are mixed before they are dealt.
+        dest = ((textvec.mix(anchor) >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
         order = np.argsort(dest.astype(np.uint16) if parts < 1 << 16 else dest, kind="stable")
         cut = np.searchsorted(dest[order], np.arange(parts + 1))
         found = []
@@ -85,7 +86,7 @@ def _dealt(parts: int, length: int, gram: int):
             mine = order[cut[p] : cut[p + 1]]
             if len(mine):
                 own, back = np.unique(doc[mine], return_inverse=True)
-                # The low half of the anchor's hash: the high half is in the destination; a chance meeting only adds a candidate.
+                # The low half of the anchor's hash is enough: a chance meeting only adds a candidate.
                 found.append((p, _pack((ids[own], back.astype(np.min_scalar_type(len(own))), begin[mine].astype(np.min_scalar_type(int(begin[mine].max()))), size[mine].astype(np.uint16), anchor[mine].astype(np.uint32), block[mine]))))
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["dest", "payload"])
 
@@ -256,7 +257,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     uneven = rows.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if uneven:
         return _with_repeats(rows, length, gram)
