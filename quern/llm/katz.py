@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import bounded_batches, hash_sample
 
 K = 5
 HELD = 0.1
 END, BOS = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_500_000
 BATCH_DOCS = 60_000
-TOKENS_BYTES = 24 << 20
+TOKENS_BYTES = 18 << 20
 SAMPLE_DOCS = 2000
 _SCHEMA = "dest int, kind int, batch long, payload binary"
 
@@ -434,11 +435,12 @@ def _frequent(share: float):
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size, total = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = size or 0
     parts = max(4, -(-size // TOKENS_BYTES))
     # Words to be split: 8 * parts at most.
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").coalesce(1)
+    sample = hash_sample(docs, "doc_id", total, SAMPLE_DOCS).select("text")
     split = np.unique(np.array([r[0] for r in sample.mapInArrow(_frequent(1 / (8 * parts)), "h long").collect()], np.int64).view(np.uint64))
     order = ["dest", "kind", "batch"]
     dealt = docs.mapInArrow(_dealt(parts, split), _SCHEMA).repartition(parts, "dest").sortWithinPartitions(*order)
