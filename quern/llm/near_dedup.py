@@ -3,12 +3,15 @@
 Every text's set of word shingles gets a signature of CHUNKS * WIDTH symbols, each 16 bits of a MinHash value. Two sets of
 similarity J differ in a symbol with probability 1 - J, so all pairs within a signature distance D are wanted. By pigeonhole,
 two signatures with at most D = CHUNKS * (ERRORS + 1) - 1 unequal symbols have a chunk with at most ERRORS of them: indexing every chunk once for
-each choice of ERRORS symbols left out finds all such pairs. At J = 0.8 the distance has mean 25 and deviation 4.5; D is 49.
+each choice of ERRORS symbols left out finds all such pairs. At J = 0.8 the distance has mean 25 and deviation 4.5; D is 49. EXTRA more symbols of 8 bits sharpen the
+estimate for pairs found: of all 381, 76 differ at J = 0.8, with deviation 7.8, and pairs of more than FAR unequal ones are left out.
 
 Equal sets become one class first, so groups of copies cost one entry. Inside an index bucket no pairs are listed: each member is linked
-to the bucket's least one (a star), stars are confirmed on the full sets, and components of what was confirmed are formed. Then only buckets whose members
+to the bucket's least one (a star); of these links each member's most frequent one is confirmed on the full sets first, then those that are not connected yet, and
+components of what was confirmed are formed. Then only buckets whose members
 still lie in different components are looked at again, in blocks of bounded size, for pairs across components within distance D; these are confirmed
-the same way. Every pair within D is thus either confirmed, refused or already connected.
+the same way. Pairs are left out there whose intersection cannot be large enough: elements that a document shares with none of the documents in such buckets are
+counted first. Documents of the pairs found meet by connected regions, each text once for each pair of blocks. A pair is only reported by the first of the buckets that hold both. Every pair within D is thus either confirmed, refused or already connected.
 
 Rows travel as (key, id); texts are only fetched for documents of some candidate pair. Nothing is collected on the driver.
 
@@ -27,19 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, textvec
-from .common import stored
+from .common import bounded_batches, stored
 
 CHUNKS, WIDTH, ERRORS = 25, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+EXTRA = 256
+FAR = 111
+PATTERNS = list(combinations(range(WIDTH), WIDTH - ERRORS))
 #: Members of a bucket that one task compares with one another.
 BLOCK = 2000
+#: Documents of a region whose sets one task holds, twice.
+REGION_BLOCK = 500
 #: Ids up to this number are broadcast (8 MB) to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(9)
-_MULTIPLY = _RNG.integers(0, 1 << 62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 1 << 62, SYMBOLS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 63, SYMBOLS + EXTRA, dtype=np.uint64)
 
 
 def _sets(w: textvec.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +55,17 @@ def _sets(w: textvec.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """uint16 array (sets, SYMBOLS); rows of empty sets are 0."""
+    """uint8 array (sets, 2 * SYMBOLS + EXTRA): the long symbols' bytes, then the short ones; rows of empty sets are 0."""
     full = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, SYMBOLS), np.uint16)
+    long_, short = np.zeros((len(bounds) - 1, SYMBOLS), np.uint16), np.zeros((len(bounds) - 1, EXTRA), np.uint8)
     if len(full):
-        for k in range(SYMBOLS):
-            low = np.minimum.reduceat((values ^ _FLIP[k]) * _MULTIPLY[k], bounds[full])
-            out[full, k] = (textvec.mix(low) >> np.uint64(48)).astype(np.uint16)
-    return out
+        for k in range(SYMBOLS + EXTRA):
+            low = textvec.mix(np.minimum.reduceat((values ^ _FLIP[k]) * _MULTIPLY[k], bounds[full]))
+            if k < SYMBOLS:
+                long_[full, k] = (low >> np.uint64(48)).astype(np.uint16)
+            else:
+                short[full, k - SYMBOLS] = (low >> np.uint64(56)).astype(np.uint8)
+    return np.concatenate([long_.view(np.uint8), short], 1)
 
 
 def _signed(n: int):
@@ -78,23 +89,36 @@ def _signed(n: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+def _matrices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(long symbols, short symbols)"""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * SYMBOLS + EXTRA)
+    return np.ascontiguousarray(x[:, : 2 * SYMBOLS]).view(np.uint16), x[:, 2 * SYMBOLS :]
+
+
+def _near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which rows are within DISTANCE, and FAR on the whole."""
+    far = (a[0] != b[0]).sum(1)
+    out = far <= DISTANCE
+    some = np.flatnonzero(out)
+    pick = lambda x: x[some] if len(x) == len(far) else x
+    out[some] = far[some] + (pick(a[1]) != pick(b[1])).sum(1) <= FAR
+    return out
 
 
 def _index_keys(batches):
     """(key, rep) for every chunk and every choice of ERRORS symbols left out."""
-    keep = list(combinations(range(WIDTH), WIDTH - ERRORS))
+    n = len(PATTERNS)
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            rep, sig = part.column(0), _matrix(part.column(1)).astype(np.uint64)
-            keys = np.empty((len(rep), CHUNKS * len(keep)), np.uint64)
+            rep, sig = part.column(0), _matrices(part.column(1))[0].astype(np.uint64)
+            keys = np.empty((len(rep), CHUNKS * n), np.uint64)
             for c in range(CHUNKS):
-                for j, symbols in enumerate(keep):
-                    h = np.full(len(rep), c * len(keep) + j, np.uint64)
+                for j, symbols in enumerate(PATTERNS):
+                    h = np.full(len(rep), c * n + j, np.uint64)
                     for s in symbols:
                         h = textvec.mix(h * textvec._BASE + sig[:, c * WIDTH + s])
-                    keys[:, c * len(keep) + j] = h
+                    # The low byte tells the chunk and the choice.
+                    keys[:, c * n + j] = (h & ~np.uint64(255)) | np.uint64(c * n + j)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(rep.to_numpy(), keys.shape[1]))], ["key", "rep"])
 
 
@@ -133,35 +157,67 @@ def _close(batches):
     """Keep the pairs (a, b, na, nb, sa, sb) whose signatures are within DISTANCE."""
     for batch in batches:
         if batch.num_rows:
-            far = (_matrix(batch.column("sa")) != _matrix(batch.column("sb"))).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(far <= DISTANCE))
+            ok = _near(_matrices(batch.column("sa")), _matrices(batch.column("sb")))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _first_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first index entry that rows of a share with b, for ERRORS = 1."""
+    off = (a != b).reshape(-1, CHUNKS, WIDTH)
+    chunk = (off.sum(2) <= ERRORS).argmax(1)
+    inside = off[np.arange(len(off)), chunk]
+    # PATTERNS[j] leaves out symbol WIDTH - 1 - j; without an error the first one is shared.
+    return chunk * len(PATTERNS) + np.where(inside.any(1), WIDTH - 1 - inside.argmax(1), 0)
+
+
+def _elements(n: int):
+    """(rep, h) for every element of every text's set."""
+
+    def run(batches):
+        for batch in batches:
+            for w in textvec.words(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                bounds, values = _sets(w, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(w.rows, np.int64), np.diff(bounds))), pa.array(values.view(np.int64))], ["rep", "h"])
+
+    return run
 
 
 def _across(percent: int):
-    """From rows in (key, lo, hi) order: pairs of different roots within DISTANCE, of blocks lo and hi or inside one block."""
-
-    def pairs(t: pa.Table):
-        rep, root, n, block = (t.column(c).to_numpy() for c in ("rep", "root", "n", "block"))
-        sig = _matrix(t.column("sig").combine_chunks())
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        for i in range(len(rep)):
-            rest = slice(i + 1, None)
-            ok = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+    """From rows in (key, lo, hi) order: pairs of different roots within DISTANCE, of blocks lo and hi or inside one block, as (a, others); and (a, root) for
+    each document in such a pair, root being the least one it is connected with here."""
+
+    def found(t: pa.Table):
+        rep, root, n, common, block = (t.column(c).to_numpy() for c in ("rep", "root", "n", "common", "block"))
+        sig = _matrices(t.column("sig").combine_chunks())
+        lo, hi, key = (t.column(c)[0].as_py() for c in ("lo", "hi", "key"))
+        # One end of each pair is not in the largest component here.
+        roots, count = np.unique(root, return_counts=True)
+        main = root == roots[count.argmax()]
+        group = np.arange(len(rep))
+        for i in np.flatnonzero(~main):
+            ok = (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            # Two sets share at most what either shares with anyone.
+            ok &= (100 + percent) * np.minimum(common, common[i]) >= percent * (n + n[i])
+            ok[: i + 1] &= main[: i + 1]
             if lo != hi:
-                ok &= block[rest] != block[i]
-            j = np.flatnonzero(ok) + i + 1
+                ok &= block != block[i]
+            j = np.flatnonzero(ok)
+            if len(j):
+                j = j[_near((sig[0][j], sig[1][j]), (sig[0][i : i + 1], sig[1][i : i + 1]))]
             if len(j):
-                j = j[(sig[j] != sig[i]).sum(1) <= DISTANCE]
+                j = j[_first_bucket(sig[0][j], sig[0][i : i + 1]) == key & 255]
             if len(j):
-                yield np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+                group[np.isin(group, np.append(group[j], group[i]))] = min(group[i], group[j].min())
+                yield int(rep[i]), rep[j].tolist(), None
+        for i in np.flatnonzero(np.bincount(group, minlength=len(rep))[group] > 1):
+            yield int(rep[i]), None, int(rep[group == group[i]].min())
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        a, others, root = zip(*got, strict=True) if (got := list(found(t))) else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(root, pa.int64())], ["a", "others", "root"])
 
     def run(batches):
         held = None
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            found = [*pairs(t), (np.zeros(0, np.int64),) * 2]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -178,6 +234,54 @@ def _across(percent: int):
     return run
 
 
+def _home(ids, blocks: int) -> np.ndarray:
+    return (textvec.mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+_MET = "region long, lo int, hi int, id long, text string, others array<long>"
+
+
+def _to_blocks(batches):
+    """Documents (others null) go to all pairs of blocks with their own, lists of pairs to the pair that holds them."""
+    for batch in batches:
+        rows = []
+        for region, blocks, i, text, others in zip(*(batch.column(c).to_pylist() for c in ("region", "blocks", "id", "text", "others")), strict=True):
+            own = int(_home([i], blocks)[0])
+            if others is None:
+                rows += [(region, min(own, g), max(own, g), i, text, None) for g in range(blocks)]
+            else:
+                home = _home(others, blocks)
+                rows += [(region, min(own, int(g)), max(own, int(g)), i, None, np.array(others)[home == g].tolist()) for g in np.unique(home)]
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["region", "lo", "hi", "id", "text", "others"])
+
+
+def _met(n: int, percent: int):
+    """Confirmed links from rows in (region, lo, hi) order, documents before lists; one pair of blocks' sets are held at a time."""
+
+    def run(batches):
+        now, sets = None, {}
+        for batch in batches:
+            out = []
+            for region, lo, hi, i, text, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (region, lo, hi) != now:
+                    now, sets = (region, lo, hi), {}
+                if others is None:
+                    sets[i] = _sets(next(textvec.words([(0, text)])), n)[1]
+                    continue
+                mine = sets[i]
+                for j in others:
+                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(sets[j]) - both):
+                        out.append((min(i, j), max(i, j)))
+            a = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _confirmed(n: int, percent: int):
     """Keep the pairs (a, b, ta, tb) whose full sets are similar enough."""
 
@@ -223,31 +327,61 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
 
     keys = ends.select("rep", "sig").mapInArrow(_index_keys, "key long, rep long")
     stars = stored(keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, a long, b long"))
-    tried = stored(stars.filter(F.col("key").isNull()).select("a", "b").distinct())
-    linked = graph.components(verify(tried))
+    tried = stored(stars.filter(F.col("key").isNull()).groupBy("a", "b").agg(F.count("*").alias("shared")))
+    # First each member with the leader it shares most entries with; then what pairs are left between components.
+    nearest = stored(tried.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("__m")).select((-F.col("__m.a")).alias("a"), "b"))
+    linked = stored(graph.components(verify(nearest)))
+    linked = _joined(linked, verify(_apart(tried.select("a", "b").join(nearest, ["a", "b"], "left_anti"), linked)))
 
     # Buckets of three or more whose members are not all connected yet.
     members = stars.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("rep")).distinct()
     members = stored(members.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+    mixed = stored(mixed)
+    inside = members.join(mixed.select("key"), "key", "left_semi").select("rep").distinct()
+    # How many of its elements each of these documents shares with any other of them: the rest cannot be in a pair's intersection.
+    elements = _fetched(docs, inside.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).mapInArrow(_elements(n), "rep long, h long")
+    alone = elements.groupBy("h").agg(F.count("*").alias("__c"), F.min("rep").alias("rep")).filter("__c = 1").groupBy("rep").agg(F.count("*").alias("__alone"))
+    common = stored(ends.join(inside, "rep", "left_semi").join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("__alone", F.lit(0))).alias("common")))
     open_ = members.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.join(ends, "rep").select("key", F.least("block", "__g").alias("lo"), F.greatest("block", "__g").alias("hi"), "block", "rep", "root", "n", "sig")
-    across = open_.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep").mapInArrow(_across(percent), "a long, b long")
-    more = stored(across.distinct().join(tried, ["a", "b"], "left_anti"))
-    if not more.head(1):
+    open_ = open_.join(ends, "rep").join(common, "rep").select("key", F.least("block", "__g").alias("lo"), F.greatest("block", "__g").alias("hi"), "block", "rep", "root", "n", "common", "sig")
+    across = open_.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep").mapInArrow(_across(percent), "a long, others array<long>, root long")
+    across = stored(across)
+    if not across.head(1):
         return linked
-    found = verify(more)
+    # Documents in such pairs meet by regions of connected ones, once for each pair of blocks, not once for each pair.
+    region = graph.components(across.filter("others is null").select("a", F.col("root").alias("b")))
+    blocks = region.groupBy("root").agg(F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks"))
+    region = stored(region.join(blocks, "root").select("id", F.col("root").alias("region"), "blocks"))
+    texts = _fetched(docs, region.select(F.col("id").alias("a"), F.col("id").alias("b"))).dropDuplicates(["id"]).withColumn("others", F.lit(None).cast("array<long>"))
+    lists = across.filter("others is not null").select(F.col("a").alias("id"), F.lit(None).cast("string").alias("text"), "others")
+    rows = texts.select("id", "text", "others").union(lists).join(region, "id").select("region", "blocks", "id", "text", "others")
+    met = rows.mapInArrow(_to_blocks, _MET).repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", F.col("others").isNotNull(), "id")
+    return _joined(linked, stored(met.mapInArrow(_met(n, percent), "a long, b long").distinct()))
+
+
+def _rooted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """pairs with ra, rb: the roots of a and b."""
     root = lambda x: linked.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
-    found = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = graph.components(found)
-    linked = linked.join(joined.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return stored(linked.union(joined).groupBy("id").agg(F.min("root").alias("root")))
+    return pairs.join(root("b"), "b", "left").join(root("a"), "a", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs that are not connected yet."""
+    return stored(_rooted(pairs, linked).filter("ra <> rb").select("a", "b"))
+
+
+def _joined(linked: DataFrame, found: DataFrame) -> DataFrame:
+    """linked after the links found are added."""
+    tops = stored(graph.components(_rooted(found, linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    moved = linked.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return stored(moved.union(tops).groupBy("id").agg(F.min("root").alias("root")))
 
 
 def clusters(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"))
+    signed = stored(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"))
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = classes.join(full.select(F.col("doc_id").alias("rep"), "c1", "c2", "n_shingles", "sig"), ["c1", "c2", "n_shingles", "rep"]).select("rep", "n_shingles", "sig").dropDuplicates(["rep"])

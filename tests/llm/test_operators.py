@@ -302,6 +302,7 @@ def test_near_duplicates(spark, pandas_docs):
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     # A chain of variants around the threshold: many buckets with members in different components, compared in small blocks.
     monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "REGION_BLOCK", 20)
     r = np.random.default_rng(6)
     base = [f"w{i}" for i in range(120)]
     rows = []
