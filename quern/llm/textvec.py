@@ -8,12 +8,17 @@ split, so a chunk is as large as the longest text at least.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 CHUNK = 1 << 20
+# Arrays of 4 MB and more go back to the system when they are freed, so workers that wait do not hold what they once needed.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
