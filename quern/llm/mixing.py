@@ -26,6 +26,8 @@ MOST = 2
 NEWTON_STEPS = 40
 TOLERANCE = 1e-7
 LAST_PASSES = 5
+#: Per-source tables up to this many rows (some 10 MB) are broadcast.
+BROADCAST_SOURCES = 100_000
 BINS = 1024
 
 
@@ -104,21 +106,24 @@ def mixed(docs: DataFrame) -> DataFrame:
     histogram = stored(rows.groupBy("__s", "source", "size").agg(F.count("*").alias("__n")))
     sizes = histogram.groupBy("__s", "source").agg(F.sum(F.col("size") * F.col("__n")).alias("source_size"), F.sum("__n").alias("docs"))
     goals = stored(multipliers(histogram, stored(targets(sizes))))
+    # Tables of a row a source are broadcast if the sources are few, as counted here; else they are joined by a shuffle.
+    few = goals.count() <= BROADCAST_SOURCES
+    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
     u = F.pmod("__hash", F.lit(1 << 40)) / float(1 << 40)
-    rows = rows.join(goals, "__s").withColumn("__x", F.col("size") / F.col("__mean")).withColumn("rate", _rate()).withColumn("__v", F.col("rate") + u)
+    rows = rows.join(small(goals), "__s").withColumn("__x", F.col("size") / F.col("__mean")).withColumn("rate", _rate()).withColumn("__v", F.col("rate") + u)
     rows = stored(rows.select("doc_id", "__s", "__hash", "size", "source_size", "target", "__full", "rate", "__v"))
     shift = stored(_shift(rows, goals))
     copies = F.when(F.col("__full"), MOST).otherwise(F.least(F.greatest(F.floor(F.col("__v") + F.coalesce("__shift", F.lit(0.0))), F.lit(0)), F.lit(MOST))).cast("int")
-    rows = stored(rows.join(shift, "__s", "left").withColumn("copies", copies).drop("__v", "__shift"))
+    rows = stored(rows.join(small(shift), "__s", "left").withColumn("copies", copies).drop("__v", "__shift"))
     for _ in range(LAST_PASSES):
         short = rows.groupBy("__s").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("__short")).filter(F.abs("__short") >= 1)
-        fit = rows.join(short, "__s").filter(F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("__short")) & F.when(F.col("__short") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
+        fit = rows.join(small(short), "__s").filter(F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("__short")) & F.when(F.col("__short") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
         best = fit.groupBy("__s").agg(F.min(F.struct(F.abs(F.abs("__short") - F.col("size")).alias("off"), "__hash", "doc_id", F.signum("__short").cast("int").alias("by"))).alias("__b"))
         best = stored(best.select("__s", F.col("__b.doc_id").alias("__doc"), F.col("__b.__hash").alias("__h"), F.col("__b.by").alias("__by")))
         if not best.head(1):
             break
         hit = (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__h"))
-        rows = rows.join(best, "__s", "left").withColumn("copies", F.col("copies") + F.when(hit, F.col("__by")).otherwise(0)).drop("__doc", "__h", "__by")
+        rows = rows.join(small(best), "__s", "left").withColumn("copies", F.col("copies") + F.when(hit, F.col("__by")).otherwise(0)).drop("__doc", "__h", "__by")
         rows = stored(rows)
     return rows.withColumn("taken", F.col("copies") * F.col("size"))
 
