@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from . import sharding as s
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,5 +58,53 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS com
 """
 
 
+#: CRC-32's table, from its polynomial.
+_CRC_TABLE = """(SELECT list(v ORDER BY i) FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS r(i)
+))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; the table is the column t."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295]::BIGINT[], {data}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def _hilbert(cells: str, n: int, bits: int) -> str:
+    """cells (with coordinates x0, x1, ..) with the index h on the Hilbert curve: one subquery a step."""
+    out = cells
+    for b in range(bits - 1, 0, -1):
+        bit, low = 1 << b, (1 << b) - 1
+        out = f"(SELECT * REPLACE (CASE WHEN x0 & {bit} <> 0 THEN xor(x0, {low}) ELSE x0 END AS x0) FROM {out})"
+        for i in range(1, n):
+            swap = f"(xor(x0, x{i}) & {low})"
+            out = f"(SELECT * REPLACE (CASE WHEN x{i} & {bit} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {swap}) END AS x0, CASE WHEN x{i} & {bit} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}) FROM {out})"
+    for i in range(1, n):
+        out = f"(SELECT * REPLACE (xor(x{i}, x{i - 1}) AS x{i}) FROM {out})"
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN x{n - 1} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    places = [f"((xor(x{i}, f) >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n)]
+    return f"(SELECT *, {' + '.join(places)} AS h FROM (SELECT *, {flip} AS f FROM {out}))"
+
+
+_TOP = 2**s.BITS - 1
+SHARDING = f"""
+WITH k AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, source, lang, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, k),
+c AS (
+    SELECT doc_id, size, text_crc32, {_crc("concat_ws(':', doc_id, text_crc32, source)")} % {s.SALTS} AS salt,
+        CASE WHEN source IS NULL THEN 0 ELSE 1 + {_crc("source")} % {_TOP} END AS c0, CASE WHEN lang IS NULL THEN 0 ELSE 1 + {_crc("lang")} % {_TOP} END AS c1,
+        least(length(bin(size)) - 1, {_TOP})::BIGINT AS c2, CASE WHEN doc_id IS NULL THEN 0 ELSE 1 + floor(doc_id / 4096)::BIGINT % {_TOP} END AS c3
+    FROM d, k
+),
+g AS (SELECT DISTINCT c0, c1, c2, c3, c0::BIGINT AS x0, c1::BIGINT AS x1, c2::BIGINT AS x2, c3::BIGINT AS x3 FROM c),
+i AS (SELECT c0, c1, c2, c3, h FROM {_hilbert("g", 4, s.BITS)}),
+r AS (SELECT c.*, h AS curve, row_number() OVER (ORDER BY h, salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER () AS n FROM c JOIN i USING (c0, c1, c2, c3)),
+o AS (SELECT *, rank * 16 // n AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (rank - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, curve::INT AS curve FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_RULES, "op4_repeats": REPEATS, "op9_near_dedup": NEAR_DEDUP}
+    return {"op1_sharding": SHARDING, "op3_quality_rules": QUALITY_RULES, "op4_repeats": REPEATS, "op9_near_dedup": NEAR_DEDUP}

@@ -34,7 +34,7 @@ def dimensions(size: Column) -> list[Column]:
     return [
         _hashed(F.col("source")),
         _hashed(F.col("lang")),
-        F.least(F.floor(F.log2(size.cast("double"))), F.lit(top)).cast("int"),
+        F.least(F.length(F.bin(size)) - 1, F.lit(top)).cast("int"),
         F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.pmod(F.floor(F.col("doc_id") / 4096), F.lit(top))).cast("int"),
     ]
 
@@ -80,7 +80,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     cell = F.lit(0)
     for d in dims:
         cell = cell * 2**BITS + d
-    rows = rows.withColumns({"__cell": cell, "__salt": F.pmod(F.xxhash64("doc_id", "text_crc32", "source"), F.lit(SALTS)).cast("int")})
+    rows = rows.withColumns({"__cell": cell, "__salt": F.pmod(F.crc32(F.concat_ws(":", "doc_id", "text_crc32", "source").cast("binary")), F.lit(SALTS)).cast("int")})
 
     n = len(dims)
     # Stored, so that no filter on the curve index is moved below the count and evaluated for every row.
