@@ -63,6 +63,8 @@ class Catalog:
             raise InvalidQueryError(f"table {name} is there already")
         if self.root is None:
             raise InvalidQueryError("this catalog has no folder for tables")
+        if len({n.lower() for n in schema.names}) < schema.size:
+            raise InvalidQueryError("stored columns cannot differ in case only")
         path = f"{self.root}/{name}"
         if Store(self.spark).exists(f"{path}/schema.json"):
             table = KeyedTable.open(self.spark, path, self.config)

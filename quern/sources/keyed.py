@@ -71,8 +71,8 @@ class KeyedTable:
         named = df.select(*[quoted(c.name).cast(c.type.spark).alias(c.name) for c in self.schema.columns])
         with self._lock:
             self.flush()
-            latest = _latest(named.withColumn(SEQ, F.lit(self._next_seq()).cast("long")), self.schema)
-            self._add(self._write(latest.repartition(key).sortWithinPartitions(key), 0), ())
+            rows = named.withColumn(SEQ, F.lit(self._next_seq()).cast("long")).repartitionByRange(quoted(key))
+            self._add(self._write(_latest(rows, self.schema).sortWithinPartitions(quoted(key)), 0), ())
             self._compact_due()
 
     def flush(self) -> None:
@@ -164,10 +164,11 @@ class KeyedTable:
             self._merge(source + tuple(r for r in self._manifest.at(due[1]) if span.overlaps(r.low, r.high)), due[1])
 
     def _merge(self, runs: tuple[Run, ...], level: int) -> None:
-        rows = _latest(self._read(runs), self.schema)
         files = max(1, -(-sum(r.rows for r in runs) // self.config.file_rows))
-        key = self.schema.key.name
-        self._add(self._write(rows.repartitionByRange(files, quoted(key)).sortWithinPartitions(quoted(key)), level), runs)
+        key = quoted(self.schema.key.name)
+        # One shuffle: rows dealt by key ranges need no other for the aggregation by key.
+        rows = _latest(self._read(runs).repartitionByRange(files, key), self.schema)
+        self._add(self._write(rows.sortWithinPartitions(key), level), runs)
 
     # Reading
 

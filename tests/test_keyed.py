@@ -69,6 +69,15 @@ def test_no_deduplication_after_compaction(spark, tmp_path):
     assert "Aggregate" not in p and "GreaterThan(value,20)" in p
 
 
+def test_one_shuffle_a_merge(spark, tmp_path):
+    from quern.sources.keyed import SEQ, _latest
+
+    df = spark.createDataFrame([(*row(k), 1) for k in (1, 2, 2, 3)], SCHEMA.spark.add(SEQ, "long"))
+    merged = _latest(df.repartitionByRange(3, "id"), SCHEMA).sortWithinPartitions("id")
+    assert ids(merged.orderBy("id")) == [1, 2, 3]
+    assert merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_extreme_keys_and_values(spark, tmp_path):
     t = KeyedTable(spark, str(tmp_path / "t"), TableSchema.keyed([Column("id", Type.INT64, True, False), Column("x", Type.DOUBLE), Column("s", Type.STRING)]), Config(buffer_rows=2))
     for r in ((INT64_MIN, None, ""), (INT64_MAX, -1.5, None), (0, 0.0, "it's")):
