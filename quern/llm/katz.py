@@ -113,13 +113,16 @@ def _dealt(parts: int, split: np.ndarray):
         before = np.empty(len(w), np.uint64)
         before[1:] = wid[:-1]
         before[np.cumsum(size) - size] = len(words)
-        key = np.sort((wid << np.uint64(40)) | (before << np.uint64(16)) | doc)
+        # Word, word before and document in one number; a text of very many words is alone in its batch, which leaves it the bits.
+        for_doc, for_word = np.uint64(max(1, (len(ids) - 1).bit_length())), np.uint64(len(words).bit_length())
+        one = np.uint64(1)
+        key = np.sort((wid << (for_word + for_doc)) | (before << for_doc) | doc)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, times = key[new], np.diff(np.append(new, len(key)))
-        pair = key >> np.uint64(16)
+        pair = key >> for_doc
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         docs_of = np.diff(np.append(first, len(pair)))
-        wid, hid = (pair[first] >> np.uint64(24)).astype(np.int64), (pair[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        wid, hid = (pair[first] >> for_word).astype(np.int64), (pair[first] & ((one << for_word) - one)).astype(np.int64)
         h = np.append(words, BOS)[hid]
         dest = _home(words, parts)[wid]
         hot = np.isin(words, split)
@@ -127,7 +130,7 @@ def _dealt(parts: int, split: np.ndarray):
         order = np.argsort(dest.astype(np.uint16) if parts < 1 << 16 else dest, kind="stable")
         cut = np.searchsorted(dest[order], np.arange(parts + 1))
         start = np.cumsum(docs_of) - docs_of
-        doc = (key & np.uint64(0xFFFF)).astype(np.uint16)
+        doc = (key & ((one << for_doc) - one)).astype(np.uint16)
         # Training occurrences of the split words, for everyone.
         counts = np.zeros(len(split), np.int64)
         if len(split):
