@@ -38,6 +38,7 @@ SHARD_BYTES = 2 << 20
 BATCH_BYTES = 12 << 20
 BROADCAST_IDS = 1_000_000
 _DEALT = "dest int, payload binary"
+_FOUND = ["doc", "begin", "end", "kind", "anchor"]
 
 
 def _window_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -77,11 +78,18 @@ def _dealt(parts: int, length: int, gram: int):
     def flush(held: list):
         doc, begin, size, anchor, block = (np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True))
         ids = np.concatenate([h[0] for h in held])
+        # Of equal blocks here only the first is dealt: a passage that a third of all documents share is a row a batch, not a row a document.
+        order = np.lexsort((begin, ids[doc], block, anchor))
+        again = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (block[order][1:] == block[order][:-1])])[: len(order)]
+        known, order = order[again], order[~again]
+        found = []
+        if len(known):
+            found.append((int(ids[0]) % parts, _pack((ids[doc[known]], begin[known].astype(np.int32), (begin + size)[known].astype(np.int32)))))
+        doc, begin, size, anchor, block = (x[order] for x in (doc, begin, size, anchor, block))
         # Anchors are least values, so they are mixed before they are dealt.
         dest = ((textvec.mix(anchor) >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
         order = np.argsort(dest.astype(np.uint16) if parts < 1 << 16 else dest, kind="stable")
         cut = np.searchsorted(dest[order], np.arange(parts + 1))
-        found = []
         for p in range(parts):
             mine = order[cut[p] : cut[p + 1]]
             if len(mine):
@@ -111,8 +119,14 @@ def _dealt(parts: int, length: int, gram: int):
 def _compared(batches):
     """Per block that matters: kind 0, equal to an earlier one; kind 1, first of its kind under an anchor with others."""
 
-    def one(payloads: list[bytes]) -> pa.RecordBatch:
+    def one(payloads: list[bytes]):
         got = [_unpack(p) for p in payloads]
+        for doc, begin, end in (g for g in got if len(g) == 3):
+            none = np.zeros(len(doc), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin), pa.array(end), pa.array(none.astype(np.int32)), pa.array(none)], _FOUND)
+        got = [g for g in got if len(g) > 3]
+        if not got:
+            return
         doc = np.concatenate([g[0][g[1]] for g in got])
         begin, size, anchor, block = (np.concatenate([g[k] for g in got]).astype(kind) for k, kind in ((2, np.int64), (3, np.int64), (4, np.uint64), (5, np.uint64)))
         order = np.lexsort((begin, doc, block, anchor))
@@ -123,21 +137,20 @@ def _compared(batches):
         kinds = np.bincount(group, first)
         keep = ~first | (kinds[group] > 1)
         o = order[keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[o]), pa.array(begin[o].astype(np.int32)), pa.array((begin + size)[o].astype(np.int32)), pa.array(first[keep].astype(np.int32)), pa.array(anchor[o].astype(np.int64))],
-            ["doc", "begin", "end", "kind", "anchor"],
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[o]), pa.array(begin[o].astype(np.int32)), pa.array((begin + size)[o].astype(np.int32)), pa.array(first[keep].astype(np.int32)), pa.array(anchor[o].astype(np.int64))], _FOUND
         )
 
     now, held = None, []
     for batch in batches:
         for dest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if dest != now and held:
-                yield one(held)
+                yield from one(held)
                 held = []
             now = dest
             held.append(payload)
     if held:
-        yield one(held)
+        yield from one(held)
 
 
 def _cut(batches):

@@ -116,14 +116,16 @@ def brute_repeats(rows, length):
 def test_repeats(docs, pandas_docs, monkeypatch):
     monkeypatch.setattr(repeats, "DEALT_BYTES", 100_000)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 20_000)
-    out = repeats.op4(docs).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in out} == brute_repeats(zip(pandas_docs.doc_id, pandas_docs.text), 100)
+    want = brute_repeats(zip(pandas_docs.doc_id, pandas_docs.text, strict=True), 100)
+    for parts in (1, 5):  # in one batch, and in five that meet by anchor
+        out = repeats.op4(docs.repartition(parts, "doc_id")).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in out} == want
 
 
 def test_repeats_of_few_letters(spark):
     r = np.random.default_rng(3)
     rows = [(i, "".join(r.choice(list("ab"), r.integers(0, 400)))) for i in range(40)] + [(40, "a" * 500), (41, "b" + "a" * 300), (42, "ab" * 200)]
-    out = repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 20, 8).drop("spans").collect()
+    out = repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20, 8).drop("spans").collect()
     assert {x.doc_id: tuple(x)[1:] for x in out} == brute_repeats(rows, 20)
 
 
