@@ -1,18 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (a run of MIN_WORDS words, lower-cased) are tiled: the longest common runs of unmarked
-words are found by running Karp-Rabin hashes over both, verified, marked and never used again, until none of MIN_WORDS words is left. The
+Words are compared in a normal form: case folded by Unicode, accents composed, punctuation and symbols stripped from both ends.
+A document and a benchmark item that share a seed (a run of MIN_WORDS words) are tiled: the longest common runs of unmarked words are found by running Karp-Rabin hashes over both, verified, marked and never used again, until none of MIN_WORDS words is left. The
 share of the item's words under tiles is the coverage; since tiles may lie in any order, passages cut up and reordered are found too.
 
 Items travel to the executors in blocks of bounded size, one pass over the documents for each block; each row is decided where it is read, so
 there is no shuffle and no join.
 
-Defined cases: null or wordless texts match nothing; items of fewer than MIN_WORDS words match as a whole; a null doc_id or repeated rows are judged each
+Defined cases: null or wordless texts match nothing; a word of punctuation or symbols alone is none; items of fewer than MIN_WORDS words match as a whole; a null doc_id or repeated rows are judged each
 by itself; an empty benchmark or table gives coverage 0 or no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,43 @@ _FOUND = T.StructType(
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
+@cache
+def _marks() -> np.ndarray:
+    """Which code points are punctuation or symbols."""
+    return np.array([unicodedata.category(chr(c))[0] in "PS" for c in range(0x110000)])
+
+
+def _is_mark(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to punctuation or symbols."""
+    out = np.append(_marks()[:128], np.zeros(128, bool))[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | data[np.minimum(lead + k, len(data) - 1)] & 63, code)
+    mark = _marks()[code]
+    lead, size = lead[mark], size[mark]
+    for k in range(4):
+        out[lead[k < size] + k] = True
+    return out
+
+
+def words(pairs: Iterable[tuple[object, str | None]], limit: int = textvec.CHUNK) -> Iterator[textvec.Words]:
+    """textvec.words in the normal form."""
+    folded = ((row, unicodedata.normalize("NFC", (text or "").casefold())) for row, text in pairs)
+    for w in textvec.words(folded, lower=False, hashed=False, limit=limit):
+        n, mark = len(w.data), _is_mark(w.data)
+        at = np.arange(n)
+        ahead = np.minimum.accumulate(np.where(mark, n, at)[::-1])[::-1]
+        back = np.maximum.accumulate(np.where(mark, -1, at))
+        start, end = ahead[w.start], back[w.end - 1] + 1
+        some = start < w.end
+        w.start, w.end = start[some], end[some]
+        w.first = np.searchsorted(w.start, w.bounds)
+        w.hashes = textvec.span_hashes(textvec.prefix_hashes(w.data), w.start, w.end)
+        yield w
+
+
 def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums p and powers b: the Karp-Rabin value of words i .. i + s - 1 is (p[i + s] - p[i]) * b[n - i]."""
     n = len(h)
@@ -98,7 +139,7 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, str | None]], least: int):
         self.ids, self.words, self.least = [], [], least
         seeds: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for w in textvec.words(rows):
+        for w in words(rows):
             for i, row in enumerate(w.rows):
                 h = w.hashes[w.first[i] : w.first[i + 1]]
                 if len(h):
@@ -155,7 +196,7 @@ def _tiled(shared, limit: float):
         for batch in batches:
             best = []
             pairs = ((None, t) for t in batch.column("text").to_pylist())
-            for w in textvec.words(pairs):
+            for w in words(pairs):
                 best += items.best(w, limit)
             names = batch.schema.names
             if "__item" in names:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -221,6 +222,22 @@ def test_decontamination_in_blocks(spark, docs, data, monkeypatch):
     assert decontaminate.op7(docs, bench).orderBy("doc_id").collect() == one
 
 
+def test_decontamination_in_any_case(spark):
+    items = [(1, "Doesbo dora el ñ es, queasarjarr mente, ciónmiírr asesrr ños ueíos."), (2, "La. Éai «éonleeau» pour an éonqueê aivi ai, straße éoiré"), (3, "Paí.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shouted = [" ".join(w + "!!" for w in t.upper().split()) for _, t in items]
+    rows = [*enumerate(shouted), (3, unicodedata.normalize("NFD", shouted[0])), (4, "Doesbo — dora | el ñ es queasarjarr"), (5, "pai"), (6, "... !! «»"), (7, None), (8, "(PAÍ) x")]
+    out = {r.doc_id: (r.item_id, r.coverage) for r in decontaminate.op7(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {0: (1, 1.0), 1: (2, 1.0), 2: (3, 1.0), 3: (1, 1.0), 4: (1, 6 / 11), 5: (None, 0.0), 6: (None, 0.0), 7: (None, 0.0), 8: (3, 1.0)}
+
+
+def test_normal_form():
+    texts = ["¿Qué? “ÉÉ”... a—b it’s 日本。 😀x 😀 \U0001d400 _z_ $5", "", None, "  ", "Ünï—", "—"]
+    for limit in (1, 1 << 20):
+        got = [w.data[s:e].tobytes().decode() for w in decontaminate.words(enumerate(texts), limit) for s, e in zip(w.start, w.end, strict=True)]
+        assert got == ["qué", "éé", "a—b", "it’s", "日本", "x", "\U0001d400", "z", "5", "ünï"]
+
+
 def test_network_gradients():
     r, net = np.random.default_rng(0), toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
