@@ -5,10 +5,14 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier: in a doc
 Suffixes that may be equal must meet in one shard. Every LENGTH-byte window is assigned the least hash among its GRAM-byte strings (its anchor; winnowing,
 Schleimer et al. 2003), which equal windows share; neighbouring windows mostly share theirs too, so a text falls into blocks of windows with one anchor, of about
 2 / (LENGTH - GRAM) a byte. First, blocks are dealt by anchor, as hashes: every block that is equal to an earlier one goes, and anchors whose
-blocks differ are left (the edges of repeated passages). Of these, each distinct block's text is fetched once, and shards of them are sorted by external induced suffix
+blocks differ are left (the edges of repeated passages). Of these, each distinct block's text is fetched once, and shards of them are sorted by induced suffix
 sorting with common-prefix values (suffix_sort.py): runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest go.
 Last, the removed spans are merged by document.
 
+A shard's text is in memory while it is sorted, so shards are bounded. The blocks of an anchor that has more than SHARD_BYTES of them are cut into parts, by the windows' distance to
+the anchor: windows of nearby distances all hold the bytes they share (their core), so equal ones have equal cores, and parts are dealt by core. Parts of a core that still has too many
+are cut into single windows, which meet only equal ones. Of equal parts that one task reads at once only the first is dealt.
+
 Documents without repeats are never moved: their digests come from a scan. Anchors travel as packed arrays.
 
 Equality of whole blocks is by two 64-bit hashes, of the anchor and of the block. Where rows repeat a doc_id, or have none, all rows are first numbered in
@@ -23,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -36,6 +40,7 @@ GRAM = 32
 DEALT_BYTES = 24 << 20
 SHARD_BYTES = 2 << 20
 BATCH_BYTES = 12 << 20
+SPLIT_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
 _DEALT = "dest int, payload binary"
 _FOUND = ["doc", "begin", "end", "kind", "anchor"]
@@ -165,6 +170,45 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(b, pa.int32()), pa.array(r, pa.binary())], ["shard", "doc", "begin", "raw"])
 
 
+def _split(length: int, gram: int, step: int):
+    """Parts of blocks, from rows (doc, begin, raw), each of windows whose distances to the anchor lie in one range of `step`. kind 0: equal to an earlier part, raw null; kind 1: the first of its kind here."""
+
+    def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        seen, out = set(), []
+        at = np.arange(length - gram + 1)
+        for doc, begin, raw in sorted(held):
+            data = np.frombuffer(raw, np.uint8)
+            # The anchor of the first window, and so of all: as in blocks().
+            anchor = int((textvec.span_hashes(textvec.prefix_hashes(data[:length]), at, at + gram) >> np.uint64(32)).argmin())
+            prefix, s, windows = textvec.prefix_hashes(data), 0, len(raw) - length + 1
+            while s < windows:
+                core = anchor - (anchor - s) // step * step
+                e = min(windows, core + 1)
+                part = raw[s : e - 1 + length]
+                # Equal parts of one range: the distance counts as the same bytes may stand at another one.
+                kind = (anchor - s, part)
+                key = textvec.span_hashes(prefix, np.array([core]), np.array([core - step + 1 + length])) + np.uint64((anchor - s) // step)
+                out.append((int(kind not in seen), int(textvec.mix(key).view(np.int64)[0]), doc, begin + s, begin + s + len(part), None if kind in seen else part))
+                seen.add(kind)
+                s = e
+        k, key, d, b, e, r = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(b, pa.int32()), pa.array(e, pa.int32()), pa.array(r, pa.binary())], ["kind", "key", "doc", "begin", "end", "raw"])
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            for doc, begin, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((doc, begin, raw))
+                total += len(raw)
+                if total > SPLIT_BYTES:
+                    yield flush(held)
+                    held, total = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def equal_windows(texts: list[bytes], length: int, memory: int | None = None) -> np.ndarray:
     """Places in the texts, laid end to end with one byte between, whose window also starts in an earlier one; texts come in order of precedence."""
     from . import suffix_sort
@@ -252,20 +296,49 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     found = long_.mapInArrow(_dealt(parts, length, gram), _DEALT).repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(_compared, "doc long, begin int, end int, kind int, anchor long")
     found = stored(found)
     edges = found.filter("kind = 1")
-    wanted_bytes = edges.agg(F.sum(F.col("end") - F.col("begin"))).first()[0] or 0
-    whole = found.filter("kind = 0").select("doc", "begin", "end")
-    if not wanted_bytes:
-        return whole
-    shards = max(4, -(-wanted_bytes // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    wanted = edges.groupBy("doc").agg(F.collect_list(F.struct(shard.alias("shard"), "begin", "end")).alias("wanted"))  # at most one text's blocks in a row
-    wanted = stored(wanted)
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = wanted.select("doc")
-    texts = long_.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    cut = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "shard int, doc long, begin int, raw binary")
-    edge_spans = cut.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "begin").mapInArrow(_sorted_out(length), "doc long, begin int, end int")
-    return whole.union(edge_spans)
+    sizes = edges.groupBy("anchor").agg(F.sum(F.col("end") - F.col("begin")).alias("bytes"))
+    hot = stored(sizes.filter(F.col("bytes") > SHARD_BYTES).select("anchor"))  # at most one a SHARD_BYTES
+    spans = found.filter("kind = 0").select("doc", "begin", "end")
+    shards = _shards(edges, F.col("end") - F.col("begin"))
+    if not shards:
+        return spans
+
+    def cut(edges: DataFrame, shard: Column) -> DataFrame:
+        wanted = stored(edges.groupBy("doc").agg(F.collect_list(F.struct(shard.alias("shard"), "begin", "end")).alias("wanted")))  # at most one text's blocks in a row
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        ids = wanted.select("doc")
+        texts = long_.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+        return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "shard int, doc long, begin int, raw binary")
+
+    def sorted_out(rows: DataFrame, shards: int) -> DataFrame:
+        return rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "begin").mapInArrow(_sorted_out(length), "doc long, begin int, end int")
+
+    if not hot.head(1):
+        return spans.union(sorted_out(cut(edges, _dealt_to("anchor", shards)), shards))
+    spans = spans.union(sorted_out(cut(edges.join(F.broadcast(hot), "anchor", "left_anti"), _dealt_to("anchor", shards)), shards))
+    rows = cut(edges.join(F.broadcast(hot), "anchor", "left_semi"), F.lit(0)).select("doc", "begin", "raw")
+    for step in ((length - gram) // 8 + 1, 1):
+        parts = stored(rows.mapInArrow(_split(length, gram, step), "kind int, key long, doc long, begin int, end int, raw binary"))
+        spans = spans.union(parts.filter("kind = 0").select("doc", "begin", "end"))
+        parts = parts.filter("kind = 1")
+        if step > 1:
+            heavy = stored(parts.groupBy("key").agg(F.sum(F.octet_length("raw")).alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("key"))
+            rows = parts.join(F.broadcast(heavy), "key", "left_semi").select("doc", "begin", "raw")
+            parts = parts.join(F.broadcast(heavy), "key", "left_anti")
+        shards = _shards(parts, F.octet_length("raw"))
+        if shards:
+            spans = spans.union(sorted_out(parts.select(_dealt_to("key", shards).alias("shard"), "doc", "begin", "raw"), shards))
+    return spans
+
+
+def _shards(rows: DataFrame, size: Column) -> int:
+    """How many shards rows of such sizes fill; 0 if there are none."""
+    total = rows.agg(F.sum(size)).first()[0]
+    return max(4, -(-total // SHARD_BYTES)) if total else 0
+
+
+def _dealt_to(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Suffix arrays with common-prefix values by induced sorting in external memory.
+"""Suffix arrays with common-prefix values by induced sorting, in memory but for the queues.
 
 The scheme is that of Bingmann, Fischer and Osipov (Inducing Suffix and LCP Arrays in External Memory, 2013): suffixes are L or S by whether they are larger or smaller
 than the next one; the S suffixes that follow an L one (S*) split the text into pieces, whose names make a shorter text that is sorted by recursion, and the order of the
@@ -6,8 +6,9 @@ S* suffixes then induces first all L, then all S suffixes. Both inductions run o
 comes up, sends its left neighbour to that neighbour's bucket. The common-prefix value of two entries that follow each other in a bucket is one more than
 the least value scanned between their parents, kept on a stack of minima.
 
-Steps are numpy operations over whole bucket rounds. Queues and the L sequence hold at most `memory` entries in memory and the rest in unlinked
-scratch files of the task; the names of a text that has at most `base` pieces are sorted in memory by doubling.
+Steps are numpy operations over whole bucket rounds. The text, its types and names and the results are arrays in memory, so callers bound the text (repeats.py does).
+Queues and the L sequence hold at most `memory` entries in memory and the rest in unlinked scratch files of the task; the names of a text that has at most `base` pieces
+(or 2^21 - 2 different names) are sorted in memory by doubling, as those of a shard of repeats.py are; only larger ones by recursion.
 """
 
 from __future__ import annotations

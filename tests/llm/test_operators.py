@@ -123,6 +123,41 @@ def test_repeats(docs, pandas_docs, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in out} == want
 
 
+def test_repeats_under_a_hot_anchor(spark, monkeypatch, tmp_path):
+    # One passage between many different ones: all blocks at its edges are different and have its anchors.
+    shard = 8000
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    one = repeats._sorted_out
+
+    def noted(length):
+        run, folder = one(length), str(tmp_path)
+
+        def count(batches):
+            import collections
+            import tempfile
+
+            import pyarrow as pa
+
+            held, sizes = [pa.Table.from_batches([b]) for b in batches], collections.Counter()
+            for t in held:
+                for k, raw in zip(t.column("shard").to_pylist(), t.column("raw").to_pylist(), strict=True):
+                    sizes[k] += len(raw)
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+                f.write(str(max(sizes.values(), default=0)))
+            yield from run(b for t in held for b in t.to_batches())
+
+        return count
+
+    monkeypatch.setattr(repeats, "_sorted_out", noted)
+    r = np.random.default_rng(8)
+    text = lambda n: "".join(r.choice(list("abcdefgh ")) for _ in range(n))
+    passage, ends = text(125), [text(9) for _ in range(6)]
+    rows = [(i, text(110) + ends[i % 6] + passage + ends[i % 5] + text(60)) for i in range(400)]
+    out = repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("spans").collect()
+    assert {x.doc_id: tuple(x)[1:] for x in out} == brute_repeats(rows, 100)
+    assert 0 < max(int(f.read_text()) for f in tmp_path.iterdir()) < 3 * shard
+
+
 def test_repeats_of_few_letters(spark):
     r = np.random.default_rng(3)
     rows = [(i, "".join(r.choice(list("ab"), r.integers(0, 400)))) for i in range(40)] + [(40, "a" * 500), (41, "b" + "a" * 300), (42, "ab" * 200)]
