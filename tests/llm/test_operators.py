@@ -353,6 +353,17 @@ def test_near_duplicates(spark, pandas_docs):
     assert check_links(spark, rows, 2) and check_links(spark, rows, 5)
 
 
+def test_near_duplicates_filter_rarely_overrules_the_distance():
+    n, extra, distance, far = near_dedup.SYMBOLS, near_dedup.EXTRA, near_dedup.DISTANCE, near_dedup.FAR
+    p = lambda n, k: math.comb(n, k) * 0.2**k * 0.8 ** (n - k)
+    by_distance = sum(p(n, k) for k in range(distance + 1, n + 1))
+    by_filter = sum(p(n, k) * sum(p(extra, j) for j in range(far - k + 1, extra + 1)) for k in range(distance + 1))
+    assert by_filter < 0.2 * by_distance
+    a, b = ((np.zeros((1, n), np.uint16), np.zeros((1, extra), np.uint8)) for _ in range(2))
+    b[0][0, :distance], b[1][0, : 118 - distance] = 1, 1
+    assert near_dedup._near(a, b).all()
+
+
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     # A chain of variants around the threshold: many buckets with members in different components, compared in small blocks.
     monkeypatch.setattr(near_dedup, "BLOCK", 20)
