@@ -73,6 +73,20 @@ def grouped(df: DataFrame, items: tuple[Item, ...], groups: tuple[g.Expression,
     return out.select(*[F.col(f"__a{n}" if i.kind else f"__g{groups.index(i.expression)}").alias(i.name) for n, i in enumerate(items)])
 
 
+#: The most rows that a plan's own limit can hold.
+_PLAN_LIMIT = (1 << 31) - 1
+
+
 def limited(df: DataFrame, n: int | None) -> DataFrame:
-    """The first n rows; a limit beyond 2^31 - 1, the most a plan can hold, is none."""
-    return df if n is None or n >= (1 << 31) - 1 else df.limit(n)
+    """The first n rows. A limit beyond what a plan can hold is exact too: rows are counted first, and only if there are more are they numbered one by one."""
+    if n is None:
+        return df
+    if n <= _PLAN_LIMIT:
+        return df.limit(n)
+    return df if df.count() <= n else numbered_cut(df, n)
+
+
+def numbered_cut(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows for any n. No built-in operator numbers rows over all partitions in order without moving them to one."""
+    rows = df.rdd.zipWithIndex().filter(lambda x: x[1] < n).map(lambda x: x[0])
+    return df.sparkSession.createDataFrame(rows, df.schema)
