@@ -19,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set if all runs on this machine; else it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
@@ -35,25 +37,41 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def hash_sample(df: DataFrame, column: str, total: int, wanted: int) -> DataFrame:
-    """About `wanted` of `total` rows, twice as many at most, those of least hash, in one partition; only these are moved."""
-    if total > wanted:
-        df = df.filter(F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int((1 << 40) * wanted / total))
-    return df.limit(2 * wanted).repartition(1)
+def hash_sample(df: DataFrame, total: int, wanted: int, *columns: str) -> DataFrame:
+    """The 2 * wanted rows, of `total`, whose hash of these columns is least (all if there are fewer), in that order in one partition; only about these are moved."""
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    if total > 8 * wanted:
+        # All but about 4 * wanted rows go where they are read.
+        df = df.filter(h < int((1 << 40) * 4 * wanted / total))
+    return df.orderBy(h, *columns).limit(2 * wanted)
+
+
+#: Shuffle files of a stored table are deleted once it is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any store that Hadoop's file systems reach."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that stored() wrote in this application; results that still read them become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
 def let(value: Column, body) -> Column:

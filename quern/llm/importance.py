@@ -2,21 +2,22 @@
 
 Two generative models over hashed word n-grams (one and two words, lower-cased, BUCKETS buckets) are counted: the target from documents labelled good,
 the raw one from all documents. A document's log weight is the sum over its n-grams of the log ratio of the two; adding Gumbel noise and keeping the
-k largest samples k documents without replacement in proportion to their weights (Xie et al., 2023).
+k largest samples k rows without replacement in proportion to their weights (Xie et al., 2023).
 
 The target may be fitted on TARGET_DOCS labelled documents at most, those of least hash; the raw counts cover all documents. Both models are arrays of
 BUCKETS numbers whatever the input. k is the labelled share of good documents times the number of documents, unless given. The threshold of the top k is found
-exactly by two histogram passes and a ranking of the few rows that are left between them.
+exactly by histogram passes and a ranking of the few classes of equal rows that are left between them.
 
-Defined cases: null or wordless texts have weight 0; a null doc_id draws its noise as a value of its own; rows that are equal draw equal noise and ties at the threshold
-go by doc_id; with no good label the target equals the raw model; an empty table gives no rows.
+Defined cases: null or wordless texts have weight 0; a null doc_id draws its noise as a value of its own; rows that are equal draw equal noise, and of those at
+the threshold as many stay as make exactly k; other ties there go by doc_id; with no good label the target equals the raw model; an empty table gives no rows; columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -26,6 +27,10 @@ BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
 SMOOTHING = 0.5
 BINS = 1 << 16
+#: Classes of equal rows that one task puts in order.
+LAST_CLASSES = 1 << 16
+#: Copies of a row that are made from one array.
+STEP = 1 << 16
 
 
 def _grams(w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -79,30 +84,49 @@ def _scored(shared):
     return run
 
 
+def _copies(n: Column) -> Column:
+    """Numbers from 0 to n - 1, as arrays of bounded size."""
+    return F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / STEP) - 1, F.lit(0)))).alias("__chunk")
+
+
 def top(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """rows with kept: the k of largest key, ties by doc_id."""
-    edges = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not edges[2]:
+    """rows with kept: exactly k of them (all if there are fewer), those of largest key; equal keys go by doc_id, nulls first, then by n_grams. rows have doc_id, n_grams and other columns that follow from these.
+
+    Equal rows are one class with a count, so of the class at the threshold as many are kept as are wanted. The class is found by histograms over the key, and where very many keys are equal over doc_id and
+    n_grams, until few classes are left, which one task puts in order.
+    """
+    names = rows.columns
+    classes = stored(rows.groupBy(*names).agg(F.count("*").alias("__n")))
+    total = classes.agg(F.sum("__n")).first()[0] or 0
+    if k >= total:
         return rows.withColumn("kept", F.lit(True))
-    low, high = edges[0], edges[1]
-    before = 0  # rows above the bin in hand
-    for _ in range(2):
-        width = (high - low) / BINS or 1.0
-        bin_ = F.least(F.greatest(F.floor((F.col(key) - low) / width), F.lit(0)), F.lit(BINS - 1))
-        inside = rows.filter((F.col(key) >= low) & (F.col(key) <= high))
-        found = sorted(inside.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect(), reverse=True)
-        for r in found:
-            if before + r.n >= k:
-                low, high = r.lo, r.hi
+    if k <= 0:
+        return rows.withColumn("kept", F.lit(False))
+    place = [-F.col(key).cast("double"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("n_grams").cast("long")]
+    rest, before, few = classes, 0, False  # before: rows in front of `rest`
+    for value in place:
+        while not few:
+            low, high, count = rest.agg(F.min(value), F.max(value), F.count("*")).first()
+            few = count <= LAST_CLASSES
+            if few or low == high:
                 break
-            before += r.n
-    rest = rows.filter((F.col(key) >= low) & (F.col(key) <= high))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col(key).desc(), F.col("doc_id"), "n_grams")
-    last = rest.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") == k - before).select(key, "doc_id").first()
-    if last is None:
-        return rows.withColumn("kept", F.col(key) > high)
-    tie = (F.col(key) == last[0]) & (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= (last[1] if last[1] is not None else -(1 << 63)))
-    return rows.withColumn("kept", (F.col(key) > last[0]) | tie)
+            bin_ = F.least(F.floor((value.cast("double") - float(low)) / ((float(high) - float(low)) / BINS)), F.lit(BINS - 1))
+            found = rest.groupBy(bin_.alias("b")).agg(F.sum("__n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("b").collect()  # BINS rows at most
+            for r in found:
+                if before + r.n >= k:
+                    rest = rest.filter(value.between(r.lo, r.hi))
+                    break
+                before += r.n
+            if len(found) == 1:
+                break
+    order = F.struct(*[v.alias(f"p{i}") for i, v in enumerate(place)])
+    last = rest.select(order.alias("at"), "__n", F.sum("__n").over(Window.orderBy(order)).alias("to")).filter(F.col("to") >= k - before).orderBy("at").first()
+    here = F.struct(*[F.lit(v).cast(kind).alias(f"p{i}") for i, (v, kind) in enumerate(zip(last["at"], ("double", "long", "long"), strict=True))])
+    wanted = k - before - (last["to"] - last["__n"])
+    kept = F.when(order < here, F.col("__n")).when(order == here, F.lit(wanted)).otherwise(0)
+    out = classes.withColumn("__kept", kept).select("*", _copies(F.col("__n")))
+    out = out.select("*", F.explode(F.sequence(F.col("__chunk") * STEP, F.least((F.col("__chunk") + 1) * STEP, F.col("__n")) - 1)).alias("__i"))
+    return out.select(*names, (F.col("__i") < F.col("__kept")).alias("kept"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5) -> DataFrame:
@@ -115,8 +139,6 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     if k is None:
         share = labels.agg(F.avg("quality")).first()[0]
         k = round(rows.count() * (1.0 if share is None else share))
-    if k <= 0:
-        return rows.withColumn("kept", F.lit(False))
     return top(rows, "gumbel_key", k)
 
 

@@ -1,194 +1,377 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word trigrams.
 
-    P(w | h) = d(c(h,w)) c(h,w) / c(h)      if (h, w) was seen in training
-             = backoff(h) P(w)              otherwise (P(w) itself where h was never seen)
-    P(w)     = d(c(w)) c(w) / N             for a training word; the mass left over is the probability of an unknown word
+    P(w | a, b) = D3(c(a,b,w)) / c(a,b)       if (a, b, w) was seen in training
+                = backoff(a,b) P(w | b)       otherwise (P(w | b) itself where (a, b) was never seen)
+    P(w | b)    = D2(c(b,w)) / c(b)           if (b, w) was seen
+                = backoff(b) P(w)             otherwise (P(w) itself where b was never seen)
+    P(w)        = D1(c(w)) / N                for a training word; the mass left over is the probability of an unknown word
 
-d is the Good-Turing discount for counts up to K, fitted at each order from the counts of counts; larger counts lose HELD of one count, so every context keeps some mass.
-backoff(h) = (1 - sum of seen P(. | h)) / (1 - sum of P over the same words), so each distribution, unknown word included, sums to one.
+D is the Good-Turing discounted count, by counts up to K, fitted at each order from the counts of counts; larger counts lose HELD of one count, so every context
+keeps some mass. backoff(a,b) = (1 - sum of seen P(. | a,b)) / (1 - sum of P(. | b) over the same words), and likewise for backoff(b), so each distribution, unknown word
+included, sums to one.
 
-The tables are partitioned by hash and live where they are made; three packed exchanges evaluate the recursion for all tokens:
+Tables, all written to the shared folder:
 
-  words     tasks pack their tokens as distinct (word, context, document) with multiplicities, dealt by word. There c(w) and c(h,w) are known: the top case of
-            the recursion, and the lower case's P(w), are summed by document.
-  contexts  statistics of each context (by count class, so that discounts may follow later) and the held-out documents' contexts, dealt by
-            context. There c(h) and backoff(h) are known. Every task also gets all tasks' counts of counts, and fits the discounts.
-  batches   sums by document.
+  streams   the documents' tokens in batches of BATCH_TOKENS, coded by each batch's own words
+  counts    trigram counts, partitioned by their middle word b. A partition holds all that a word in the middle decides: c(a,b,w), c(b,w), c(a,b) and c(b), which is also the
+            word's own count, as each token but the end is once in the middle
+  backoff   of a row a word: c(b) and backoff(b), from the mass left at b and the probabilities of the words seen after it, summed by key
+  answers   per batch and partition: the counts and weights that the batch's trigrams asked for
 
-Words above a share of a bounded sample are dealt by (word, context) instead and their counts sent to all tasks, so a word that makes up a third of the text does not
-land in one task. Payloads are sized by the input's bytes; a task holds TOKENS_BYTES of text worth of tokens.
+Each distinct trigram of a batch is one question, dealt to its partition; the partition first counts all questions (by their training occurrences), then answers them from
+its table: the trigram's count and its context's, or, where it was not seen, backoff(a,b), c(b,w) and c(b). Batches meet their answers and evaluate the
+recursion for every token. A shuffle's rows are at most one a batch and partition, and hold BATCH_TOKENS / partitions questions each.
 
-Training documents' bigrams are all seen; crc32 of the doc_id's text modulo 5 marks the held-out ones.
+A word with more tokens than a partition should hold is split by the word before it, a pair with as many by the word after it too. What such a word's parts know in
+common only (c(b), c(b,w), and for such pairs their context's sums) is added up by key and joined back. Words and pairs are found by counting, in whole batches.
+
+crc32 of the doc_id's text modulo 5 marks the held-out documents, which are not counted.
 
 Defined cases: null text is empty (one end token); a null doc_id counts as the empty string in the fold rule; repeated rows count each; an
-empty table gives no rows; with no training document, all words are unknown.
+empty table gives no rows; with no training document, all words are unknown; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded_batches, hash_sample
+from .common import bounded_batches, stored
+from .packing import packed, spread, squeezed, unpacked
 
 K = 5
 HELD = 0.1
 END, BOS = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 1_500_000
-BATCH_DOCS = 60_000
-TOKENS_BYTES = 18 << 20
-SAMPLE_DOCS = 2000
-_SCHEMA = "dest int, kind int, batch long, payload binary"
-
-
-def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
-
-
-def _unpack(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
-
+BATCH_TOKENS = 2_500_000
+#: Bytes of text whose tokens a partition of the tables should hold.
+PART_BYTES = 16 << 20
 
-def _small(a: np.ndarray) -> np.ndarray:
-    """a in the narrowest unsigned type that holds it."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.min_scalar_type(top))
-
-
-def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    d, k, b, p = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.int64()), pa.array(p, pa.binary())], ["dest", "kind", "batch", "payload"])
 
+def is_training(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
-def _send(messages: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for m in messages:
-        held.append(m)
-        size += len(m[3])
-        if size > 4 << 20 or len(held) >= 1000:
-            yield _rows(held)
-            held, size = [], 0
-    if held:
-        yield _rows(held)
 
+# Batches of tokens
+
+
+@dataclass
+class Batch:
+    """Documents and their tokens, as places in the ascending hashes `words`; the first two words are END and BOS."""
+
+    ids: np.ndarray
+    nulls: np.ndarray
+    size: np.ndarray
+    train: np.ndarray
+    words: np.ndarray
+    code: np.ndarray
+
+    @classmethod
+    def of(cls, ids: list, hashes: np.ndarray, size: np.ndarray) -> Batch:
+        words, code = np.unique(hashes, return_inverse=True)
+        return cls(
+            np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), size, np.array([is_training(i) for i in ids]),
+            np.insert(words, 1, BOS), (code + (code > 0)).astype(np.int32),
+        )
+
+    def pack(self) -> bytes:
+        words, rank = _ranked(self.words, self.code)
+        return packed((self.ids, np.packbits(self.nulls), squeezed(self.size), np.packbits(self.train), words, squeezed(rank[self.code])))
+
+    @classmethod
+    def unpack(cls, payload: bytes) -> Batch:
+        ids, nulls, size, train, words, code = unpacked(payload)
+        words, place = _placed(words)
+        return cls(ids, np.unpackbits(nulls, count=len(ids)).astype(bool), spread(size), np.unpackbits(train, count=len(ids)).astype(bool), words, place[spread(code)])
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+
+    def context(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word before the one before, word before) of every token."""
+        start = np.cumsum(self.size) - self.size
+        out = []
+        last = self.code
+        for _ in range(2):
+            now = np.empty_like(last)
+            now[1:] = last[:-1]
+            now[start] = 1
+            out.append(now)
+            last = now
+        return out[1], out[0]
+
+    def questions(self, deal: Deal) -> tuple[Trigrams, np.ndarray, np.ndarray]:
+        """(distinct trigrams, their partitions, each token's trigram)"""
+        a, b = self.context()
+        t, back = Trigrams.distinct(self.words, a, b, self.code)
+        return t, deal.parts_of(t), back
+
+
+def _ranked(words: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words from the most used down, the rank of each): ranks of running text are small numbers mostly."""
+    order = np.argsort(-np.bincount(used, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], rank
+
+
+def _placed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words ascending, the place of each rank)"""
+    order = np.argsort(words)
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    return words[order], place
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all columns begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
+
+
+@dataclass
+class Trigrams:
+    """Distinct trigrams (a, b, w), as places in `words`, in the order of (b, w, a)."""
+
+    words: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    w: np.ndarray
+
+    @classmethod
+    def distinct(cls, words: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[Trigrams, np.ndarray]:
+        """(the distinct ones, which of them each row is)"""
+        bits = max(1, (len(words) - 1).bit_length())
+        u = lambda x: x.astype(np.uint64)
+        low, one = np.uint64((1 << bits) - 1), np.uint64(bits)
+        if 3 * bits <= 64:
+            key, back = np.unique((u(b) << (one + one)) | (u(w) << one) | u(a), return_inverse=True)
+            b, w, a = key >> (one + one), (key >> one) & low, key & low
+        else:
+            pair, at = np.unique((u(b) << np.uint64(32)) | u(w), return_inverse=True)
+            key, back = np.unique((u(at) << np.uint64(32)) | u(a), return_inverse=True)
+            pair, a = pair[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF)
+            b, w = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
+        return cls(words, *(x.astype(np.int32) for x in (a, b, w))), back
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def take(self, rows: np.ndarray) -> Trigrams:
+        return Trigrams(self.words, self.a[rows], self.b[rows], self.w[rows])
+
+    def pack(self, times: np.ndarray) -> bytes:
+        used, at = np.unique(np.concatenate([self.a, self.b, self.w]), return_inverse=True)
+        a, b, w = np.split(at, 3)
+        words, rank = _ranked(self.words[used], np.concatenate([a, w]))
+        new = np.zeros(len(a), bool)
+        new[_starts(b, w)] = True
+        return packed((words, squeezed(np.diff(b, prepend=0)), squeezed(np.where(new, rank[w] + 1, 0)), squeezed(rank[a]), squeezed(times)))
+
+    @classmethod
+    def unpack(cls, payload: bytes) -> tuple[Trigrams, np.ndarray]:
+        words, b, w, a, times = unpacked(payload)
+        words, place = _placed(words)
+        w = spread(w)
+        new = np.flatnonzero(w)
+        w = np.repeat(w[new] - 1, np.diff(np.append(new, len(w))))
+        return cls(words, place[spread(a)], np.cumsum(spread(b)).astype(np.int32), place[w]), spread(times)
+
+
+@dataclass
+class Deal:
+    """Which partition a trigram goes to. A frequent word has partitions of its own, numbered from `parts` on: `units` of them, by the word before, and for frequent pairs by the word after it too."""
+
+    parts: int
+    hot: np.ndarray  # ascending
+    first: np.ndarray
+    units: np.ndarray
+    pairs: np.ndarray  # hashes, ascending
+
+    @classmethod
+    def of(cls, parts: int, words: list[tuple[int, float]], pairs: list[tuple[int, int]]) -> Deal:
+        """words: (hash, how many partitions its tokens would fill); pairs: (word, word after)."""
+        words = sorted((np.uint64(h & (1 << 64) - 1), load) for h, load in words)
+        units = np.array([max(1, int(np.ceil(load))) for _, load in words], np.int64)
+        a, b = (np.array([x[k] & (1 << 64) - 1 for x in pairs], np.uint64) for k in (0, 1))
+        return cls(parts, np.array([h for h, _ in words], np.uint64), parts + np.cumsum(units) - units, units, np.sort(_pair(a, b)))
+
+    @property
+    def all(self) -> int:
+        return self.parts + int(self.units.sum())
+
+    def split(self, part: int) -> np.uint64 | None:
+        """The word of which this partition holds a part only."""
+        k = int(np.searchsorted(self.first, part, "right")) - 1 if part >= self.parts else -1
+        return self.hot[k] if k >= 0 and self.units[k] > 1 else None
+
+    @property
+    def split_words(self) -> np.ndarray:
+        return self.hot[self.units > 1]
+
+    def parts_of(self, t: Trigrams) -> np.ndarray:
+        home = ((textvec.mix(t.words) >> np.uint64(33)) * np.uint64(self.parts) >> np.uint64(31)).astype(np.int32)
+        out = home[t.b]
+        if len(self.hot):
+            which = np.full(len(t.words), -1)
+            which[np.isin(t.words, self.hot)] = np.searchsorted(self.hot, t.words[np.isin(t.words, self.hot)])
+            rows = np.flatnonzero(which[t.b] >= 0)
+            k, a = which[t.b[rows]], t.words[t.a[rows]]
+            by = textvec.mix(a + np.uint64(9))
+            more = np.isin(_pair(a, t.words[t.b[rows]]), self.pairs)
+            by = np.where(more, textvec.mix(by + t.words[t.w[rows]]), by)
+            out[rows] = self.first[k] + ((by >> np.uint64(11)) % self.units[k].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return textvec.mix(a * textvec._BASE + b)
+
+
+def _signed(h) -> np.ndarray:
+    return np.ascontiguousarray(h, np.uint64).view(np.int64)
+
+
+_HOT = pa.list_(pa.struct([("a", pa.int64()), ("h", pa.int64()), ("n", pa.int64())]))
+_STREAM = "batch long, tokens long, payload binary, hot array<struct<a:long,h:long,n:long>>"
+
+
+def _structs(kind: pa.DataType, *columns: np.ndarray) -> pa.Array:
+    """One list of structs, for one row."""
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    rows = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+
+
+def _streamed(share: float):
+    """Rows of the streams; hot: words that are this share of a batch's tokens, with a null, and such pairs (a, h)."""
+
+    def flush(number: int, ids: list, tokens: list, sizes: list) -> pa.RecordBatch:
+        b = Batch.of(ids, np.concatenate(tokens), np.concatenate(sizes))
+        least = max(share * len(b.code), 2)
+        before2, before = b.context()
+        n = np.bincount(before, minlength=len(b.words))
+        hot = np.flatnonzero(n >= least)
+        mine = np.isin(before, hot)
+        pair, count = np.unique(before2[mine].astype(np.int64) << 32 | before[mine], return_counts=True)
+        pair, count = pair[count >= least], count[count >= least]
+        first = pa.concat_arrays([pa.nulls(len(hot), pa.int64()), pa.array(_signed(b.words[pair >> 32]))])
+        second = _signed(np.concatenate([b.words[hot], b.words[pair & 0xFFFFFFFF]]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([len(b.code)]), pa.array([b.pack()], pa.binary()), _structs(_HOT, first, second, np.concatenate([n[hot], count]))], ["batch", "tokens", "payload", "hot"]
+        )
 
-def _messages(batches) -> Iterator[tuple[int, int, int, bytes]]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def run(batches):
+        number = TaskContext.get().partitionId() << 20
+        ids, tokens, sizes, total = [], [], [], 0
+        for batch in batches:
+            for w in textvec.words(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                hashes = np.where(w.hashes <= BOS, w.hashes + np.uint64(3), w.hashes)
+                hashes = np.insert(hashes, w.first[1:], END)
+                if ids and total + len(hashes) > BATCH_TOKENS:
+                    yield flush(number, ids, tokens, sizes)
+                    number += 1
+                    ids, tokens, sizes, total = [], [], [], 0
+                ids += w.rows
+                tokens.append(hashes)
+                sizes.append(np.diff(w.first) + 1)
+                total += len(hashes)
+        if ids:
+            yield flush(number, ids, tokens, sizes)
 
+    return run
 
-def is_training(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
-
-def _home(h: np.ndarray, parts: int) -> np.ndarray:
-    """The task that holds a hash; rises with the hash."""
-    return ((textvec.mix(h) >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int32)
-
-
-def _tokens(w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds by text) with the end token after each text."""
-    hashes = np.where(w.hashes <= BOS, w.hashes + np.uint64(3), w.hashes)
-    return np.insert(hashes, w.first[1:], END), w.first + np.arange(len(w.first))
-
-
-def _dealt(parts: int, split: np.ndarray):
-    """Kind 0: the batch's documents; 1: counts of split words; 2: tokens."""
-
-    def flush(number: int, ids: list, tokens: list, sizes: list):
-        w, size = np.concatenate(tokens), np.concatenate(sizes)
-        train = np.array([is_training(i) for i in ids])
-        doc = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-        words, wid = np.unique(w, return_inverse=True)
-        wid = wid.astype(np.uint64)
-        before = np.empty(len(w), np.uint64)
-        before[1:] = wid[:-1]
-        before[np.cumsum(size) - size] = len(words)
-        # Word, word before and document in one number; a text of very many words is alone in its batch, which leaves it the bits.
-        for_doc, for_word = np.uint64(max(1, (len(ids) - 1).bit_length())), np.uint64(len(words).bit_length())
-        one = np.uint64(1)
-        key = np.sort((wid << (for_word + for_doc)) | (before << for_doc) | doc)
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, times = key[new], np.diff(np.append(new, len(key)))
-        pair = key >> for_doc
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        docs_of = np.diff(np.append(first, len(pair)))
-        wid, hid = (pair[first] >> for_word).astype(np.int64), (pair[first] & ((one << for_word) - one)).astype(np.int64)
-        h = np.append(words, BOS)[hid]
-        dest = _home(words, parts)[wid]
-        hot = np.isin(words, split)
-        dest = np.where(hot[wid], _home(textvec.mix(h + np.uint64(9)), parts), dest)
-        order = np.argsort(dest.astype(np.uint16) if parts < 1 << 16 else dest, kind="stable")
-        cut = np.searchsorted(dest[order], np.arange(parts + 1))
-        start = np.cumsum(docs_of) - docs_of
-        doc = (key & ((one << for_doc) - one)).astype(np.uint16)
-        # Training occurrences of the split words, for everyone.
-        counts = np.zeros(len(split), np.int64)
-        if len(split):
-            mine = train[np.repeat(np.arange(len(size)), size)]
-            at, n = np.unique(w[mine & np.isin(w, split)], return_counts=True)
-            counts[np.searchsorted(split, at)] = n
-        yield number % parts, 0, number, _pack((np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), size, train))
-        shared = _pack(counts)
-        flags = np.packbits(train)
-        for p in range(parts):
-            if len(split):
-                yield p, 1, number, shared
-            mine = order[cut[p] : cut[p + 1]]
-            if not len(mine):
-                continue
-            n = docs_of[mine]
-            at = np.arange(n.sum()) + np.repeat(start[mine] - np.cumsum(n) + n, n)
-            own, back = np.unique(wid[mine], return_inverse=True)
-            yield p, 2, number, _pack((words[own], _small(back), h[mine], _small(n), doc[at], _small(times[at]), flags, len(ids)))
+def _dealt(deal: Deal):
+    """Each batch's questions, by partition."""
 
     def run(batches):
-        def all_():
-            number = TaskContext.get().partitionId() << 20
-            ids, tokens, sizes, total = [], [], [], 0
-            for batch in batches:
-                for w in textvec.words(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                    t, first = _tokens(w)
-                    if ids and (total + len(t) > BATCH_TOKENS or len(ids) + len(w.rows) > BATCH_DOCS):
-                        yield from flush(number, ids, tokens, sizes)
-                        number += 1
-                        ids, tokens, sizes, total = [], [], [], 0
-                    ids += w.rows
-                    tokens.append(t)
-                    sizes.append(np.diff(first))
-                    total += len(t)
-            if ids:
-                yield from flush(number, ids, tokens, sizes)
-
-        yield from _send(all_())
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = Batch.unpack(payload)
+                t, part, back = b.questions(deal)
+                times = np.bincount(back, b.train[b.doc], len(t)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(deal.all + 1))
+                some = np.flatnonzero(np.diff(cut))
+                for i in range(0, len(some), 64):
+                    parts = some[i : i + 64]
+                    found = [t.take(order[cut[p] : cut[p + 1]]).pack(times[order[cut[p] : cut[p + 1]]]) for p in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array(found, pa.binary())], ["part", "batch", "payload"])
 
     return run
 
 
-def _by_dest(batches) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """(dest, its messages in (kind, batch) order) from rows in that order."""
+def _groups(batches) -> Iterator[tuple]:
+    """(key, rows) of the runs of rows with one first column, from rows in its order; the rest of each row as a tuple."""
     now, held = None, []
-    for dest, kind, batch, payload in _messages(batches):
-        if dest != now:
-            if held:
+    for batch in batches:
+        for key, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and key != now:
                 yield now, held
-            now, held = dest, []
-        held.append((kind, batch, payload))
+                held = []
+            now = key
+            held.append(tuple(rest))
     if held:
         yield now, held
 
 
-def _class(c: np.ndarray) -> np.ndarray:
-    return np.minimum(c, K + 1).astype(np.int64)
+# Counts and constants
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """d_1 .. d_K from n[r], the number of events seen r times (Katz 1987), kept inside (0, 1)."""
+    r = np.arange(1, K + 1)
+    plain = (r - 0.5) / r
+    if not n[1] or (K + 1) * n[K + 1] >= n[1]:
+        return plain
+    a = (K + 1) * n[K + 1] / n[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a)
+    return np.clip(np.where(np.isfinite(d), d, plain), 0.05, 0.99)
+
+
+@dataclass
+class Constants:
+    n: int  # training tokens
+    v: int  # different ones
+    docs: int
+    d: list[np.ndarray]  # discounts of orders 1 to 3
+    unknown: float
+    split: dict[int, int]  # c(b) of the words that are split
+
+    def star(self, order: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of order n; 0 for 0."""
+        c = np.asarray(c)
+        small = np.append(0.0, self.d[order - 1] * np.arange(1, K + 1))
+        return np.where(c > K, c - HELD, small[np.minimum(c, K)])
+
+    def star_column(self, order: int, c: Column) -> Column:
+        out = c - HELD
+        for r in range(K, 0, -1):
+            out = F.when(c == r, F.lit(float(self.d[order - 1][r - 1] * r))).otherwise(out)
+        return out
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """P(w) by c(w)."""
+        return np.where(np.asarray(c) > 0, self.star(1, c) / max(self.n, 1), self.unknown)
 
 
 def _tally(c: np.ndarray) -> np.ndarray:
@@ -196,260 +379,304 @@ def _tally(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, K + 2).astype(np.int64), minlength=K + 3)
 
 
-def _grid(index: np.ndarray, cls: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """(n, K + 2) sums by index and count class."""
-    return np.bincount(index * (K + 2) + cls, weight, n * (K + 2)).reshape(n, K + 2)
-
-
-#: Columns of a document's sums.
-KNOWN, BASE, PART, UNSEEN, UNKNOWN = range(5)
-
-
-def _counted(parts: int, split: np.ndarray):
-    """Kind 0: documents; 1: counts of counts; 2: context statistics; 3: held-out contexts; 4: documents' sums."""
-
-    def one(dest: int, messages):
-        hot = sum((_unpack(p) for k, _, p in messages if k == 1), np.zeros(len(split), np.int64))
-        for k, b, p in messages:
-            if k == 0:
-                yield b % parts, 0, b, p
-        got = [(b, _unpack(p)) for k, b, p in messages if k == 2]
-        # The words and bigrams of all batches.
-        words, wid = np.unique(np.concatenate([g[0] for _, g in got] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        shift, wids, pairs, trains = 0, [], [], []
-        for _, (own, back, h, n, doc, times, flags, docs) in got:
-            at = wid[shift + back.astype(np.int64)]
-            shift += len(own)
-            train = np.unpackbits(flags, count=docs).astype(bool)
-            wids.append(at)
-            pairs.append(textvec.mix(words[at] * textvec._BASE + h))
-            trains.append(np.bincount(np.repeat(np.arange(len(h)), n), times * train[doc], len(h)).astype(np.int64))
-        empty = [np.zeros(0, np.int64)]
-        all_w, all_t = np.concatenate(wids or empty), np.concatenate(trains or empty)
-        _, one_, pid = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
-        c2 = np.bincount(pid, all_t, len(one_)).astype(np.int64)
-        c1 = np.bincount(all_w, all_t, len(words)).astype(np.int64)
-        is_split = np.isin(words, split)
-        c1[is_split] = hot[np.searchsorted(split, words[is_split])]
-
-        own = c1[~is_split]
-        n1, total, kinds = _tally(own), int(own.sum()), int((own > 0).sum())
-        top1 = int((own > K).sum())
-        if dest == 0:
-            n1 = n1 + _tally(hot)
-            total, kinds, top1 = total + int(hot.sum()), kinds + int((hot > 0).sum()), top1 + int((hot > K).sum())
-        starts = int(own[words[~is_split] == END].sum()) + (int(hot[split == END].sum()) if dest == 0 else 0)
-        stats = _pack((n1, _tally(c2), total, kinds, top1, starts))
-        for p in range(parts):
-            yield p, 1, dest, stats
-
-        # Statistics of contexts: counts, classes of their bigrams and of their words.
-        h_all = np.concatenate([g[2] for _, g in got] or [np.zeros(0, np.uint64)])
-        seen = np.flatnonzero(c2 > 0)
-        h, at = np.unique(h_all[one_[seen]], return_inverse=True)
-        cw = c1[all_w[one_[seen]]]
-        stat = np.column_stack([np.bincount(at, c2[seen], len(h)), np.bincount(at, cw, len(h)), _grid(at, _class(c2[seen]), len(h))[:, 1:], _grid(at, _class(cw), len(h))[:, 1:]]).astype(np.int64)
-        home = _home(h, parts)
-        order = np.argsort(home, kind="stable")
-        cut = np.searchsorted(home[order], np.arange(parts + 1))
-        for p in range(parts):
-            mine = order[cut[p] : cut[p + 1]]
-            if len(mine):
-                yield p, 2, dest, _pack((h[mine], [_small(stat[mine, j]) for j in range(stat.shape[1])]))
-
-        # Documents' sums, batch by batch, and the contexts of held-out ones.
-        shift = 0
-        for (b, (_, _, h, n, doc, times, flags, docs)), at in zip(got, wids, strict=True):
-            occ = np.repeat(np.arange(len(h)), n)
-            doc, times = doc.astype(np.int64), times.astype(np.float64)
-            train = np.unpackbits(flags, count=docs).astype(bool)[doc]
-            cw, cp = c1[at][occ], c2[pid[shift : shift + len(h)]][occ]
-            shift += len(h)
-            seen = cp > 0
-            lw = np.log10(np.maximum(np.where(cw > K, cw - HELD, cw), 0.5))
-            lp = np.log10(np.maximum(np.where(cp > K, cp - HELD, cp), 0.5))
-            # A training word is the context of what follows it, and its count that context's.
-            context = np.where(train & (words[at][occ] != END), np.log10(np.maximum(cw, 1)), 0.0)
-            known = cw > 0
-            sums = np.column_stack([
-                np.bincount(doc, times * known, docs), np.bincount(doc, times * np.log10(cw + 0.5), docs),
-                np.bincount(doc, times * (np.where(seen, lp, np.where(known, lw, 0.0)) - context), docs),
-                np.bincount(doc, times * ~seen, docs), np.bincount(doc, times * (~seen & ~known), docs),
-                _grid(doc, np.where(seen, _class(cp), 0), docs, times)[:, 1 : K + 1], _grid(doc, np.where(~seen, _class(cw), 0), docs, times)[:, 1 : K + 1],
-            ])
-            some = np.flatnonzero(sums.any(1))
-            yield b % parts, 4, b, _pack((_small(some), [sums[some, j] if j in (BASE, PART) else _small(sums[some, j]) for j in range(sums.shape[1])]))
-            held = np.flatnonzero(~train)
-            if len(held):
-                hh, back = np.unique(h[occ[held]], return_inverse=True)
-                key, at2 = np.unique(back.astype(np.int64) * 65536 + doc[held], return_inverse=True)
-                yes, no = np.bincount(at2, times[held] * seen[held]), np.bincount(at2, times[held] * ~seen[held])
-                home = _home(hh, parts)[key >> 16]
-                order = np.argsort(home, kind="stable")
-                cut = np.searchsorted(home[order], np.arange(parts + 1))
-                for p in range(parts):
-                    mine = order[cut[p] : cut[p + 1]]
-                    if len(mine):
-                        ks = key[mine]
-                        own, back2 = np.unique(hh[ks >> 16], return_inverse=True)
-                        yield p, 3, b, _pack((own, _small(back2), (ks & 65535).astype(np.uint16), _small(yes[mine]), _small(no[mine])))
+_COUNTED = "part int, counts binary, asks binary, stats array<long>, pairs array<struct<h:long,w:long,n:long>>, hot array<struct<a:long,h:long,w:long,n:long>>"
+_PAIRS = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("n", pa.int64())]))
+_TRIPLES = pa.list_(pa.struct([("a", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("n", pa.int64())]))
+
+
+def _counted(deal: Deal):
+    """A partition's table with the batches' questions as places in it, from rows (part, batch, payload). pairs, hot: of split words, what their partitions know in part."""
+
+    def one(part: int, messages: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        got = [Trigrams.unpack(p) for _, p in messages]
+        words, at = np.unique(np.concatenate([t.words for t, _ in got]), return_inverse=True)
+        at = np.split(at.astype(np.int32), np.cumsum([len(t.words) for t, _ in got])[:-1])
+        a, b, w = (np.concatenate([k[getattr(t, c)] for k, (t, _) in zip(at, got, strict=True)]) for c in "abw")
+        t, back = Trigrams.distinct(words, a, b, w)
+        c3 = np.bincount(back, np.concatenate([n for _, n in got]), len(t)).astype(np.int64)
+        places = np.split(back, np.cumsum([len(x) for x, _ in got])[:-1])
+        asks = packed([(batch, squeezed(np.diff(x, prepend=0))) for (batch, _), x in zip(messages, places, strict=True)])
+
+        pair, word = _starts(t.b, t.w), _starts(t.b)
+        c2, c1 = _summed(c3, pair), _summed(c3, word)
+        real = words[t.b[word]] != BOS
+        ends = int(c3[words[t.w] == END].sum())
+        none = np.zeros(0, np.int64)
+        known, triples = (none,) * 3, (none,) * 4
+        if deal.split(part) is None:
+            n1, n2 = _tally(c1[real]), _tally(c2)
+            own = [int(c1[real].sum()), int((c1[real] > 0).sum()), int((c1[real] > K).sum())]
+        else:
+            n1, n2, own = np.zeros(K + 3, np.int64), np.zeros(K + 3, np.int64), [0, 0, 0]
+            # Also pairs that are only asked for: other partitions may have seen them.
+            known = _signed(words[t.b[pair]]), _signed(words[t.w[pair]]), c2
+            some = np.flatnonzero((c3 > 0) & np.isin(_pair(words[t.a], words[t.b]), deal.pairs))
+            triples = _signed(words[t.a[some]]), _signed(words[t.b[some]]), _signed(words[t.w[some]]), c3[some]
+        stats = [*n1.tolist(), *n2.tolist(), *_tally(c3).tolist(), *own, ends]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([t.pack(c3)], pa.binary()), pa.array([asks], pa.binary()), pa.array([stats], pa.list_(pa.int64())), _structs(_PAIRS, *known), _structs(_TRIPLES, *triples)],
+            ["part", "counts", "asks", "stats", "pairs", "hot"],
+        )
 
     def run(batches):
-        yield from _send(m for dest, messages in _by_dest(batches) for m in one(dest, messages))
+        for part, messages in _groups(batches):
+            yield one(part, messages)
 
     return run
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """d_1 .. d_K from n[r], the number of events seen r times (Katz 1987), kept inside (0, 1)."""
-    r = np.arange(1, K + 1)
-    plain = (r - 0.5) / r
-    if not n[1] or (K + 1) * n[K + 1] >= n[1]:
-        return plain
-    a = (K + 1) * n[K + 1] / n[1]
+def constants(counts: DataFrame, totals: DataFrame | None) -> Constants:
+    """From the partitions' counts of counts; totals: (h, w, n) of the split words."""
+    size = 3 * (K + 3) + 4
+    x = np.array([v or 0 for v in counts.agg(*[F.sum(F.col("stats")[k]) for k in range(size)]).first()], np.int64)
+    n1, n2, n3 = (x[k * (K + 3) : (k + 1) * (K + 3)].copy() for k in range(3))
+    n, v, top, docs = (int(y) for y in x[3 * (K + 3) :])
+    split = {}
+    if totals is not None:
+        split = {r.h: r.n for r in totals.groupBy("h").agg(F.sum("n").alias("n")).collect()}  # a row a split word: fewer than there are partitions
+        for r in totals.groupBy(F.least("n", F.lit(K + 2)).alias("r")).count().collect():
+            n2[r.r] += r["count"]
+    more = [c for h, c in split.items() if h != int(BOS)] + ([docs] if docs else [])
+    n1 = n1 + _tally(np.array(more, np.int64))
+    n, v, top = n + sum(more), v + len(more), top + sum(c > K for c in more)
+    d = [discounts(np.asarray(c, float)) for c in (n1, n2, n3)]
+    left = ((1 - d[0]) * np.arange(1, K + 1) * n1[1 : K + 1]).sum() + HELD * top
+    return Constants(n, v, docs, d, float(left / n) if n else 1.0, split)
+
+
+class Table:
+    """A partition's counts with what follows from them; rows of a pair (b, w), a context (a, b) or a word b are runs or groups of the trigrams."""
+
+    def __init__(self, payload: bytes, known: Constants, totals: dict[int, int] | None = None):
+        self.t, self.c3 = Trigrams.unpack(payload)
+        t, words = self.t, self.t.words
+        self.pair, self.word = _starts(t.b, t.w), _starts(t.b)
+        self.pair_of = np.repeat(np.arange(len(self.pair)), np.diff(np.append(self.pair, len(t))))
+        self.word_of = np.repeat(np.arange(len(self.word)), np.diff(np.append(self.word, len(t))))
+        self.b, self.w = words[t.b[self.word]], words[t.w[self.pair]]
+        self.c2, self.c1 = _summed(self.c3, self.pair), _summed(self.c3, self.word)
+        if totals is not None:
+            self.c2 = np.array([totals.get(x, 0) for x in _signed(self.w).tolist()], np.int64)
+            self.c1 = np.array([known.split.get(x, 0) for x in _signed(self.b).tolist()], np.int64)
+        key, self.context_of = np.unique(self.word_of << 32 | t.a, return_inverse=True)
+        self.context_word, self.context_a = key >> 32, words[key & 0xFFFFFFFF]
+        self.cx = np.bincount(self.context_of, self.c3, len(key)).astype(np.int64)
+        self.known = known
+
+    def backoff(self) -> np.ndarray:
+        """log10 of each context's weight; 0 where it was not seen."""
+        seen = self.c3 > 0
+        s3, s2 = self.known.star(3, self.c3), self.known.star(2, self.c2[self.pair_of])
+        n = len(self.cx)
+        return weights(self.cx, np.bincount(self.context_of, s3, n), self.c1[self.context_word], np.bincount(self.context_of, np.where(seen, s2, 0.0), n))
+
+
+def weights(n, star, below, below_star) -> np.ndarray:
+    """log10 of (1 - star / n) / (1 - below_star / below) where n > 0, else 0."""
+    n, below = np.asarray(n, float), np.asarray(below, float)
+    some = n > 0
+    one = np.where(some, n, 1.0)
+    two = np.where(some, below, 1.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a)
-    return np.clip(np.where(np.isfinite(d), d, plain), 0.05, 0.99)
+        out = np.log10((one - star) / one) - np.log10((two - below_star) / two)
+    return np.where(some, out, 0.0)
 
 
-class Constants:
-    """Discounts, the unknown word's probability and backoff weights, from all tasks' counts of counts."""
-
-    def __init__(self, stats: list[tuple]):
-        n1, n2, total, kinds, top1, starts = (sum(x) for x in zip(*stats, strict=True))
-        self.n, self.v, self.starts = total, kinds, starts
-        self.d1, self.d2 = discounts(np.asarray(n1, float)), discounts(np.asarray(n2, float))
-        r = np.arange(1, K + 1)
-        left = ((1 - self.d1) * r * np.asarray(n1)[1 : K + 1]).sum() + HELD * top1
-        self.unknown = left / total if total else 1.0
-
-    def backoff(self, stat: np.ndarray) -> np.ndarray:
-        """log10 of each context's backoff weight; stat: count, sum of its words' counts, classes of bigrams, classes of words."""
-        r = np.arange(1, K + 1)
-        n, m = stat[:, 2 : K + 3], stat[:, K + 3 :]
-        left = (n[:, :K] * (1 - self.d2) * r).sum(1) + HELD * n[:, K]
-        seen = stat[:, 1] - (m[:, :K] * (1 - self.d1) * r).sum(1) - HELD * m[:, K]
-        return np.log10(left / stat[:, 0]) - np.log10(1 - seen / max(self.n, 1))
-
-
-def _backed(parts: int):
-    """Per batch, kind 0: its documents and the constants; 4: sums."""
-
-    def one(dest: int, messages):
-        known = Constants([_unpack(p) for k, _, p in messages if k == 1])
-        tables = [_unpack(p) for k, _, p in messages if k == 2]
-        h, at = np.unique(np.concatenate([t[0] for t in tables] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        stat = np.zeros((len(h), 2 * K + 4))
-        for j in range(stat.shape[1]):
-            stat[:, j] = np.bincount(at, np.concatenate([t[1][j] for t in tables] or [np.zeros(0)]), len(h))
-        count, weight = np.log10(np.maximum(stat[:, 0], 1)), known.backoff(stat) if len(h) else np.zeros(0)
-        for k, b, p in messages:
-            if k == 0:
-                yield 0, 0, b, _pack((_unpack(p), known))
-        now, sums = None, {}
-        for k, b, p in messages:
-            if k == 4:
-                if b != now and sums:
-                    yield 0, 4, now, _pack(_flat(sums))
-                    sums = {}
-                now = b
-                some, columns = _unpack(p)
-                _add(sums, some, columns)
-        if sums:
-            yield 0, 4, now, _pack(_flat(sums))
-        for k, b, p in messages:
-            if k == 3:
-                own, back, doc, yes, no = _unpack(p)
-                at = np.searchsorted(h, own)
-                hit = h[np.minimum(at, len(h) - 1)] == own if len(h) else np.zeros(len(own), bool)
-                at = np.where(hit, at, 0)
-                lc, lb = (np.where(hit, x[at], 0.0) if len(h) else np.zeros(len(own)) for x in (count, weight))
-                back, doc = back.astype(np.int64), doc.astype(np.int64)
-                part = np.bincount(doc, no * lb[back] - yes * lc[back])
-                some = np.flatnonzero(np.bincount(doc))
-                yield 0, 5, b, _pack((_small(some), part[some]))
+def _masses(deal: Deal, known: Constants):
+    """(h, n, star, low): per word its count, the sum of its pairs' discounted counts, and P of words seen after it, in so far as this partition knows them."""
 
     def run(batches):
-        yield from _send(m for dest, messages in _by_dest(batches) for m in one(dest, messages))
+        for batch in batches:
+            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                split = deal.split(part) is not None
+                table = Table(payload, known, {} if split else None)
+                t, words = table.t, table.t.words
+                seen = np.flatnonzero((table.cx > 0) & (table.b[table.context_word] != BOS))
+                if split:
+                    seen = seen[~np.isin(_pair(table.context_a[seen], table.b[table.context_word[seen]]), deal.pairs)]
+                h, at = np.unique(table.context_a[seen], return_inverse=True)
+                columns = [(h, np.zeros(len(h), np.int64), np.zeros(len(h)), np.bincount(at, known.p(table.c1[table.context_word[seen]]), len(h)))]
+                if not split:
+                    word = table.word_of[table.pair]
+                    n = len(table.word)
+                    end = np.bincount(word, (table.w == END) & (table.c2 > 0), n) * known.p(np.array([known.docs]))
+                    columns.append((words[t.b[table.word]], table.c1, np.bincount(word, known.star(2, table.c2), n), end))
+                h, n, star, low = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(n, pa.int64()), pa.array(star, pa.float64()), pa.array(low, pa.float64())], ["h", "n", "star", "low"])
 
     return run
 
 
-def _add(sums: dict, some: np.ndarray, columns: list[np.ndarray]) -> None:
-    n = int(some.max()) + 1 if len(some) else 0
-    old = sums.get("x", np.zeros((0, len(columns))))
-    if len(old) < n:
-        old = np.concatenate([old, np.zeros((n - len(old), len(columns)))])
-    for j, c in enumerate(columns):
-        old[some.astype(np.int64), j] += c
-    sums["x"] = old
-
-
-def _flat(sums: dict) -> np.ndarray:
-    return sums["x"]
-
-
-def _summed(batches):
-    def finish(number: int, messages):
-        (ids, nulls, size, train), known = next(_unpack(p) for k, p in messages if k == 0)
-        x = np.zeros((len(ids), 5 + 2 * K))
-        for k, p in messages:
-            if k == 4:
-                a = _unpack(p)
-                x[: len(a)] += a
-            elif k == 5:
-                some, part = _unpack(p)
-                x[some.astype(np.int64), PART] += part
-        score = x[:, PART] + x[:, 5 : 5 + K] @ np.log10(known.d2) + x[:, 5 + K :] @ np.log10(known.d1)
-        score -= (x[:, UNSEEN] - x[:, UNKNOWN]) * np.log10(max(known.n, 1))
-        score += x[:, UNKNOWN] * np.log10(known.unknown)
-        score -= np.where(train, np.log10(max(known.starts, 1)), 0.0)
-        base = x[:, BASE] - size * np.log10(known.n + 0.5 * (known.v + 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=nulls), pa.array(~train), pa.array(size.astype(np.int64)), pa.array(x[:, KNOWN].round().astype(np.int64)), pa.array(np.full(len(ids), known.n, np.int64)), pa.array(base), pa.array(score)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+_ANSWERED = "kind int, part int, batch long, payload binary, need array<long>"
 
-    now, held = None, []
-    for _, kind, batch, payload in _messages(batches):
-        if batch != now:
-            if held:
-                yield finish(now, held)
-            now, held = batch, []
-        held.append((kind, payload))
-    if held:
-        yield finish(now, held)
 
+def _answered(deal: Deal, known: Constants, contexts: dict[tuple[int, int], float]):
+    """kind 0: the partition's context weights; 1: a batch's answers; need: words whose own weights a batch needs. contexts: (n, log10 weight) of frequent pairs."""
+
+    def one(part: int, counts: bytes, asks: bytes, totals: list | None):
+        split = deal.split(part) is not None
+        table = Table(counts, known, {x["w"]: x["n"] for x in totals or []} if split else None)
+        weight, cx = table.backoff(), table.cx
+        if split and contexts:
+            for k in np.flatnonzero(np.isin(_pair(table.context_a, table.b[table.context_word]), deal.pairs)).tolist():
+                cx[k], weight[k] = contexts.get((int(_signed(table.context_a[k : k + 1])[0]), int(_signed(table.b[table.context_word[k : k + 1]])[0])), (0, 0.0))
+        yield 0, None, packed((table.context_a, table.b, squeezed(table.context_word), squeezed(cx), weight)), []
+        for batch, places in unpacked(asks):
+            at = np.cumsum(spread(places))
+            c3, context, word = table.c3[at], table.context_of[at], table.word_of[at]
+            new = _starts(word)
+            miss = np.flatnonzero(c3 == 0)
+            c2 = table.c2[table.pair_of[at[miss]]]
+            bare = word[miss][(c2 == 0) & (table.c1[word[miss]] > 0)]
+            answer = squeezed(c3), squeezed(np.where(c3 > 0, cx[context], 0)), squeezed(table.c1[word[new]]), squeezed(c2), weight[context[miss]]
+            yield 1, batch, packed(answer), _signed(table.b[np.unique(bare)]).tolist()
 
-def _frequent(share: float):
     def run(batches):
-        found, total = {}, 0
         for batch in batches:
-            for w in textvec.words((None, t) for t in batch.column(0).to_pylist()):
-                t, _ = _tokens(w)
-                total += len(t)
-                for h, n in zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True):
-                    found[h] = found.get(h, 0) + n
-        hot = np.array([h for h, n in found.items() if n >= share * total], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64))], ["h"])
+            for part, counts, asks, totals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind, number, payload, need = zip(*one(part, counts, asks, totals), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind, pa.int32()), pa.array([part] * len(kind), pa.int32()), pa.array(number, pa.int64()), pa.array(payload, pa.binary()), pa.array(need, pa.list_(pa.int64()))],
+                    ["kind", "part", "batch", "payload", "need"],
+                )
 
     return run
 
 
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_WEIGHTS = "array<struct<h:long,weight:double>>"
+
+
+def _evaluated(deal: Deal, known: Constants):
+    """Scores, from rows (batch, kind, part, payload, weights) in (batch, kind) order: 0 the batch, 1 answers, 2 weights of words."""
+
+    def one(rows: list[tuple]) -> pa.RecordBatch:
+        b = Batch.unpack(next(p for kind, _, p, _ in rows if kind == 0))
+        t, part, back = b.questions(deal)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(deal.all + 1))
+        value, c1 = np.zeros(len(t)), np.zeros(len(b.words), np.int64)
+        c1[0] = known.docs
+        bare = []
+        for kind, p, payload, _ in rows:
+            if kind != 1:
+                continue
+            mine = order[cut[p] : cut[p + 1]]
+            c3, cx, own, c2, weight = unpacked(payload)
+            c3, own = spread(c3), spread(own)
+            hit, miss = np.flatnonzero(c3), np.flatnonzero(c3 == 0)
+            value[mine[hit]] = np.log10(known.star(3, c3[hit])) - np.log10(spread(cx)[hit])
+            word = t.b[mine[_starts(t.b[mine])]]
+            c1[word] = own
+            miss, c2 = mine[miss], spread(c2)
+            value[miss] = weight
+            two = c2 > 0
+            value[miss[two]] += np.log10(known.star(2, c2[two])) - np.log10(c1[t.b[miss[two]]])
+            bare.append(miss[~two])
+        bare = np.concatenate(bare) if bare else np.zeros(0, np.int64)
+        if len(bare):
+            lower = np.zeros(len(b.words))
+            for kind, _, _, found in rows:
+                if kind == 2:
+                    h, x = np.array([f["h"] for f in found], np.int64).view(np.uint64), np.array([f["weight"] for f in found])
+                    lower[np.searchsorted(b.words, h)] = x
+            value[bare] += lower[t.b[bare]] + np.log10(known.p(c1[t.w[bare]]))
+        n, doc = len(b.ids), b.doc
+        base = np.log10(c1 + 0.5) - np.log10(known.n + 0.5 * (known.v + 1))
+        sums = [np.bincount(doc, x, n) for x in ((c1 > 0)[b.code], base[b.code], value[back])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(b.ids, mask=b.nulls), pa.array(~b.train), pa.array(b.size, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    def run(batches):
+        for _, rows in _groups(batches):
+            yield one(rows)
+
+    return run
+
+
+@dataclass
+class Model:
+    """The stored tables. counts: part, counts (Trigrams.unpack), asks. answers: kind 0 rows hold a partition's context weights. backoff: h, n, weight of each word."""
+
+    deal: Deal
+    known: Constants
+    streams: DataFrame
+    counts: DataFrame
+    answers: DataFrame
+    backoff: DataFrame
+
+
+def _frequent(streams: DataFrame, parts: int) -> Deal:
+    """Words with a quarter of a partition's tokens have partitions of their own."""
+    tokens = streams.agg(F.sum("tokens")).first()[0] or 0
+    least = tokens / parts / 4
+    hot = streams.select(F.explode("hot").alias("x")).groupBy("x.a", "x.h").agg(F.sum("x.n").alias("n")).filter(F.col("n") >= least).collect()  # 4 * parts words and pairs at most
+    return Deal.of(parts, [(r.h, r.n * parts / tokens) for r in hot if r.a is None], [(r.a, r.h) for r in hot if r.a is not None])
+
+
+def model(docs: DataFrame) -> Model:
+    """Count the training documents' trigrams, and answer what all documents ask."""
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // PART_BYTES))
+    streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM))
+    deal = _frequent(streams, parts)
+    dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal), "part int, batch long, payload binary").repartition(deal.all, "part").sortWithinPartitions("part", "batch")
+    counts = stored(dealt.mapInArrow(_counted(deal), _COUNTED))
+
+    some = len(deal.split_words) > 0
+    partial = counts.select("part", F.explode("pairs").alias("x")).select("part", "x.h", "x.w", "x.n")
+    totals = stored(partial.groupBy("h", "w").agg(F.sum("n").alias("n")).filter("n > 0")) if some else None
+    known = constants(counts, totals)
+
+    # Weights of words.
+    masses = counts.select("part", "counts").mapInArrow(_masses(deal, known), "h long, n long, star double, low double")
+    contexts = {}
+    if some:
+        star = known.star_column(2, F.col("n"))
+        end = F.sum(F.when(F.col("w") == int(END), F.lit(float(known.p(np.array([known.docs]))[0]))).otherwise(0.0))
+        masses = masses.unionByName(totals.groupBy("h").agg(F.sum("n").alias("n"), F.sum(star).alias("star"), end.alias("low")))
+        # Contexts of frequent pairs: what their partitions hold, added up; as many rows as there are such pairs.
+        triples = counts.select(F.explode("hot").alias("x")).select("x.a", "x.h", "x.w", F.col("x.n").alias("m")).join(totals, ["h", "w"])
+        sums = triples.groupBy("a", "h").agg(F.sum("m").alias("m"), F.sum(known.star_column(3, F.col("m"))).alias("s3"), F.sum(star).alias("s2")).collect()
+        below = np.array([known.split[r.h] for r in sums], np.int64)
+        weight = weights([r.m for r in sums], np.array([r.s3 for r in sums]), below, np.array([r.s2 for r in sums]))
+        contexts = {(r.a, r.h): (r.m, float(w)) for r, w in zip(sums, weight, strict=True)}
+        low = [(r.a, 0, 0.0, float(known.p(np.array([known.split[r.h]]))[0])) for r in sums if r.h != int(BOS)]
+        masses = masses.unionByName(docs.sparkSession.createDataFrame(low, masses.schema))
+    sums = masses.groupBy("h").agg(F.sum("n").alias("n"), F.sum("star").alias("star"), F.sum("low").alias("low")).filter("n > 0")
+    backoff = stored(sums.select("h", "n", (F.log10((F.col("n") - F.col("star")) / F.col("n")) - F.log10(1 - F.col("low"))).alias("weight")))
+
+    rows = counts.select("part", "counts", "asks")
+    empty = F.lit(None).cast("array<struct<w:long,n:long>>")
+    if some:
+        whole = partial.select("part", "h", "w").join(totals, ["h", "w"]).groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("totals"))  # a partition's own pairs
+        split = [p for p in range(deal.parts, deal.all) if deal.split(p) is not None]
+        mine = rows.filter(F.col("part") >= deal.parts).filter(F.col("part").isin(split)).join(whole, "part", "left")
+        rows = rows.filter(~F.col("part").isin(split)).withColumn("totals", empty).unionByName(mine.select("part", "counts", "asks", "totals"))
+    else:
+        rows = rows.withColumn("totals", empty)
+    answers = stored(rows.mapInArrow(_answered(deal, known, contexts), _ANSWERED))
+    return Model(deal, known, streams, counts, answers, backoff)
+
+
+def evaluated(m: Model) -> DataFrame:
+    """Every document's scores, from the stored tables."""
+    answers = m.answers.filter("kind = 1")
+    need = answers.select("batch", F.explode("need").alias("h")).distinct().join(m.backoff, "h").groupBy("batch").agg(F.collect_list(F.struct("h", "weight")).alias("weights"))  # words of one batch
+    none = F.lit(None).cast(_WEIGHTS).alias("weights")
+    rows = m.streams.select("batch", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("part"), "payload", none)
+    rows = rows.union(answers.select("batch", "kind", "part", "payload", none))
+    rows = rows.union(need.select("batch", F.lit(2).alias("kind"), F.lit(None).cast("int"), F.lit(None).cast("binary"), F.col("weights").cast(_WEIGHTS)))
+    n = max(1, m.streams.count())
+    return rows.repartition(2 * n, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(_evaluated(m.deal, m.known), _SCORED)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size, total = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    size = size or 0
-    parts = max(4, -(-size // TOKENS_BYTES))
-    # Words to be split: 8 * parts at most.
-    sample = hash_sample(docs, "doc_id", total, SAMPLE_DOCS).select("text")
-    split = np.unique(np.array([r[0] for r in sample.mapInArrow(_frequent(1 / (8 * parts)), "h long").collect()], np.int64).view(np.uint64))
-    order = ["dest", "kind", "batch"]
-    dealt = docs.mapInArrow(_dealt(parts, split), _SCHEMA).repartition(parts, "dest").sortWithinPartitions(*order)
-    counted = dealt.mapInArrow(_counted(parts, split), _SCHEMA).repartition(parts, "dest").sortWithinPartitions(*order)
-    backed = counted.mapInArrow(_backed(parts), _SCHEMA).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
-    return backed.mapInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return evaluated(model(docs))
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .common import bounded_batches, stored
-from .katz import _pack, _unpack
+from .packing import packed as _pack, unpacked as _unpack
 from .suffix_sort import suffix_array
 
 LENGTH = 100

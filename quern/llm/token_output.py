@@ -256,7 +256,7 @@ def _written(dictionary: bytes, path: str, end_id: int):
 def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) and write blocks in ascending doc_id order under the folder out."""
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = hash_sample(docs, "doc_id", docs.count(), SAMPLE_DOCS).sortWithinPartitions("doc_id", "text")
+    sample = hash_sample(docs, docs.count(), SAMPLE_DOCS, "doc_id", "text").coalesce(1)
     dictionary = sample.mapInArrow(_trained(tokenizer, end_id), "dictionary binary")
     dictionary.write.parquet(f"{out}/dictionary")
     first = docs.sparkSession.read.parquet(f"{out}/dictionary").first()

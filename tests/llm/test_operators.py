@@ -171,62 +171,107 @@ def test_importance(spark, data):
     assert out[out.quality == 1].kept.mean() > 0.95 and out[out.quality == 0].kept.mean() < 0.35
 
 
-def test_top_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("last", [1 << 16, 2])
+def test_top_is_exact(spark, monkeypatch, last):
     monkeypatch.setattr(importance, "BINS", 8)
+    monkeypatch.setattr(importance, "STEP", 3)
+    monkeypatch.setattr(importance, "LAST_CLASSES", last)
     r = np.random.default_rng(0)
-    rows = [(int(i), 1, float(x)) for i, x in enumerate(np.round(r.normal(size=300), 1))]
+    rows = [(None if i % 50 == 0 else int(i % 120), int(i % 3), float(x)) for i, x in enumerate(np.round(r.normal(size=200), 1))] + [(7, 1, 0.1)] * 20 + [(None, 1, 0.3)] * 9
     df = spark.createDataFrame(rows, "doc_id long, n_grams long, k double")
-    for k in (1, 17, 150, 299, 300):
-        want = {x[0] for x in sorted(rows, key=lambda x: (-x[2], x[0]))[:k]}
-        assert {x.doc_id for x in importance.top(df, "k", k).filter("kept").collect()} == want
+    order = lambda x: (-x[2], -math.inf if x[0] is None else x[0], x[1])
+    for k in (0, 1, 17, 90, 100, 110, len(rows) - 1, len(rows), 500):
+        out = importance.top(df, "k", k).collect()
+        assert collections.Counter(tuple(x)[:3] for x in out) == collections.Counter(rows)
+        assert collections.Counter(tuple(x)[:3] for x in out if x.kept) == collections.Counter(sorted(rows, key=order)[:k])
+
+
+class BruteKatz:
+    """Trigram backoff as the docstring of katz.py defines it."""
+
+    def __init__(self, texts, train):
+        self.c = [collections.Counter() for _ in range(3)]
+        for i in train:
+            w = ["<s>", "<s>", *texts[i]]
+            self.c[0].update(texts[i])
+            self.c[1].update(zip(w[1:], w[2:], strict=False))
+            self.c[2].update(zip(w, w[1:], w[2:], strict=False))
+        self.n = sum(self.c[0].values())
+        self.d = []
+        for counts in self.c:
+            n = collections.Counter(min(x, katz.K + 2) for x in counts.values())
+            self.d.append(katz.discounts(np.array([n[r] for r in range(katz.K + 3)], float)))
+        self.unknown = 1 - sum(self.star(0, x) for x in self.c[0].values()) / self.n
+        self.total, self.left, self.low = collections.Counter(), collections.Counter(), collections.Counter()
+        for order in (1, 2):
+            for g, x in self.c[order].items():
+                self.total[g[:-1]] += x
+                self.left[g[:-1]] += self.star(order, x)
+            for g in self.c[order]:
+                self.low[g[:-1]] += self.p(g[1:])
+
+    def star(self, order, c):
+        return c * self.d[order][c - 1] if c <= katz.K else c - katz.HELD
+
+    def p(self, g):
+        """Of the last word of g after the others."""
+        if len(g) == 1:
+            return self.star(0, self.c[0][g[0]]) / self.n if g[0] in self.c[0] else self.unknown
+        if g in self.c[len(g) - 1]:
+            return self.star(len(g) - 1, self.c[len(g) - 1][g]) / self.total[g[:-1]]
+        h = g[:-1]
+        return (1 - self.left[h] / self.total[h]) / (1 - self.low[h]) * self.p(g[1:]) if h in self.total else self.p(g[1:])
+
+
+def check_katz(rows, out):
+    texts = {i: [*lowered(t), "</s>"] for i, t in rows}
+    k = BruteKatz(texts, [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1])
+    c1 = k.c[0]
+    for h in list(k.total)[:3] + [x for x in k.total if len(x) == 2][:3] + [("never", "never"), ("never",)]:
+        assert math.isclose(sum(k.p((*h, w)) for w in c1) + k.p((*h, None)), 1, abs_tol=1e-9)
+    assert len(out) == len(texts)
+    for r in out:
+        w = texts[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in c1 for x in w), k.n, zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 0.5) / (k.n + 0.5 * (len(c1) + 1))) for x in w), rel_tol=1e-9)
+        padded = ["<s>", "<s>", *w]
+        assert math.isclose(r.score, sum(math.log10(k.p(g)) for g in zip(padded, padded[1:], padded[2:], strict=False)), rel_tol=1e-9)
 
 
 def test_katz(docs, pandas_docs, monkeypatch):
-    monkeypatch.setattr(katz, "TOKENS_BYTES", 60_000)
+    monkeypatch.setattr(katz, "PART_BYTES", 60_000)
     monkeypatch.setattr(katz, "BATCH_TOKENS", 20_000)
-    texts = {i: [*lowered(t), "</s>"] for i, t in zip(pandas_docs.doc_id, pandas_docs.text)}
-    train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    c1, c2 = collections.Counter(), collections.Counter()
-    for i in train:
-        c1.update(texts[i])
-        c2.update(zip(["<s>", *texts[i]], texts[i], strict=False))
-
-    def discounted(counts):
-        n = collections.Counter(counts.values())
-        d = katz.discounts(np.array([n[r] for r in range(katz.K + 3)], float))
-        return lambda c: c * d[c - 1] if c <= katz.K else c - katz.HELD
-
-    d1, d2, n = discounted(c1), discounted(c2), sum(c1.values())
-    unknown = 1 - sum(map(d1, c1.values())) / n
-    p1 = lambda w: d1(c1[w]) / n if w in c1 else unknown
-    total, left, low = collections.Counter(), collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (h, _), c in c2.items():
-        total[h] += c
-    for (h, w), c in c2.items():
-        left[h] -= d2(c) / total[h]
-        low[h] -= p1(w)
-
-    def p(w, h):
-        if (h, w) in c2:
-            return d2(c2[h, w]) / total[h]
-        return (left[h] / low[h] if h in total else 1.0) * p1(w)
-
-    for h in list(total)[:3] + ["never"]:
-        assert math.isclose(sum(p(w, h) for w in c1) + p(None, h), 1, abs_tol=1e-9)
-    for r in katz.op6(docs).collect():
-        w = texts[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in c1 for x in w), n, zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 0.5) / (n + 0.5 * (len(c1) + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(x, h)) for h, x in zip(["<s>", *w], w, strict=False)), rel_tol=1e-9)
-
-
-def test_katz_splits_hot_words(spark):
-    rows = [(i, "a a a b " * 20 + f"c{i}") for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {r.doc_id: r for r in katz.op6(df).collect()}
-    assert all(r.n_tokens == 82 for r in one.values())
-    n = sum(82 for r in one.values() if not r.held_out)
-    assert {r.train_tokens for r in one.values()} == {n}
+    check_katz(list(zip(pandas_docs.doc_id.tolist(), pandas_docs.text, strict=True)), katz.op6(docs).collect())
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_katz_splits_hot_words(spark, monkeypatch, hot):
+    # A word that is most of the text, with itself as the most frequent pair.
+    monkeypatch.setattr(katz, "PART_BYTES", 400)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 500)
+    r = np.random.default_rng(hot)
+    rows = [(i, " ".join("a" if r.random() < 0.3 * hot else str(r.choice(["b", "c", f"x{r.integers(40)}"])) for _ in range(r.integers(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = katz.model(df)
+    assert len(m.deal.split_words) and len(m.deal.pairs)
+    check_katz(rows, katz.evaluated(m).collect())
+
+
+def test_katz_tables(spark, docs, pandas_docs):
+    # The stored tables hold the model: distributions from them sum to one.
+    m = katz.model(docs)
+    texts = {i: [*lowered(t), "</s>"] for i, t in zip(pandas_docs.doc_id, pandas_docs.text, strict=True)}
+    k = BruteKatz(texts, [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1])
+    h = lambda w: int({"<s>": katz.BOS, "</s>": katz.END}[w] if w in ("<s>", "</s>") else next(textvec.words([(0, w)])).hashes[0])
+    got = {}
+    for r in m.counts.collect():
+        t, n = katz.Trigrams.unpack(bytes(r.counts))
+        got |= {(int(t.words[a]), int(t.words[b]), int(t.words[w])): x for a, b, w, x in zip(t.a, t.b, t.w, n.tolist(), strict=True) if x}
+    assert got == {tuple(map(h, g)): x for g, x in k.c[2].items()}
+    weight = {r.h & (1 << 64) - 1: (r.n, r.weight) for r in m.backoff.collect()}
+    for b in list(x for x in k.total if len(x) == 1)[:200]:
+        assert weight[h(b[0])][0] == k.total[b]
+        assert math.isclose(weight[h(b[0])][1], math.log10((1 - k.left[b] / k.total[b]) / (1 - k.low[b])), rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_tiling():
