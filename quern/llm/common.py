@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than these six.
@@ -74,6 +74,32 @@ def cleanup(spark: SparkSession) -> None:
     delete(spark, shared_dir(spark))
 
 
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df, stored, with a column per value: its sum over all rows up to this one, in an order that tells all rows apart. The sums are made by ranges of the order and added up by range, so no task sees
+    all rows."""
+    names = [f"__o{k}" for k in range(len(order))]
+    kept = df.withColumns(dict(zip(names, order, strict=True)) | {f"__v_{k}": v for k, v in values.items()})
+    kept = stored(kept.repartitionByRange(*[F.col(n).asc_nulls_last() for n in names]).withColumn("__range", F.spark_partition_id()))
+    whole = kept.groupBy("__range").agg(*[F.sum(f"__v_{k}").alias(f"__all_{k}") for k in values])  # a row a partition
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("__range", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in values])
+    inside = Window.partitionBy("__range").orderBy(*[F.col(n).asc_nulls_last() for n in names]).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.withColumns({f"__sum_{k}": F.sum(f"__v_{k}").over(inside) for k in values}).join(F.broadcast(whole), "__range")
+    return out.select(*df.columns, *[(F.col(f"__sum_{k}") + F.col(f"__before_{k}")).alias(k) for k in values])
+
+
+#: Copies of a row that are made from one array.
+STEP = 1 << 16
+
+
+def repeated(df: DataFrame, times: Column, number: str) -> DataFrame:
+    """df with each row as many times as told, and the copies' numbers from 0; arrays stay short however many copies there are."""
+    out = df.withColumn("__times", times.cast("long")).filter("__times > 0")
+    out = out.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__times") - 1) / STEP))))
+    to = F.least((F.col("__chunk") + 1) * STEP, F.col("__times")) - 1
+    return out.withColumn(number, F.explode(F.sequence(F.col("__chunk") * STEP, to))).drop("__times", "__chunk")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and hand it to body as a lambda variable (Catalyst would inline a projected column)."""
     return F.transform(F.array(value), body)[0]

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded_batches, stored
+from .common import bounded_batches, repeated, stored
 
 BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
@@ -29,8 +29,6 @@ SMOOTHING = 0.5
 BINS = 1 << 16
 #: Classes of equal rows that one task puts in order.
 LAST_CLASSES = 1 << 16
-#: Copies of a row that are made from one array.
-STEP = 1 << 16
 
 
 def _grams(w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +82,6 @@ def _scored(shared):
     return run
 
 
-def _copies(n: Column) -> Column:
-    """Numbers from 0 to n - 1, as arrays of bounded size."""
-    return F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / STEP) - 1, F.lit(0)))).alias("__chunk")
-
-
 def top(rows: DataFrame, key: str, k: int) -> DataFrame:
     """rows with kept: exactly k of them (all if there are fewer), those of largest key; equal keys go by doc_id, nulls first, then by n_grams. rows have doc_id, n_grams and other columns that follow from these.
 
@@ -124,8 +117,7 @@ def top(rows: DataFrame, key: str, k: int) -> DataFrame:
     here = F.struct(*[F.lit(v).cast(kind).alias(f"p{i}") for i, (v, kind) in enumerate(zip(last["at"], ("double", "long", "long"), strict=True))])
     wanted = k - before - (last["to"] - last["__n"])
     kept = F.when(order < here, F.col("__n")).when(order == here, F.lit(wanted)).otherwise(0)
-    out = classes.withColumn("__kept", kept).select("*", _copies(F.col("__n")))
-    out = out.select("*", F.explode(F.sequence(F.col("__chunk") * STEP, F.least((F.col("__chunk") + 1) * STEP, F.col("__n")) - 1)).alias("__i"))
+    out = repeated(classes.withColumn("__kept", kept), F.col("__n"), "__i")
     return out.select(*names, (F.col("__i") < F.col("__kept")).alias("kept"))
 
 

@@ -174,7 +174,7 @@ def test_importance(spark, data):
 @pytest.mark.parametrize("last", [1 << 16, 2])
 def test_top_is_exact(spark, monkeypatch, last):
     monkeypatch.setattr(importance, "BINS", 8)
-    monkeypatch.setattr(importance, "STEP", 3)
+    monkeypatch.setattr(common, "STEP", 3)
     monkeypatch.setattr(importance, "LAST_CLASSES", last)
     r = np.random.default_rng(0)
     rows = [(None if i % 50 == 0 else int(i % 120), int(i % 3), float(x)) for i, x in enumerate(np.round(r.normal(size=200), 1))] + [(7, 1, 0.1)] * 20 + [(None, 1, 0.3)] * 9
