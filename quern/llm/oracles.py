@@ -88,19 +88,28 @@ def _hilbert(cells: str, n: int, bits: int) -> str:
     return f"(SELECT *, {' + '.join(places)} AS h FROM (SELECT *, {flip} AS f FROM {out}))"
 
 
-_TOP = 2**s.BITS - 1
+
+
+def _coordinate(column: str) -> str:
+    """The part of the column's values, by equal shares of the rows; 0 for null."""
+    return f"(SELECT v, 1 + least({s.TOP} * (upto - n) // total, {s.TOP - 1})::BIGINT AS x FROM (SELECT v, n, sum(n) OVER (ORDER BY v) AS upto, sum(n) OVER () AS total FROM (SELECT {column} AS v, count(*) AS n FROM e WHERE {column} IS NOT NULL GROUP BY 1)))"
+
+
 SHARDING = f"""
 WITH k AS (SELECT {_CRC_TABLE} AS t),
 d AS (SELECT doc_id, source, lang, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, k),
+e AS (SELECT d.*, {_crc("concat_ws(':', doc_id, text_crc32, source)")} AS hash, floor(doc_id / {s.STRETCH})::BIGINT AS stretch FROM d, k),
+p AS (SELECT min(x) AS y, v FROM {_coordinate("source")} GROUP BY v), q AS (SELECT min(x) AS y, v FROM {_coordinate("lang")} GROUP BY v), u AS (SELECT min(x) AS y, v FROM {_coordinate("stretch")} GROUP BY v),
+ranks AS (SELECT 0 AS dim, y, row_number() OVER (ORDER BY y) AS r FROM (SELECT DISTINCT y FROM p) UNION ALL SELECT 1, y, row_number() OVER (ORDER BY y) FROM (SELECT DISTINCT y FROM q) UNION ALL SELECT 3, y, row_number() OVER (ORDER BY y) FROM (SELECT DISTINCT y FROM u)),
 c AS (
-    SELECT doc_id, size, text_crc32, {_crc("concat_ws(':', doc_id, text_crc32, source)")} % {s.SALTS} AS salt,
-        CASE WHEN source IS NULL THEN 0 ELSE 1 + {_crc("source")} % {_TOP} END AS c0, CASE WHEN lang IS NULL THEN 0 ELSE 1 + {_crc("lang")} % {_TOP} END AS c1,
-        least(length(bin(size)) - 1, {_TOP})::BIGINT AS c2, CASE WHEN doc_id IS NULL THEN 0 ELSE 1 + floor(doc_id / 4096)::BIGINT % {_TOP} END AS c3
-    FROM d, k
+    SELECT doc_id, size, text_crc32, hash, coalesce(r0.r, 0) AS c0, coalesce(r1.r, 0) AS c1, least(length(bin(size)) - 1, {s.TOP})::BIGINT AS c2, coalesce(r3.r, 0) AS c3
+    FROM e LEFT JOIN p ON p.v = e.source LEFT JOIN q ON q.v = e.lang LEFT JOIN u ON u.v = e.stretch
+    LEFT JOIN ranks AS r0 ON r0.dim = 0 AND r0.y = p.y LEFT JOIN ranks AS r1 ON r1.dim = 1 AND r1.y = q.y LEFT JOIN ranks AS r3 ON r3.dim = 3 AND r3.y = u.y
 ),
+f AS (SELECT *, hash % ((count(*) OVER (PARTITION BY c0, c1, c2, c3) + {s.CELL_ROWS - 1}) // {s.CELL_ROWS}) AS salt FROM c),
 g AS (SELECT DISTINCT c0, c1, c2, c3, c0::BIGINT AS x0, c1::BIGINT AS x1, c2::BIGINT AS x2, c3::BIGINT AS x3 FROM c),
 i AS (SELECT c0, c1, c2, c3, h FROM {_hilbert("g", 4, s.BITS)}),
-r AS (SELECT c.*, h AS curve, row_number() OVER (ORDER BY h, salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER () AS n FROM c JOIN i USING (c0, c1, c2, c3)),
+r AS (SELECT f.*, h AS curve, row_number() OVER (ORDER BY h, salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER () AS n FROM f JOIN i USING (c0, c1, c2, c3)),
 o AS (SELECT *, rank * 16 // n AS shard FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (rank - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, curve::INT AS curve FROM o
 """
