@@ -7,18 +7,19 @@ each choice of ERRORS symbols left out finds all such pairs. At J = 0.8 the dist
 estimate for pairs found: of all 381, 76 differ at J = 0.8, with deviation 7.8, and pairs of more than FAR unequal ones are left out,
 which at J = 0.8 loses a sixth (4e-8) of what the distance loses (2.4e-7).
 
-Equal sets become one class first, so groups of copies cost one entry. Inside an index bucket no pairs are listed: each member is linked
+Equal sets become one class first, so groups of copies cost one entry; a class is named by a hash of its set, and its text is that of its least doc_id. Inside an index bucket no pairs are listed: each member is linked
 to the bucket's least one (a star); of these links each member's most frequent one is confirmed on the full sets first, then those that are not connected yet, and
 components of what was confirmed are formed. Then only buckets whose members
-still lie in different components are looked at again, in blocks of bounded size, for pairs across components within distance D; these are confirmed
-the same way. Pairs are left out there whose intersection cannot be large enough: elements that a document shares with none of the documents in such buckets are
-counted first. Documents of the pairs found meet by connected regions, each text once for each pair of blocks. A pair is only reported by the first of the buckets that hold both. Every pair within D is thus either confirmed, refused or already connected.
+still lie in different components are looked at again. First, documents leave them that can have no partner there: the elements that a document shares with no other of these documents are
+counted, and if less than the wanted share of its set is left, no intersection is large enough. This is done until few leave. So a template filled in differently each time is not compared in pairs.
+Those that stay are compared in blocks of bounded size, for pairs across components within distance D; these are confirmed
+on the full sets. Documents of the pairs found meet by connected regions, each text once for each pair of blocks. A pair is only reported by the first of the buckets that hold both. Every pair within D is thus either confirmed, refused or already connected.
 
-Rows travel as (key, id); texts are only fetched for documents of some candidate pair. Nothing is collected on the driver.
+Rows travel as (key, id); texts are only fetched for documents of some candidate pair, a star's leader once for up to STAR_BLOCK members. Nothing is collected on the driver.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; a text of fewer words than a shingle has
-one element, all its words; a null doc_id is linked with nothing and kept; rows that repeat a doc_id share one verdict; an empty table
-gives no rows.
+one element, all its words; a null doc_id is linked with nothing and kept; rows that repeat a doc_id are linked with one another, whatever their texts, and share one verdict; an empty table
+gives no rows; columns other than doc_id and text are not read, and deduplicated() returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ FAR = 120
 PATTERNS = list(combinations(range(WIDTH), WIDTH - ERRORS))
 #: Members of a bucket that one task compares with one another.
 BLOCK = 2000
+#: Members that meet one copy of their leader's text.
+STAR_BLOCK = 500
+#: Rounds in which documents without a possible partner leave.
+LEAVING_ROUNDS = 3
 #: Documents of a region whose sets one task holds, twice.
 REGION_BLOCK = 500
 #: Ids up to this number are broadcast (8 MB) to fetch their texts; more are joined by a shuffle.
@@ -69,23 +74,31 @@ def signatures(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.concatenate([long_.view(np.uint8), short], 1)
 
 
+def _sums(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, two sums of the elements' hashes) of each set."""
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    c = np.zeros((2, len(sizes)), np.uint64)
+    if len(full):
+        c[0, full] = np.add.reduceat(textvec.mix(values), bounds[full])
+        c[1, full] = np.add.reduceat(textvec.mix(values ^ _FLIP[0]), bounds[full])
+    return sizes, c[0], c[1]
+
+
+def _names(sizes: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """A number for each set."""
+    return textvec.mix(textvec.mix(c1) + textvec.mix(c2 + sizes.astype(np.uint64)) * textvec._BASE).view(np.int64)
+
+
 def _signed(n: int):
     def run(batches):
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for w in textvec.words(pairs):
                 bounds, values = _sets(w, n)
-                sizes = np.diff(bounds)
-                full = np.flatnonzero(sizes)
-                c = np.zeros((2, len(sizes)), np.uint64)
-                if len(full):
-                    c[0, full] = np.add.reduceat(textvec.mix(values), bounds[full])
-                    c[1, full] = np.add.reduceat(textvec.mix(values ^ _FLIP[0]), bounds[full])
+                sums = _sums(bounds, values)
                 sig = [x.tobytes() for x in signatures(bounds, values)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "c1", "c2", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(w.rows, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(_names(*sums)), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "rep", "sig"])
 
     return run
 
@@ -284,69 +297,105 @@ def _met(n: int, percent: int):
 
 
 def _confirmed(n: int, percent: int):
-    """Keep the pairs (a, b, ta, tb) whose full sets are similar enough."""
+    """Links (a, b) whose full sets are similar enough, from rows (a, k, b, text) in that order, b null for the leader a itself."""
 
-    def one(text: str) -> np.ndarray:
-        return _sets(next(textvec.words([(0, text)])), n)[1]
+    def run(batches):
+        now, held = None, None
+        for batch in batches:
+            out = []
+            for a, k, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = _sets(next(textvec.words([(0, text)])), n)[1]
+                if b is None:
+                    now, held = (a, k), mine
+                    continue
+                if now != (a, k):
+                    raise RuntimeError("a leader is missing")
+                both = len(np.intersect1d(held, mine, assume_unique=True))
+                if 100 * both >= percent * (len(held) + len(mine) - both):
+                    out.append((a, b))
+            x = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _of_class(n: int):
+    """Keep the rows (rep, text) whose text belongs to the class rep."""
 
     def run(batches):
-        last, held = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, held = a[i], one(ta[i].as_py())
-                other = one(tb[i].as_py())
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(held) + len(other) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            keep = []
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = next(textvec.words([(0, text)]))
+                keep.append(rep == int(_names(*_sums(*_sets(w, n)))[0]))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _fetched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return texts
+class Texts:
+    """Texts of classes."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, n: int):
+        self.docs, self.reps, self.n = docs.select("doc_id", "text"), reps, n
+        #: Whether a doc_id is the least one of several classes: its rows have different texts then.
+        self.mixed = bool(reps.groupBy("doc").count().filter("count > 1").head(1))
+        self.repeats = self.mixed or bool(self.docs.groupBy("doc_id").count().filter("count > 1").head(1))
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the classes ids (id, distinct)."""
+        wanted = stored(ids.join(self.reps.select(F.col("rep").alias("id"), "doc"), "id"))
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        rows = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("doc")).select("id", "text")
+        if self.mixed:
+            rows = rows.mapInArrow(_of_class(self.n), "id long, text string")
+        # Rows of one class and doc_id are alike.
+        return rows.dropDuplicates(["id"]) if self.repeats else rows
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, root) of the classes (rep, n_shingles, sig) that are linked, directly or not, with others."""
-    ends = reps.select("rep", F.col("n_shingles").alias("n"), "sig")
+def links(texts: Texts, n: int, percent: int, same: DataFrame) -> DataFrame:
+    """(id, root) of the classes texts.reps (rep, doc, n_shingles, sig) that are linked, directly or not, with others; same: links (a, b) that hold anyway."""
+    ends = texts.reps.select("rep", F.col("n_shingles").alias("n"), "sig")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: ends.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
         sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        near = stored(sized.mapInArrow(_close, "a long, b long"))
-        texts = _fetched(docs, near)
-        full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return stored(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(n, percent), "a long, b long").distinct())
+        near = stored(sized.mapInArrow(_close, "a long, b long").distinct())
+        blocks = near.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("blocks"))
+        dealt = stored(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("k"), "b"))
+        found = texts.of(dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct())
+        leaders = dealt.select("a", "k").distinct().join(found, F.col("id") == F.col("a")).select("a", "k", F.lit(None).cast("long").alias("b"), "text")
+        rows = leaders.union(dealt.join(found, F.col("id") == F.col("b")).select("a", "k", "b", "text"))
+        return stored(rows.repartition("a", "k").sortWithinPartitions("a", "k", F.col("b").asc_nulls_first()).mapInArrow(_confirmed(n, percent), "a long, b long"))
 
     keys = ends.select("rep", "sig").mapInArrow(_index_keys, "key long, rep long")
     stars = stored(keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, a long, b long"))
     tried = stored(stars.filter(F.col("key").isNull()).groupBy("a", "b").agg(F.count("*").alias("shared")))
     # First each member with the leader it shares most entries with; then what pairs are left between components.
     nearest = stored(tried.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("__m")).select((-F.col("__m.a")).alias("a"), "b"))
-    linked = stored(graph.components(verify(nearest)))
+    linked = stored(graph.components(verify(nearest).union(same)))
     linked = _joined(linked, verify(_apart(tried.select("a", "b").join(nearest, ["a", "b"], "left_anti"), linked)))
 
     # Buckets of three or more whose members are not all connected yet.
     members = stars.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("rep")).distinct()
-    members = stored(members.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
-    mixed = stored(mixed)
-    inside = members.join(mixed.select("key"), "key", "left_semi").select("rep").distinct()
-    # How many of its elements each of these documents shares with any other of them: the rest cannot be in a pair's intersection.
-    elements = _fetched(docs, inside.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).mapInArrow(_elements(n), "rep long, h long")
-    alone = elements.groupBy("h").agg(F.count("*").alias("__c"), F.min("rep").alias("rep")).filter("__c = 1").groupBy("rep").agg(F.count("*").alias("__alone"))
-    common = stored(ends.join(inside, "rep", "left_semi").join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("__alone", F.lit(0))).alias("common")))
+    members = members.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    members, mixed = _mixed(stored(members))
+    elements = stored(texts.of(members.select(F.col("rep").alias("id")).distinct()).mapInArrow(_elements(n), "rep long, h long"))
+    common = None
+    for _ in range(LEAVING_ROUNDS):
+        inside = stored(members.select("rep").distinct())
+        before = inside.count()
+        here = elements.join(inside, "rep", "left_semi")
+        alone = here.groupBy("h").agg(F.count("*").alias("__c"), F.min("rep").alias("rep")).filter("__c = 1").groupBy("rep").agg(F.count("*").alias("__alone"))
+        common = ends.join(inside, "rep", "left_semi").join(alone, "rep", "left").select("rep", "n", "sig", (F.col("n") - F.coalesce("__alone", F.lit(0))).alias("common"))
+        # An intersection is at least `percent` of either set.
+        common = stored(common.filter(100 * F.col("common") >= percent * F.col("n")))
+        members, mixed = _mixed(stored(members.join(common.select("rep"), "rep", "left_semi")))
+        if 10 * (before - common.count()) <= before:
+            break
     open_ = members.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.join(ends, "rep").join(common, "rep").select("key", F.least("block", "__g").alias("lo"), F.greatest("block", "__g").alias("hi"), "block", "rep", "root", "n", "common", "sig")
+    open_ = open_.join(common, "rep").select("key", F.least("block", "__g").alias("lo"), F.greatest("block", "__g").alias("hi"), "block", "rep", "root", "n", "common", "sig")
     across = open_.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep").mapInArrow(_across(percent), "a long, others array<long>, root long")
     across = stored(across)
     if not across.head(1):
@@ -355,13 +404,20 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     region = graph.components(across.filter("others is null").select("a", F.col("root").alias("b")))
     blocks = region.groupBy("root").agg(F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks"))
     region = stored(region.join(blocks, "root").select("id", F.col("root").alias("region"), "blocks"))
-    texts = _fetched(docs, region.select(F.col("id").alias("a"), F.col("id").alias("b"))).dropDuplicates(["id"]).withColumn("others", F.lit(None).cast("array<long>"))
+    found = texts.of(region.select("id").distinct()).withColumn("others", F.lit(None).cast("array<long>"))
     lists = across.filter("others is not null").select(F.col("a").alias("id"), F.lit(None).cast("string").alias("text"), "others")
-    rows = texts.select("id", "text", "others").union(lists).join(region, "id").select("region", "blocks", "id", "text", "others")
+    rows = found.select("id", "text", "others").union(lists).join(region, "id").select("region", "blocks", "id", "text", "others")
     met = rows.mapInArrow(_to_blocks, _MET).repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", F.col("others").isNotNull(), "id")
     return _joined(linked, stored(met.mapInArrow(_met(n, percent), "a long, b long").distinct()))
 
 
+def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, buckets) of the buckets whose members (key, rep, root) have different roots."""
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+    mixed = stored(mixed.select("key", "m"))
+    return stored(members.join(mixed.select("key"), "key", "left_semi")), mixed
+
+
 def _rooted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """pairs with ra, rb: the roots of a and b."""
     root = lambda x: linked.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
@@ -382,22 +438,34 @@ def _joined(linked: DataFrame, found: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed = stored(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(n), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stored(docs.mapInArrow(_signed(n), "doc_id long, n_shingles long, rep long, sig binary"))
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = classes.join(full.select(F.col("doc_id").alias("rep"), "c1", "c2", "n_shingles", "sig"), ["c1", "c2", "n_shingles", "rep"]).select("rep", "n_shingles", "sig").dropDuplicates(["rep"])
-    linked = links(docs, stored(reps), n, percent)
-    roots = classes.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("__root"))
-    out = signed.drop("sig").join(roots, ["c1", "c2", "n_shingles"], "left")
-    root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+    classes = stored(full.groupBy("rep").agg(F.min("doc_id").alias("doc")))
+    reps = classes.join(full.select("rep", F.col("doc_id").alias("doc"), "n_shingles", "sig"), ["rep", "doc"]).dropDuplicates(["rep"])
+    # Classes of one doc_id are linked; ends of stars, so no pairs are listed.
+    several = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("__last")).filter(F.col("a") < F.col("__last"))
+    same = stored(full.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").filter(F.col("a") < F.col("b")).select("a", "b").distinct())
+    linked = links(Texts(docs, stored(reps), n), n, percent, same)
+    roots = classes.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rep", "doc", F.coalesce("root", "rep").alias("root"))
+    least = roots.groupBy("root").agg(F.min("doc").alias("__least"))
+    roots = stored(roots.join(least, "root").select("rep", "__least"))
+    out = signed.select("doc_id", "n_shingles", "rep").join(roots, "rep", "left")
+    root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__least")).otherwise(F.col("doc_id"))
+    rows = out.select("doc_id", "n_shingles", root.alias("component_id"))
+    if same.head(1):
+        # Rows without words share the verdict of their doc_id's other rows.
+        both = stored(rows)
+        verdict = both.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__c"))
+        rows = both.join(verdict, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("__c", "component_id").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group, the one of least doc_id; rows that repeat a doc_id stay or go together."""
     gone = stored(clusters(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct())
-    out = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
-    return out
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("__row")).join(gone, F.col("__row.doc_id") == F.col("__doc"), "left_anti").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

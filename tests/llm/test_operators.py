@@ -32,6 +32,40 @@ def test_sharding(docs, pandas_docs):
     assert {r.doc_id: (r.size, r.text_crc32) for r in out.itertuples()} == want
 
 
+def test_sharding_prunes_by_every_dimension(spark, data, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{data}/../sf0.1/documents.parquet").select("doc_id", "source", "lang", "text")
+    sharding.write_shards(sharding.hilbert_shards(docs), str(tmp_path / "s"))
+    names = ["source", "lang", "size", "doc_id"]
+    ranges = []
+    for f in (tmp_path / "s").rglob("*.parquet"):
+        m = pq.read_metadata(f)
+        at = {m.schema.column(k).name: k for k in range(m.num_columns)}
+        groups = [[m.row_group(g).column(at[c]).statistics for g in range(m.num_row_groups)] for c in names]
+        ranges.append([(min(x.min for x in g), max(x.max for x in g)) for g in groups])
+    rows = docs.select("source", "lang", (F.octet_length("text") + 1).alias("size"), "doc_id").sample(0.02, 1).collect()
+    assert len(ranges) >= 48 and len(rows) > 100
+    read = {c: np.mean([sum(r[k][0] <= x[k] <= r[k][1] for r in ranges) / len(ranges) for x in rows]) for k, c in enumerate(names)}
+    # Share of the files that an equality predicate has to read; unsharded it is all of them.
+    assert max(read.values()) < 0.85 and np.prod(list(read.values())) < 0.06, read
+
+
+def test_sharding_splits_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    rows = [(i % 60, f"text {i % 7}", "en", "one") for i in range(300)]
+    out = sharding.op1(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    sizes = out.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    assert out.sort_values(["shard", "slot"]).curve.is_monotonic_increasing
+
+
+def test_sharding_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "ab", "en", "s", "a", "b", "c", "d", 3)], "doc_id long, text string, lang string, source string, size string, shard string, __rank string, input_size string, slot long")
+    r = sharding.hilbert_shards(df).first().asDict()
+    assert r["size"] == 3 and r["shard"] == 0 and r["slot"] == 0 and r["__rank"] == "c" and r["input_size"] == "d" and r["input_input_size"] == "a" and r["input_shard"] == "b" and r["input_slot"] == 3
+
+
 def test_hilbert_curve(spark):
     grid = spark.range(4**3).select(*[F.shiftright("id", 2 * k).bitwiseAND(3).cast("int").alias(f"x{k}") for k in range(3)])
     rows = grid.select("*", sharding.hilbert_index([F.col("x0"), F.col("x1"), F.col("x2")], 2).alias("h")).orderBy("h").collect()
@@ -424,6 +458,31 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert check_links(spark, rows, 2)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    base = [f"w{i}" for i in range(300)]
+    other = [f"v{i}" for i in range(300)]
+    one, two = " ".join(base), " ".join(other)
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "alone in this"), (5, two), (6, "p q"), (6, "r s"), (7, "r s"), (8, None), (8, one)]
+    out = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert out == {(1, 299): (1, True), (2, 300): (1, False), (3, 300): (1, False), (4, 2): (4, True), (5, 299): (1, False), (6, 1): (6, True), (7, 1): (6, False), (8, 0): (1, False), (8, 299): (1, False)}
+
+
+def test_templates_are_not_compared_in_pairs(spark, monkeypatch):
+    # Two thirds of each text is one template, the rest its own: no link, and no document left to compare.
+    seen = []
+    one = near_dedup._mixed
+
+    def noted(members):
+        out = one(members)
+        seen.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_mixed", noted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base + [f"own{i}x{k}" for k in range(100)])) for i in range(60)]
+    assert check_links(spark, rows, 2) == [] and seen[0] > 60 and seen[-1] == 0
+
+
 def test_encoder(docs, pandas_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
