@@ -329,11 +329,52 @@ def test_decontamination(spark, docs, pandas_docs, data):
     assert [r.contaminated for r in decontaminate.op7(moved, bench).orderBy("doc_id").collect()] == [True, False]
 
 
-def test_decontamination_in_blocks(spark, docs, data, monkeypatch):
-    bench = spark.read.parquet(f"{data}/benchmark.parquet")
-    one = decontaminate.op7(docs, bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
-    assert decontaminate.op7(docs, bench).orderBy("doc_id").collect() == one
+def brute_tiling(doc, item, least=5):
+    """Coverage by the longest matches first, word by word."""
+    used_d, used_t, total = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and i + k not in used_d and j + k not in used_t:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        if best[0] < least:
+            return total / len(item)
+        k, i, j = best[0], -best[1], -best[2]
+        used_d |= set(range(i, i + k))
+        used_t |= set(range(j, j + k))
+        total += k
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_is_exact(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 1 << 20 if broadcast else 0)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 3)
+    r = np.random.default_rng(5)
+    opening = ["all", "items", "begin", "like", "this", "one", "here"]
+    items = [(i, opening[: r.integers(0, 8)] + [f"w{r.integers(12)}" for _ in range(r.integers(6, 16))]) for i in range(40)] + [(40, ["two", "words"]), (3, ["a", "b", "c", "d", "e", "f"])]
+    docs = [(i, opening[: r.integers(0, 8)] + [x for _ in range(r.integers(0, 3)) for k in [r.integers(40)] for lo in [r.integers(0, 6)] for x in items[k][1][lo : lo + r.integers(4, 14)]] + [f"w{r.integers(12)}" for _ in range(r.integers(0, 6))]) for i in range(80)]
+    docs += [(100, ["two", "words"]), (101, ["two", "words", "more"]), (102, [])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(7, None), (None, "")], "item_id long, text string")
+    out = decontaminate.op7(spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(103, None)], "doc_id long, text string").repartition(4), bench).collect()
+    got = {x.doc_id: (x.item_id, round(x.coverage, 9), x.n_items) for x in out}
+    want = {103: (None, 0.0, 0)}
+    for i, w in docs:
+        all_ = [(brute_tiling(w, t), k) if len(t) >= 5 else (float(w == t), k) for k, t in sorted(items)]
+        hit = [x for x in all_ if x[0] >= 0.5]
+        best = max(hit, key=lambda x: x[0]) if hit else (0.0, None)
+        want[i] = (best[1], round(best[0], 9), len(hit))
+    assert got == want and 10 < sum(v[0] is not None for v in got.values()) < 80
+
+
+def test_shared_openings_pair_nothing():
+    rows = [(i, f"please answer the question below {' '.join(f'i{i}w{k}' for k in range(45))}") for i in range(300)]
+    items = decontaminate.Items(rows, 5, 0.5)
+    w = next(decontaminate.words([(0, "please answer the question below my own text goes on and on here")]))
+    assert items.best(w) == [(None, 0.0, [], 0, 0)]
+    assert not np.isin(decontaminate.runs(w.hashes, 5), items.seeds).any()
 
 
 def test_decontamination_in_any_case(spark):
@@ -342,7 +383,7 @@ def test_decontamination_in_any_case(spark):
     shouted = [" ".join(w + "!!" for w in t.upper().split()) for _, t in items]
     rows = [*enumerate(shouted), (3, unicodedata.normalize("NFD", shouted[0])), (4, "Doesbo — dora | el ñ es queasarjarr"), (5, "pai"), (6, "... !! «»"), (7, None), (8, "(PAÍ) x")]
     out = {r.doc_id: (r.item_id, r.coverage) for r in decontaminate.op7(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert out == {0: (1, 1.0), 1: (2, 1.0), 2: (3, 1.0), 3: (1, 1.0), 4: (1, 6 / 11), 5: (None, 0.0), 6: (None, 0.0), 7: (None, 0.0), 8: (3, 1.0)}
+    assert out == {0: (1, 1.0), 1: (2, 1.0), 2: (3, 1.0), 3: (1, 1.0), 4: (1, 6 / 11), 5: (None, 0.0), 6: (None, 0.0), 7: (None, 0.0), 8: (None, 0.0)}
 
 
 def test_normal_form():
