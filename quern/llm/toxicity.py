@@ -1,15 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Inputs of a word: how its own hash and its character n-grams (prefixes of several lengths, and inner ones) lean in the training documents, as shrunk log odds from hashed
-tables; its length; whether it was seen. A linear layer feeds them to two GRUs, one in each direction; attention over the steps pools their states into
-one logit a window. A text's score is the highest of all its overlapping windows, so nothing of a long text is left out.
+Inputs of a word: a learned vector of the word itself, the mean of learned vectors of its character trigrams, and how the word and its character n-grams
+(prefixes of several lengths, and inner ones) lean in the training documents, as shrunk log odds from hashed tables, with its length and whether it was seen. Words that fewer than
+MIN_DOCS training documents hold share one vector, so that none is learned by heart. A linear layer feeds the inputs to two GRUs, one in each direction; attention over the steps
+pools their states into one logit a window. Windows are of WINDOW words, every STRIDE words; a text's score is the highest of all its windows, so nothing of a long text is left out.
 
-Training uses TRAIN_DOCS labelled documents at most, those of least hash, never held-out ones, in one task; every input of a training document leaves that document's own
-label out of the tables. Windows for training are the one that leans most in each document and, of clean ones, another at random. The model is a few MB whatever
-the input, and scoring is a map over the documents: no shuffle.
+Training uses labelled documents, never held-out ones, in one task: the TRAIN_DOCS of least hash among those of up to TRAIN_DOC_BYTES. All their windows take part:
+a document's logit is the soft maximum (log sum of exponentials) of its windows', and the loss is of the document's label. Every input from the tables leaves the document's own
+label out. Matrices are trained by Adam, vectors by Adagrad. The model is a few MB whatever the input, and scoring is a map over the documents: no shuffle.
 
 Defined cases: null or wordless texts score 0; a null doc_id or repeated rows are scored each by itself; without labels of both kinds all score 0;
-an empty table gives no rows.
+an empty table gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +26,23 @@ from . import textvec
 from .common import bounded_batches
 
 TRAIN_DOCS = 6000
+TRAIN_DOC_BYTES = 1 << 16
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
+EMBED = 8
+WORD_ROWS = CHAR_ROWS = 1 << 15
+MIN_DOCS = 3
 TABLE = 1 << 18
 SHRINK = 3.0
 PREFIXES = range(4, 10)
 INNER = 5
+TRIGRAM = 3
 THRESHOLD = 0.3
-EPOCHS, RATE, BATCH = 14, 0.01, 256
-N_INPUTS = 7
+EPOCHS, RATE, VECTOR_RATE, BATCH = 5, 0.01, 0.05, 768
+#: Sharpness of the soft maximum over a document's windows.
+SHARP = 3.0
+N_ODDS = 7
+N_INPUTS = 2 * EMBED + N_ODDS
 
 
 def _odds(p: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
@@ -82,9 +91,9 @@ class Tables:
         self.any = (self.seen.sum(1) > 0).astype(np.float32)
 
     def inputs(self, kinds, size: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """(spans, N_INPUTS). own: label of each span's training document, which is left out."""
+        """(spans, N_ODDS). own: label of each span's training document, which is left out."""
         n = len(size)
-        out = np.zeros((n, N_INPUTS), np.float32)
+        out = np.zeros((n, N_ODDS), np.float32)
         for k, (owner, bucket) in enumerate(kinds):
             bucket = bucket.astype(np.int64)
             if own is None:
@@ -108,54 +117,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters in a dict; x: (steps, windows, N_INPUTS); mask: (steps, windows)."""
+    """Parameters in a dict. Rows of `w`, `c` and `u` are the two directions, the second one running backwards."""
 
     def __init__(self, seed: int = 8):
         r = np.random.default_rng(seed)
         h, f = HIDDEN, N_INPUTS
-        self.p = {}
-        for d in "fb":
-            self.p |= {f"w{d}": r.normal(0, 0.3, (f, 3 * h)), f"c{d}": np.zeros(3 * h), f"u{d}": r.normal(0, 0.3, (h, 3 * h))}
-        self.p |= {"a": r.normal(0, 0.3, (2 * h, h)), "ac": np.zeros(h), "v": r.normal(0, 0.3, h), "o": r.normal(0, 0.3, 2 * h), "oc": np.zeros(1)}
+        self.p = {
+            "w": r.normal(0, 0.3, (2, f, 3 * h)), "c": np.zeros((2, 1, 3 * h)), "u": r.normal(0, 0.3, (2, h, 3 * h)),
+            "a": r.normal(0, 0.3, (2 * h, h)), "ac": np.zeros(h), "v": r.normal(0, 0.3, h), "o": r.normal(0, 0.3, 2 * h), "oc": np.zeros(1),
+            "words": r.normal(0, 0.1, (WORD_ROWS, EMBED)), "chars": r.normal(0, 0.1, (CHAR_ROWS, EMBED)),
+        }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, d: str, x3, mask, keep: bool):
-        """x3(t): the projected inputs of step t."""
-        u, h = self.p[f"u{d}"], HIDDEN
-        steps = range(len(mask)) if d == "f" else range(len(mask) - 1, -1, -1)
-        state = np.zeros((mask.shape[1], h), np.float32)
-        states, saved = [None] * len(mask), {}
-        for t in steps:
-            x, hu = x3(t), state @ u
-            zr = _sigmoid(x[:, : 2 * h] + hu[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(x[:, 2 * h :] + r * hu[:, 2 * h :])
-            m = mask[t][:, None]
-            new = state + m * (1 - z) * (n - state)
+    def inputs(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        """(words, N_INPUTS): rows of the word vectors, character trigrams gram[first[i] : first[i + 1]] (one at least), inputs from the tables."""
+        if not len(word):
+            return np.zeros((0, N_INPUTS), odds.dtype)
+        chars = np.add.reduceat(self.p["chars"][gram], first[:-1]) / np.diff(first)[:, None]
+        return np.concatenate([self.p["words"][word], chars, odds], 1)
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """(2, rows, 3 HIDDEN)"""
+        return x @ self.p["w"] + self.p["c"]
+
+    def forward(self, proj: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Logits of windows; at, mask: (steps, windows), rows of proj and whether there is a word."""
+        u, h, steps = self.p["u"], HIDDEN, len(at)
+        state = np.zeros((2, at.shape[1], h), proj.dtype)
+        hs, saved = np.empty((steps, at.shape[1], 2 * h), proj.dtype), []
+        for k in range(steps):
+            x = np.stack([proj[0][at[k]], proj[1][at[steps - 1 - k]]])
+            m = np.stack([mask[k], mask[steps - 1 - k]])[:, :, None]
+            hu = state @ u
+            zr = x[:, :, : 2 * h] + hu[:, :, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r = zr[:, :, :h], zr[:, :, h:]
+            n = np.tanh(x[:, :, 2 * h :] + r * hu[:, :, 2 * h :])
             if keep:
-                saved[t] = (state, z, r, n, hu[:, 2 * h :], m)
-            state = states[t] = new
-        return states, saved, steps
-
-    def forward(self, x3, mask: np.ndarray, keep: bool = False):
-        """Logits of the windows; x3: a function of (direction, step)."""
-        f, sf, tf = self._run("f", lambda t: x3("f", t), mask, keep)
-        b, sb, tb = self._run("b", lambda t: x3("b", t), mask, keep)
-        hs = np.concatenate([np.stack(f), np.stack(b)], 2)
+                saved.append((state, z, r, n, hu[:, :, 2 * h :], m))
+            state = state + m * (1 - z) * (n - state)
+            hs[k, :, :h], hs[steps - 1 - k, :, h:] = state[0], state[1]
         e = np.tanh(hs @ self.p["a"] + self.p["ac"])
-        s = np.where(mask > 0, e @ self.p["v"], -1e9)
+        s = np.where(mask > 0, e @ self.p["v"], np.float32(-1e9))
         w = np.exp(s - s.max(0))
         w /= w.sum(0)
         c = np.einsum("tn,tnh->nh", w, hs)
-        return c @ self.p["o"] + self.p["oc"][0], (hs, e, w, c, sf, tf, sb, tb)
+        return c @ self.p["o"] + self.p["oc"][0], (hs, e, w, c, saved)
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, b: dict) -> tuple[float, dict]:
+        """Loss and its gradients on a batch of documents: word, gram, first, odds of its rows (inputs()), at and mask of its windows, doc of each window, y of each document."""
         p, h = self.p, HIDDEN
-        proj = {d: x @ p[f"w{d}"] + p[f"c{d}"] for d in "fb"}
-        logit, (hs, e, w, c, sf, tf, sb, tb) = self.forward(lambda d, t: proj[d][t], mask, True)
-        prob = _sigmoid(logit)
+        x = self.inputs(b["word"], b["gram"], b["first"], b["odds"])
+        proj = self.projected(x)
+        at, mask, doc, y = b["at"], b["mask"], b["doc"], b["y"]
+        steps = len(at)
+        logit, (hs, e, w, c, saved) = self.forward(proj, at, mask, True)
+        # Soft maximum over each document's windows; windows come in order of documents.
+        start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        top = np.maximum.reduceat(logit, start)
+        part = np.exp(SHARP * (logit - top[doc]))
+        whole = np.add.reduceat(part, start)
+        soft = top + np.log(whole) / SHARP
+        prob = _sigmoid(soft)
         loss = -np.mean(np.log(np.where(y > 0, prob, 1 - prob) + 1e-9))
-        dl = (prob - y) / len(y)
+        dl = ((prob - y) / len(y))[doc] * part / whole[doc]
         g = {"o": c.T @ dl, "oc": dl.sum(keepdims=True)}
         dc = dl[:, None] * p["o"]
         dw = np.einsum("tnh,nh->tn", hs, dc)
@@ -165,39 +193,63 @@ class Network:
         de = ds[:, :, None] * p["v"] * (1 - e * e)
         g["a"], g["ac"] = np.einsum("tnh,tnk->hk", hs, de), de.sum((0, 1))
         dhs += de @ p["a"].T
-        for d, saved, steps, part in (("f", sf, tf, dhs[:, :, :h]), ("b", sb, tb, dhs[:, :, h:])):
-            u, gu, carry = p[f"u{d}"], np.zeros_like(p[f"u{d}"]), np.zeros_like(part[0])
-            dx = np.zeros_like(proj[d])
-            for t in reversed(steps):
-                state, z, r, n, hun, m = saved[t]
-                dh = part[t] + carry
-                dn = dh * m * (1 - z) * (1 - n * n)
-                dz = dh * m * (state - n) * z * (1 - z)
-                dr = dn * hun * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], 1)
-                dhu = np.concatenate([dz, dr, dn * r], 1)
-                gu += state.T @ dhu
-                carry = dh * (1 - m * (1 - z)) + dhu @ u.T
-            g[f"u{d}"], g[f"w{d}"], g[f"c{d}"] = gu, np.einsum("tnf,tnk->fk", x, dx), dx.sum((0, 1))
+        carry, gu = np.zeros_like(saved[0][0]), np.zeros_like(p["u"])
+        dx = np.zeros((2, steps, at.shape[1], 3 * h), proj.dtype)
+        for k in range(steps - 1, -1, -1):
+            state, z, r, n, hun, m = saved[k]
+            dh = np.stack([dhs[k, :, :h], dhs[steps - 1 - k, :, h:]]) + carry
+            dn = dh * m * (1 - z) * (1 - n * n)
+            dz = dh * m * (state - n) * z * (1 - z)
+            dr = dn * hun * r * (1 - r)
+            d = np.concatenate([dz, dr, dn], 2)
+            dx[0, k], dx[1, steps - 1 - k] = d[0], d[1]
+            dhu = np.concatenate([dz, dr, dn * r], 2)
+            gu += state.transpose(0, 2, 1) @ dhu
+            carry = dh * (1 - m * (1 - z)) + dhu @ p["u"].transpose(0, 2, 1)
+        g["u"] = gu
+        # Back from windows to rows, from rows to inputs.
+        flat = at.ravel()
+        order = np.argsort(flat, kind="stable")
+        begin = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+        dproj = np.zeros_like(proj)
+        for k in range(2):
+            dproj[k, flat[order][begin]] = np.add.reduceat(dx[k].reshape(-1, 3 * h)[order], begin)
+        g["c"] = dproj.sum(1, keepdims=True)
+        g["w"] = x.T @ dproj
+        din = (dproj @ p["w"].transpose(0, 2, 1)).sum(0)
+        g["words"] = _rows(b["word"], din[:, :EMBED])
+        size = np.diff(b["first"])
+        g["chars"] = _rows(b["gram"], np.repeat(din[:, EMBED : 2 * EMBED] / size[:, None], size, 0))
         return loss, g
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, seed: int = 3) -> None:
-        """Adam; x: (windows, steps, N_INPUTS)."""
-        r, step = np.random.default_rng(seed), 0
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        epochs = max(EPOCHS, -(-400 * BATCH // max(len(y), 1)))  # 400 steps at least
-        for epoch in range(min(epochs, 200)):
-            order = r.permutation(len(y))
-            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
-            for i in range(0, len(y), BATCH):
-                at = order[i : i + BATCH]
-                _, g = self.gradients(x[at].transpose(1, 0, 2), mask[at].T, y[at])
+    def fit(self, batches, epochs: int, steps: int) -> None:
+        """batches: a function of the epoch; steps: how many there are in all."""
+        vectors = ("words", "chars")
+        m, v = ({k: np.zeros_like(a) for k, a in self.p.items() if k not in vectors} for _ in range(2))
+        squares = {k: np.full(len(self.p[k]), 1e-8, np.float32) for k in vectors}
+        step = 0
+        for epoch in range(epochs):
+            for b in batches(epoch):
+                rate = 0.5 * (1 + np.cos(np.pi * min(step / steps, 1))) + 0.01
+                _, g = self.gradients(b)
                 step += 1
                 for k, a in g.items():
+                    if k in vectors:
+                        row, d = a
+                        squares[k][row] += (d * d).mean(1)
+                        self.p[k][row] -= (VECTOR_RATE * rate * d / np.sqrt(squares[k][row])[:, None]).astype(np.float32)
+                        continue
                     a = np.clip(a, -1, 1)
                     m[k] += 0.1 * (a - m[k])
                     v[k] += 0.001 * (a * a - v[k])
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] - RATE * rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+
+
+def _rows(row: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their gradients)"""
+    order = np.argsort(row, kind="stable")
+    begin = np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))
+    return row[order][begin], np.add.reduceat(d[order], begin)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,49 +263,89 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, np.minimum(at, last), (at <= last).astype(np.float32)
 
 
-def _pack(net: Network, tables: Tables) -> bytes:
+def trigrams(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the character vectors, bounds by word): all runs of TRIGRAM bytes of a word, or the word if it has fewer."""
+    count = np.maximum(end - start - TRIGRAM + 1, 1)
+    first = np.append(0, np.cumsum(count))
+    owner = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(owner)) - first[owner] + start[owner]
+    h = textvec.span_hashes(prefix, at, np.minimum(at + TRIGRAM, end[owner]))
+    return (textvec.mix(h + np.uint64(3)) & np.uint64(CHAR_ROWS - 1)).astype(np.int64), first
+
+
+def word_rows(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Rows of the word vectors; words not known (hashes ascending) share row 0."""
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+    return np.where(hit, 1 + (textvec.mix(hashes) % np.uint64(WORD_ROWS - 1)).astype(np.int64), 0)
+
+
+def _pack(net: Network, tables: Tables, known: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez_compressed(out, odds=tables.odds.astype(np.float16), any=tables.any.astype(bool), **net.p)
+    np.savez_compressed(out, odds=tables.odds.astype(np.float16), any=tables.any.astype(bool), known=known, **net.p)
     return out.getvalue()
 
 
 def train(rows: list[tuple[str | None, int]]) -> bytes:
     """A model from (text, label); b"" unless both labels occur."""
     rows = [(t, int(y)) for t, y in rows if t and y is not None]
-    if len({y for _, y in rows}) < 2:
-        return b""
     tables, r = Tables(), np.random.default_rng(4)
-    chunks = [(w, np.array(w.rows), textvec.prefix_hashes(w.data)) for w in textvec.words((y, t) for t, y in rows)]
+    chunks = [(w, np.array(w.rows), textvec.prefix_hashes(w.data)) for w in textvec.words((y, t) for t, y in rows) if len(w.start)]
+    if len({int(y) for w, ys, _ in chunks for y in ys[np.diff(w.first) > 0]}) < 2:
+        return b""
     for w, y, prefix in chunks:
         tables.add(_buckets(w.data, prefix, w.start, w.end), w.text, y)
     tables.finish()
-    xs, ms, ys = [], [], []
-    for w, y, prefix in chunks:
-        if not len(w.start):
-            continue
-        doc = w.text
-        x = tables.inputs(_buckets(w.data, prefix, w.start, w.end), w.end - w.start, y[doc])
-        text, at, mask = windows(w.first)
-        lean = np.sort((np.maximum(x[:, 0], x[:, 2]))[at] * mask, 1)[:, -3:].sum(1)
-        for i in range(len(y)):
-            mine = np.flatnonzero(text == i)
-            if len(mine):
-                pick = {int(mine[np.argmax(lean[mine])])}
-                if y[i] == 0:
-                    pick.add(int(r.choice(mine)))
-                for k in sorted(pick):
-                    xs.append(x[at[k]])
-                    ms.append(mask[k])
-                    ys.append(y[i])
+    # All words of all chunks, each once for either label: the tables leave a document's own label out.
+    hashes, odds, grams, at, mask, label, sizes = [], [], [], [], [], [], []
+    held: dict[int, np.ndarray] = {}
+    for n, (w, y, prefix) in enumerate(chunks):
+        _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        shift = sum(len(h) for h in hashes)
+        size = (w.end - w.start)[one]
+        hashes.append(w.hashes[one])
+        odds.append([tables.inputs(_buckets(w.data, prefix, w.start[one], w.end[one]), size, np.full(len(one), k)) for k in (0, 1)])
+        grams.append(trigrams(prefix, w.start[one], w.end[one]))
+        doc, step, m = windows(w.first)
+        at.append(shift + back[step])
+        mask.append(m)
+        count = np.bincount(doc, minlength=len(y))
+        label.append(y[count > 0])
+        sizes.append(count[count > 0])
+        held[n] = np.unique(np.stack([w.text, back + shift]), axis=1)[1]
+    hashes, odds = np.concatenate(hashes), [np.concatenate([o[k] for o in odds]) for k in (0, 1)]
+    first = np.concatenate([[0], *[np.diff(g[1]) for g in grams]]).cumsum()
+    gram, at, mask, label, sizes = np.concatenate([g[0] for g in grams]), np.concatenate(at), np.concatenate(mask), np.concatenate(label), np.concatenate(sizes)
+    # Words that enough documents hold have vectors of their own.
+    h, which = np.unique(hashes, return_inverse=True)
+    known = h[np.bincount(which, np.bincount(np.concatenate(list(held.values())), minlength=len(hashes)), len(h)) >= MIN_DOCS]
+    word = word_rows(hashes, known)
+    begin = np.cumsum(sizes) - sizes
+
+    def batches(_: int):
+        order = r.permutation(len(label))
+        upto = np.cumsum(sizes[order])
+        for docs in np.split(order, np.flatnonzero(np.diff(upto // BATCH)) + 1):
+            win = np.concatenate([np.arange(begin[d], begin[d] + sizes[d]) for d in docs])
+            doc = np.repeat(np.arange(len(docs)), sizes[docs])
+            key, back = np.unique(at[win] * 2 + label[docs][doc][:, None], return_inverse=True)
+            row, y = key >> 1, key & 1
+            n = first[row + 1] - first[row]
+            inside = np.append(0, np.cumsum(n))
+            some = np.arange(inside[-1]) - np.repeat(inside[:-1], n) + np.repeat(first[row], n)
+            yield {"word": word[row], "gram": gram[some], "first": inside, "odds": np.where(y[:, None] > 0, odds[1][row], odds[0][row]), "at": back.reshape(len(win), WINDOW).T, "mask": mask[win].T, "doc": doc, "y": label[docs].astype(np.float32)}
+
     net = Network()
-    net.fit(np.stack(xs), np.stack(ms), np.array(ys, np.float32))
-    return _pack(net, tables)
+    per = max(1, -(-int(sizes.sum()) // BATCH))
+    epochs = min(max(EPOCHS, -(-150 // per)), 100)  # 150 steps at least
+    net.fit(batches, epochs, epochs * per)
+    return _pack(net, tables, known)
 
 
 class Scorer:
     def __init__(self, model: bytes):
         z = np.load(io.BytesIO(model))
-        self.tables, self.net = Tables.__new__(Tables), Network()
+        self.tables, self.net, self.known = Tables.__new__(Tables), Network(), z["known"]
         self.tables.odds, self.tables.any = z["odds"].astype(np.float32), z["any"].astype(np.float32)
         self.net.p = {k: z[k] for k in self.net.p}
 
@@ -262,13 +354,14 @@ class Scorer:
         if not len(w.start):
             return out
         _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        x = self.tables.inputs(_buckets(w.data, textvec.prefix_hashes(w.data), w.start[one], w.end[one]), (w.end - w.start)[one])
-        proj = {d: x @ self.net.p[f"w{d}"] + self.net.p[f"c{d}"] for d in "fb"}
+        prefix, start, end = textvec.prefix_hashes(w.data), w.start[one], w.end[one]
+        odds = self.tables.inputs(_buckets(w.data, prefix, start, end), end - start)
+        proj = self.net.projected(self.net.inputs(word_rows(w.hashes[one], self.known), *trigrams(prefix, start, end), odds))
         text, at, mask = windows(w.first)
-        back, mask = back[at].T.copy(), mask.T.copy()
-        for i in range(0, len(text), 4096):
-            part = slice(i, i + 4096)
-            logit, _ = self.net.forward(lambda d, t: proj[d][back[t, part]], mask[:, part])  # noqa: B023
+        back, mask = back[at].T.astype(np.int32), mask.T
+        for i in range(0, len(text), 2048):
+            part = slice(i, i + 2048)
+            logit, _ = self.net.forward(proj, np.ascontiguousarray(back[:, part]), np.ascontiguousarray(mask[:, part]))
             np.maximum.at(out, text[part], _sigmoid(logit.astype(np.float64)))
         return out
 
@@ -296,7 +389,9 @@ def held_out(doc_id: Column) -> Column:
 def model(docs: DataFrame, labels: DataFrame) -> bytes:
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int"))  # TRAIN_DOCS ids at most
+    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_DOC_BYTES).join(F.broadcast(some), "doc_id")  # TRAIN_DOCS ids at most
+    # Of rows that share a doc_id, the first text: no more rows than ids.
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
     got = sample.repartition(1).sortWithinPartitions("text").mapInArrow(_trained, "model binary").first()
     return bytes(got[0]) if got else b""
 

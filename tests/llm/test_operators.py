@@ -396,18 +396,74 @@ def test_normal_form():
 def test_network_gradients():
     r, net = np.random.default_rng(0), toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask, y = r.normal(size=(7, 5, toxicity.N_INPUTS)), np.ones((7, 5)), np.array([0, 1, 0, 1, 1.0])
+    mask = np.ones((7, 6))
     mask[4:, 2] = 0
-    _, g = net.gradients(x, mask, y)
+    b = {"word": np.array([3, 0, 7, 3]), "gram": np.array([1, 2, 3, 2, 5, 9]), "first": np.array([0, 2, 3, 5, 6]), "odds": r.normal(size=(4, toxicity.N_ODDS)), "at": r.integers(0, 4, (7, 6)), "mask": mask, "doc": np.array([0, 0, 1, 2, 2, 2]), "y": np.array([0, 1, 1.0])}
+    _, g = net.gradients(b)
+    for k in ("words", "chars"):
+        full = np.zeros_like(net.p[k])
+        full[g[k][0]] = g[k][1]
+        g[k] = full
     for k, v in net.p.items():
-        i = tuple(r.integers(0, s) for s in v.shape)
-        old, step = v[i], 1e-5
-        v[i] = old + step
-        up = net.gradients(x, mask, y)[0]
-        v[i] = old - step
-        down = net.gradients(x, mask, y)[0]
-        v[i] = old
-        assert abs((up - down) / 2 / step - g[k][i]) < 1e-6
+        for _ in range(4):
+            i = (int(r.choice([0, 1, 2, 3, 5, 7, 9])), int(r.integers(v.shape[1]))) if k in ("words", "chars") else tuple(r.integers(0, s) for s in v.shape)
+            old, step = v[i], 1e-5
+            v[i] = old + step
+            up = net.gradients(b)[0]
+            v[i] = old - step
+            down = net.gradients(b)[0]
+            v[i] = old
+            assert abs((up - down) / 2 / step - g[k][i]) < 1e-6, k
+
+
+def plain_score(model, text):
+    """The network as the docstring of toxicity.py tells it, one number at a time."""
+    import io
+
+    z = {k: v.astype(float) if v.dtype.kind == "f" else v for k, v in np.load(io.BytesIO(model)).items()}
+    h, known, sigmoid = toxicity.HIDDEN, set(z["known"].tolist()), lambda x: 1 / (1 + math.exp(-x))
+    one = lambda b: int(textvec.span_hashes(textvec.prefix_hashes(np.frombuffer(b, np.uint8)), np.array([0]), np.array([len(b)]))[0])
+    mixed = lambda x, k: int(textvec.mix(np.array([(x + k) % (1 << 64)], np.uint64))[0])
+    rows = []
+    for word in lowered(text):
+        b, x = word.encode(), []
+        own = one(b)
+        x += z["words"][1 + mixed(own, 0) % (toxicity.WORD_ROWS - 1) if own in known else 0].tolist()
+        grams = [b[i : i + 3] for i in range(len(b) - 2)] or [b]
+        x += np.mean([z["chars"][mixed(one(t), 3) % toxicity.CHAR_ROWS] for t in grams], 0).tolist()
+        odds, seen = z["odds"], z["any"]
+        x += [odds[0, own % toxicity.TABLE], float(seen[0, own % toxicity.TABLE])]
+        for k, parts in ((1, [b[:n] for n in toxicity.PREFIXES if len(b) >= n]), (2, [b[i : i + toxicity.INNER] for i in range(len(b) - toxicity.INNER + 1)])):
+            lean = [odds[k, mixed(one(t), k) % toxicity.TABLE] for t in parts]
+            x += [max(lean), sum(lean) / len(lean)] if lean else [0.0, 0.0]
+        rows.append(np.array([*x, min(len(b), 40) / 10]))
+    best = 0.0
+    for begin in range(0, max(len(rows) - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE):
+        win = rows[begin : begin + toxicity.WINDOW]
+        if not win or (begin and begin + toxicity.WINDOW - toxicity.STRIDE >= len(rows)):
+            continue
+        states = [[None] * len(win), [None] * len(win)]
+        for d in (0, 1):
+            state = np.zeros(h)
+            for t in range(len(win)) if d == 0 else range(len(win) - 1, -1, -1):
+                x, hu = win[t] @ z["w"][d] + z["c"][d][0], state @ z["u"][d]
+                zr = [sigmoid(v) for v in x[: 2 * h] + hu[: 2 * h]]
+                new = [math.tanh(x[2 * h + i] + zr[h + i] * hu[2 * h + i]) for i in range(h)]
+                state = states[d][t] = np.array([zr[i] * state[i] + (1 - zr[i]) * new[i] for i in range(h)])
+        hs = [np.concatenate([a, b]) for a, b in zip(*states, strict=True)]
+        s = np.array([np.tanh(x @ z["a"] + z["ac"]) @ z["v"] for x in hs])
+        w = np.exp(s - s.max())
+        best = max(best, sigmoid(float((w / w.sum()) @ np.array(hs) @ z["o"] + z["oc"][0])))
+    return best
+
+
+def test_toxicity_scores_by_brute_force(spark, data, pandas_docs, docs, labels):
+    model = toxicity.model(docs, labels)
+    assert model and model == toxicity.model(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.op8(docs, labels).collect()}
+    some = [(i, t) for i, t in zip(pandas_docs.doc_id, pandas_docs.text, strict=True) if len(lowered(t)) < 400][:40]
+    assert max(len(lowered(t)) for _, t in some) > 128
+    assert all(abs(plain_score(model, t) - got[i]) < 1e-4 for i, t in some)
 
 
 def test_windows_cover_all_words():
