@@ -9,7 +9,8 @@ blocks differ are left (the edges of repeated passages). Of these, each distinct
 sorting with common-prefix values (suffix_sort.py): runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest go.
 Last, the removed spans are merged by document.
 
-A shard's text is in memory while it is sorted, so shards are bounded. The blocks of an anchor that has more than SHARD_BYTES of them are cut into parts, by the windows' distance to
+The sort works in files: text, types, names, both inductions' queues and results of more than suffix_sort.MEMORY entries, which a shard of SHARD_BYTES has, so a shard may be far larger than memory; shards are kept
+small for the sake of parallel tasks. The blocks of an anchor that has more than SHARD_BYTES of them are cut into parts, by the windows' distance to
 the anchor: windows of nearby distances all hold the bytes they share (their core), so equal ones have equal cores, and parts are dealt by core. Parts of a core that still has too many
 are cut into single windows, which meet only equal ones. Of equal parts that one task reads at once only the first is dealt.
 
@@ -18,28 +19,29 @@ Documents without repeats are never moved: their digests come from a scan. Ancho
 Equality of whole blocks is by two 64-bit hashes, of the anchor and of the block. Where rows repeat a doc_id, or have none, all rows are first numbered in
 (doc_id, text) order, so of equal rows each after the first loses what repeats.
 
-Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a null doc_id comes before all others; an empty table gives no rows.
+Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a null doc_id comes before all others; an empty table gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
+from . import suffix_sort, textvec
 from .common import bounded_batches, stored
-from .packing import packed as _pack, unpacked as _unpack
-from .suffix_sort import suffix_array
+from .packing import packed as _pack
+from .packing import unpacked as _unpack
 
 LENGTH = 100
 GRAM = 32
 DEALT_BYTES = 24 << 20
 SHARD_BYTES = 2 << 20
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 48 << 20
 SPLIT_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
 _DEALT = "dest int, payload binary"
@@ -209,54 +211,89 @@ def _split(length: int, gram: int, step: int):
     return run
 
 
-def equal_windows(texts: list[bytes], length: int, memory: int | None = None) -> np.ndarray:
-    """Places in the texts, laid end to end with one byte between, whose window also starts in an earlier one; texts come in order of precedence."""
-    from . import suffix_sort
-
-    sizes = np.array([len(x) for x in texts])
-    bounds = np.append(0, np.cumsum(sizes + 1))
-    t = np.zeros(bounds[-1] + 1, np.int64)
-    t[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
-    t[bounds[1:] - 1] = 1
-    sa, lcp = suffix_array(t, memory or suffix_sort.MEMORY)
-    # A run of neighbours that share `length` symbols is one window's occurrences; those whose window leaves its text hold a 1 and are left out.
-    room = np.zeros(len(t), np.int64)
-    room[:-1] = np.repeat(bounds[1:] - 1, sizes + 1) - np.arange(len(t) - 1)
-    run = np.cumsum(lcp < length) - 1
-    least = np.minimum.reduceat(sa, np.flatnonzero(lcp < length))
-    later = (sa != least[run]) & (room[sa] >= length)
-    return np.sort(sa[later])
-
-
-def _sorted_out(length: int):
-    """Spans (doc, begin, end) of windows that also start earlier, from rows in (shard, doc, begin) order."""
-
-    def one(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        docs, begins, texts = zip(*rows, strict=True)
-        bounds = np.append(0, np.cumsum([len(x) + 1 for x in texts]))
-        at = equal_windows(list(texts), length)
-        # Runs of windows one after another inside one text.
-        text = np.searchsorted(bounds, at, "right") - 1
-        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])])[: len(at)]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        which = text[first]
-        shift = np.array(begins)[which] - bounds[which]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(docs, np.int64)[which]), pa.array((at[first] + shift).astype(np.int32)), pa.array((at[last] + shift + length).astype(np.int32))], ["doc", "begin", "end"]
-        )
+class _Shard:
+    """Texts laid end to end in a scratch file, as symbols: bytes plus 2, a 1 after each text, a 0 at the end."""
+
+    def __init__(self):
+        self.file, self.docs, self.begins, self.sizes = tempfile.TemporaryFile(prefix="quern-"), [], [], []
+
+    def add(self, doc: int, begin: int, raw: bytes) -> None:
+        (np.frombuffer(raw + b"\0", np.uint8).astype(np.int16) + np.append(np.full(len(raw), 2, np.int16), np.int16(1))).tofile(self.file)
+        self.docs.append(doc)
+        self.begins.append(begin)
+        self.sizes.append(len(raw))
+
+    def text(self) -> np.ndarray:
+        np.zeros(1, np.int16).tofile(self.file)
+        self.file.flush()
+        return np.memmap(self.file, np.int16, "r")
+
+
+def later_windows(t: np.ndarray, bounds: np.ndarray, length: int, memory: int = suffix_sort.MEMORY) -> np.ndarray:
+    """Marks the places in the texts t[bounds[i] : bounds[i + 1] - 1] whose window also starts in an earlier place."""
+    sa, lcp = suffix_sort.suffix_array(t, memory)
+    n = len(t)
+    marks = suffix_sort.array(n, memory, bool)
+    step = min(memory, 1 << 19)
+    for i in range(0, n, step):
+        marks[i : i + step] = False
+    # A run of neighbours that share `length` symbols is one window's occurrences: all are marked but the least. Windows that leave their text hold a 1 and are left out.
+    open_, least = False, -1
+    for i in range(0, n, step):
+        at, joins = np.asarray(sa[i : i + step], np.int64), lcp[i : i + step] >= length
+        run = np.cumsum(~joins)  # 0 goes on from the stretch before
+        inner = np.append(joins[1:], i + step < n and lcp[i + step] >= length)
+        member = (joins | inner) & (bounds[np.minimum(np.searchsorted(bounds, at, "right"), len(bounds) - 1)] - 1 - at >= length)
+        marks[at[member]] = True
+        if joins[0] and open_:
+            least = min(least, int(at[run == 0].min()))
+        if run[-1] > 0 or not joins[0]:
+            if open_:
+                marks[least] = False
+            begin = np.flatnonzero(~joins)
+            low = np.minimum.reduceat(at, begin)
+            marks[low[:-1]] = False
+            open_, least = bool(inner[-1]), int(low[-1])
+            if not open_:
+                marks[least] = False
+        elif not inner[-1]:
+            marks[least] = False
+            open_ = False
+    return marks
+
+
+def _sorted_out(length: int, memory: int = suffix_sort.MEMORY):
+    """Spans (doc, begin, end) of windows that also start earlier, from rows in (shard, doc, begin) order; texts go to a file as they come."""
+
+    def one(shard: _Shard):
+        bounds = np.append(0, np.cumsum(np.array(shard.sizes, np.int64) + 1))
+        marks = later_windows(shard.text(), bounds, length, memory)
+        docs, begins = np.array(shard.docs, np.int64), np.array(shard.begins, np.int64)
+        step = min(memory, 1 << 19)
+        for i in range(0, len(marks), step):
+            # Runs of windows one after another inside one text; a run that two stretches share is two spans, which are merged with all others.
+            at = np.flatnonzero(marks[i : i + step]) + i
+            if not len(at):
+                continue
+            text = np.searchsorted(bounds, at, "right") - 1
+            new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            which = text[first]
+            shift = begins[which] - bounds[which]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[which]), pa.array((at[first] + shift).astype(np.int32)), pa.array((at[last] + shift + length).astype(np.int32))], ["doc", "begin", "end"])
 
     def run(batches):
-        now, held = None, []
+        now, held = None, None
         for batch in batches:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now and held:
-                    yield one(held)
-                    held = []
-                now = shard
-                held.append(tuple(row))
-        if held:
-            yield one(held)
+                if shard != now:
+                    if held is not None:
+                        yield from one(held)
+                    held, now = _Shard(), shard
+                held.add(*row)
+        if held is not None:
+            yield from one(held)
 
     return run
 
