@@ -6,17 +6,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
-from quern.llm.common import documents, shared_dir
+from quern.llm.common import delete, discarded, documents, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host passes."""
-    rates = quality_rules.host_rates(quality_rules.measured(docs.select(F.col("source").alias("host"), "text")).select("host", "base_failed"))
-    rows = quality_rules.measured(docs.select(F.struct("*").alias("__row"), "text", "source"))
-    return quality_rules.judged(rows, rates=rates).filter("kept").select("__row.*")
+    return quality_rules.kept(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with size, text_crc32, curve, shard and slot."""
+    """Documents with size, text_crc32, curve, shard and slot; input columns of these names as input_size and so on."""
     return sharding.hilbert_shards(docs)
 
 
@@ -52,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage leaves in the shared folder, and its input, are deleted once its result is written."""
     docs = documents(spark, sf_dir)
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        with discarded(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            delete(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs
