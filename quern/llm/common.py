@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,14 +52,17 @@ def hash_sample(df: DataFrame, total: int, wanted: int, *columns: str) -> DataFr
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors. compression: "none" for columns that are compressed already; the
+    codecs keep buffers of a page's size outside the heap, which large values make large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -69,6 +74,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that stored() writes meanwhile, at the end; nothing may read them later."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that stored() wrote in this application; results that still read them become invalid."""
     delete(spark, shared_dir(spark))

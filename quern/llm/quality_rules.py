@@ -8,7 +8,7 @@ All measures are built-in array and string functions over the whole text, so the
 only (doc_id, host, measures) meet the host table. Trigrams are compared by 64-bit hashes within one text.
 
 Defined cases: null text has no words (so it fails); a null host is a host of its own; an empty table gives no rows;
-repeated rows count each; other columns pass through.
+repeated rows count each; kept() returns all columns of its input as they are, whatever their names, measured() and judged() those that are not named like a column they add.
 """
 
 from __future__ import annotations
@@ -102,6 +102,15 @@ def judged(docs: DataFrame, host: str = "source", rates: DataFrame | None = None
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= MAX_HOST_RATE))
 
 
+def kept(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The documents that pass their own rules and whose host passes, with the columns of docs. Texts are measured once: rows that fail leave only their host behind."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = measured(docs.select(row.alias("__row"), F.col(host).alias("host"), "text")).select("host", "base_failed", F.when(~F.col("base_failed"), F.col("__row")).alias("__row"))
+    rows = stored(rows)
+    rates = host_rates(rows.select("host", "base_failed"))
+    return judged(rows, "host", rates).filter("kept").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def op3(docs: DataFrame) -> DataFrame:
     rows = stored(measured(docs.select("doc_id", "source", "text")).drop("text"))
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontaminate, importance, katz, mixing, near_dedup, oracles, quality_rules, repeats, sharding, token_output, toxicity
 from .common import documents
 
@@ -24,7 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda spark, d: toxicity.op8(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op9_near_dedup": lambda spark, d: near_dedup.op9(documents(spark, d)),
         "op10_token_output": lambda spark, d: token_output.op10(documents(spark, d)),
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -117,7 +117,7 @@ def test_hosts(spark):
     assert all(out[i] for i in range(50)) and not out[100] and out[201] and not out[200]
 
 
-@pytest.mark.parametrize("memory,base", [(1 << 20, 1 << 20), (3, 1)])
+@pytest.mark.parametrize("memory,base", [(1 << 20, 1 << 20), (1 << 20, 1), (3, 1), (50, 5)])
 def test_suffix_sort(memory, base):
     r = np.random.default_rng(1)
     for k in range(120):
@@ -131,6 +131,43 @@ def test_suffix_sort(memory, base):
             common_[j] = int(np.argmin(np.append(a[:m] == b[:m], False)))
         sa, lcp = suffix_sort.suffix_array(t, memory, base)
         assert sa.tolist() == want and lcp.tolist() == common_
+    # Two letters with ends between, so that many pieces begin alike and end at different places.
+    t = np.append(r.choice([1, 5, 6], 4000, p=[0.05, 0.6, 0.35]), 0)
+    sa, _ = suffix_sort.suffix_array(t, memory, base)
+    b = t.tolist()
+    assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def test_suffix_sort_far_beyond_memory(tmp_path):
+    # Twenty-five times as many symbols as entries may be in memory, four levels of recursion, and never as much memory as one array of longs of its length.
+    import tracemalloc
+
+    r, memory = np.random.default_rng(2), 20_000
+    words_ = ["".join(r.choice(list("abcdefghij"), r.integers(2, 9))) for _ in range(3000)]
+    text = " ".join(words_[i] for i in r.zipf(1.3, 200_000) % 3000)[:500_000].encode()
+    text = text + text[1000:1400] + b"tail" + text[5000:5300]
+    np.append(np.frombuffer(text, np.uint8).astype(np.int16) + 2, np.int16(0)).tofile(tmp_path / "t")
+    t, levels, one = np.memmap(tmp_path / "t", np.int16, "r"), [], suffix_sort.suffix_array
+
+    def noted(t, memory, base):
+        levels.append(len(t))
+        return one(t, memory, base)
+
+    suffix_sort.suffix_array = noted
+    try:
+        tracemalloc.start()
+        sa, lcp = noted(t, memory, 4000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        suffix_sort.suffix_array = one
+    assert isinstance(sa, np.memmap) and len(levels) >= 3 and peak < 8 * len(t), (levels, peak)
+    full = text + b"\0"
+    assert (np.bincount(sa, minlength=len(t)) == 1).all()
+    for j in r.integers(1, len(t), 3000):
+        a, b = int(sa[j - 1]), int(sa[j])
+        k = int(lcp[j])
+        assert full[a : a + k] == full[b : b + k] and full[a + k] < full[b + k] if b + k < len(text) and a + k < len(text) else a + k >= len(text)
 
 
 def brute_repeats(rows, length):
@@ -163,8 +200,8 @@ def test_repeats_under_a_hot_anchor(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
     one = repeats._sorted_out
 
-    def noted(length):
-        run, folder = one(length), str(tmp_path)
+    def noted(length, memory=400):
+        run, folder = one(length, memory), str(tmp_path)
 
         def count(batches):
             import collections
@@ -192,7 +229,9 @@ def test_repeats_under_a_hot_anchor(spark, monkeypatch, tmp_path):
     assert 0 < max(int(f.read_text()) for f in tmp_path.iterdir()) < 3 * shard
 
 
-def test_repeats_of_few_letters(spark):
+def test_repeats_of_few_letters(spark, monkeypatch):
+    one = repeats._sorted_out
+    monkeypatch.setattr(repeats, "_sorted_out", lambda length: one(length, 50))
     r = np.random.default_rng(3)
     rows = [(i, "".join(r.choice(list("ab"), r.integers(0, 400)))) for i in range(40)] + [(40, "a" * 500), (41, "b" + "a" * 300), (42, "ab" * 200)]
     out = repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20, 8).drop("spans").collect()

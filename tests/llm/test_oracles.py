@@ -19,5 +19,7 @@ def test_oracle(spark, data, name):
 
 
 def test_all_operators_are_registered():
-    names = queries.queries()
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
