@@ -233,8 +233,8 @@ def _tiled(shared):
     def run(batches):
         items = shared.value
         for batch in batches:
-            best = [x for w in words((None, t) for t in batch.column(1).to_pylist()) for x in items.best(w)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _verdicts(best)], ["__row", "__found"])
+            best = [x for w in words((None, t) for t in batch.column(batch.num_columns - 1).to_pylist()) for x in items.best(w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _verdicts(best)], [*batch.schema.names[:-1], "__found"])
 
     return run
 
@@ -352,22 +352,22 @@ def _joined(docs: DataFrame, items: DataFrame, least: int, limit: float) -> Data
     return stored(whole.select("key1", "key2", F.col("best.found").withField("items", F.col("items")).alias("__found")))
 
 
-def tiled(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS, limit: float = COVERAGE) -> DataFrame:
-    """__row (the columns of docs), __found: item (the one covered most), coverage, tiles ([start in text, start in item, length] in words), items (how many are covered to the limit), place of each row; coverage is 0 if
-    no item is covered to the limit."""
+def tiled(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, least: int = MIN_WORDS, limit: float = COVERAGE) -> DataFrame:
+    """Columns __in0, __in1, .. (those of docs that are named in keep, or all) and __found of each row: item (the one covered most), coverage, tiles ([start in text, start in item, length] in words), items (how many are
+    covered to the limit), place; coverage is 0 if no item is covered to the limit."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    carried = [F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(docs.columns if keep is None else keep)]
     if size <= BROADCAST_BYTES:
         rows = items.orderBy(F.col("item_id").asc_nulls_last(), "text").collect()  # BROADCAST_BYTES at most
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], least, limit))
-        out = bounded_batches(docs).select(row, "text")
-        return out.mapInArrow(_tiled(shared), T.StructType([out.schema["__row"], T.StructField("__found", T._parse_datatype_string(_VERDICT))]))
+        out = bounded_batches(docs).select(*carried, "text")
+        return out.mapInArrow(_tiled(shared), T.StructType([*out.schema.fields[:-1], T.StructField("__found", T._parse_datatype_string(_VERDICT))]))
     found = _joined(bounded_batches(docs), items, least, limit)
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = docs.select(row, *_keys(F.col("text")))
+    keyed = docs.select(*carried, *_keys(F.col("text")))
     out = keyed.join(F.broadcast(found) if few else found, ["key1", "key2"], "left")
-    return out.select("__row", F.coalesce("__found", F.lit(None).cast(_VERDICT)).alias("__found"))
+    return out.select(*keyed.columns[:-2], F.coalesce("__found", F.lit(None).cast(_VERDICT)).alias("__found"))
 
 
 def _limit(limit: float) -> Column:
@@ -376,13 +376,13 @@ def _limit(limit: float) -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS, limit: float = COVERAGE) -> DataFrame:
     """The documents that cover no item to the limit."""
-    kept = tiled(docs, benchmark, least, limit).filter(~_limit(limit))
-    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    kept = tiled(docs, benchmark, None, least, limit).filter(~_limit(limit))
+    return kept.select(*[F.col(f"__in{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    out, bad = tiled(docs.select("doc_id", "text"), benchmark), _limit(COVERAGE)
+    out, bad = tiled(docs, benchmark, ["doc_id"]), _limit(COVERAGE)
     return out.select(
-        F.col("__row.doc_id").alias("doc_id"), F.when(bad, F.col("__found.item")).alias("item_id"), F.coalesce("__found.coverage", F.lit(0.0)).alias("coverage"),
+        F.col("__in0").alias("doc_id"), F.when(bad, F.col("__found.item")).alias("item_id"), F.coalesce("__found.coverage", F.lit(0.0)).alias("coverage"),
         F.when(bad, F.size("__found.tiles")).otherwise(0).alias("n_tiles"), F.coalesce("__found.items", F.lit(0)).alias("n_items"), bad.alias("contaminated"), (~bad).alias("kept"),
     )

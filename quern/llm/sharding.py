@@ -105,10 +105,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
             own.add(new)
             names[c] = new
     kept = [names.get(c, c) for c in docs.columns]
-    # The input's columns travel in one struct, so none of them meets a name used here.
-    doc = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, kept, strict=True)])
+    # The input's columns travel under names of their own, so none of them meets a name used here.
+    carried = {f"__in{k}": n for k, n in enumerate(kept)}
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(doc.alias("__doc"), "doc_id", "source", "lang", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, carried, strict=True)], "doc_id", "source", "lang", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dims = dimensions(rows, F.col("size"))
     n = len(dims)
     cell = F.lit(0)
@@ -131,7 +131,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     out = rows.join(offsets, ["__cell", "__salt"]).withColumn("__rank", rank)
     out = out.withColumn("shard", F.expr(f"(__rank * {shards}) div {total}").cast("int"))
     out = out.withColumn("slot", F.col("__rank") - F.expr(f"(shard * {total} + {shards - 1}) div {shards}"))
-    return out.select(*[F.col("__doc")[c].alias(c) for c in kept], *ADDED)
+    return out.select(*[F.col(k).alias(n) for k, n in carried.items()], *ADDED)
 
 
 def write_shards(sharded: DataFrame, path: str, files: int = 4) -> None:
