@@ -42,3 +42,7 @@ class TypeMismatchError(BindError):
 
 class InvalidQueryError(BindError):
     pass
+
+
+class CorruptTableError(QuernError):
+    """A stored table's files do not fit together."""

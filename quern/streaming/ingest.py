@@ -9,6 +9,6 @@ from ..sources.keyed import KeyedTable
 
 
 def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """A batch that is repeated after a failure writes the same rows again, which changes nothing: the last write wins."""
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: table.append(df))
+    """The table's manifest notes each batch with the rows it brings, by the checkpoint's name, so a batch that is repeated after a failure is left out."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.append(df, (checkpoint, n)))
     return (writer.trigger(availableNow=True) if available_now else writer).start()

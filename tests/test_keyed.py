@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.errors import InvalidQueryError
+from quern.errors import CorruptTableError, InvalidQueryError
 from quern.session import Engine
 from quern.sources.keyed import KeyedTable
 from quern.sources.manifest import Config, Manifest, Run, pick
@@ -56,26 +56,99 @@ def test_last_write_wins_and_restart(spark, tmp_path):
     assert ids(again.scan(ordered=True)) == [1, 2, 3, 4, 7, 9]
 
 
-def test_no_deduplication_after_compaction(spark, tmp_path):
-    t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, Config(buffer_rows=3))
-    for k in range(6):
-        t.insert(row(k))
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "Aggregate" not in plan(t.dataframe().filter("value > 20"))  # the runs lie apart
-    t.insert(row(2))
-    assert "Aggregate" in plan(t.dataframe())
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predicates_reach_all_runs(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, Config(buffer_rows=1000, level0_runs=100))
+    t.append(spark.range(2000).selectExpr("id", "id * 10 AS value", "id * 0.5 AS score", "concat('name_', id) AS name"))
+    high = lambda: t.dataframe().filter("value > 19900")
+    assert "Join" not in plan(high()) and "GreaterThan(value,19900)" in plan(high())
+    # One row in memory, and one small run: the base is still filtered where it is read, and nothing is grouped.
+    t.insert((1995, 5, 0.0, "gone"))
+    t.append(spark.createDataFrame([(1999, 30000, 0.0, "new"), (3, 40000, 0.0, "up")], SCHEMA.spark))
+    t.insert((1996, 50000, 0.0, "held"))
+    p = plan(high())
+    assert "Aggregate" not in p and "Sort" not in p and p.count("GreaterThan(value,19900)") >= 2 and "BroadcastHashJoin" in p
+    assert {r.id: r.value for r in high().collect()} == {1991: 19910, 1992: 19920, 1993: 19930, 1994: 19940, 1996: 50000, 1997: 19970, 1998: 19980, 1999: 30000, 3: 40000}
+    # Runs beside those that overlap are read as they are.
+    t.append(spark.createDataFrame([(k, 1, 0.0, "far") for k in (5000, 5001)], SCHEMA.spark))
+    assert "Join" not in plan(t.scan(4000)) and sorted(ids(t.scan(4000))) == [5000, 5001]
     t.compact()
-    p = plan(t.dataframe().filter("value > 20"))
-    assert "Aggregate" not in p and "GreaterThan(value,20)" in p
+    assert "Join" not in plan(high()) and t.dataframe().count() == 2002
+
+
+def test_many_newer_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from quern.sources import keyed
+
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, Config(level0_runs=100))
+        t.append(spark.createDataFrame([row(k) for k in range(20)], SCHEMA.spark))
+        t.append(spark.createDataFrame([(k, -k, 0.0, "x") for k in range(5, 15)], SCHEMA.spark))
+        df = t.dataframe()
+        assert "SortMergeJoin" in plan(df) and {r.id: r.value for r in df.collect()} == {k: -k if 5 <= k < 15 else k * 10 for k in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_inserts_and_reads_go_on_beside_compaction(spark, tmp_path, monkeypatch):
+    import threading
 
+    t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, Config(buffer_rows=4, level0_runs=2, background=True))
+    started, go, one = threading.Event(), threading.Event(), KeyedTable._write
 
-def test_one_shuffle_a_merge(spark, tmp_path):
-    from quern.sources.keyed import SEQ, _latest
+    def slow(self, df, level):
+        started.set()
+        assert go.wait(60)
+        return one(self, df, level)
 
-    df = spark.createDataFrame([(*row(k), 1) for k in (1, 2, 2, 3)], SCHEMA.spark.add(SEQ, "long"))
-    merged = _latest(df.repartitionByRange(3, "id"), SCHEMA).sortWithinPartitions("id")
-    assert ids(merged.orderBy("id")) == [1, 2, 3]
-    assert merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    monkeypatch.setattr(KeyedTable, "_write", slow)
+    for k in range(4):
+        t.insert(row(k))
+    assert started.wait(60)
+    for k in range(4, 9):
+        t.insert(row(k))  # not held up by the write
+    assert ids(t.scan(ordered=True)) == list(range(9))
+    go.set()
+    t.wait_for_compaction()
+    assert ids(t.scan(ordered=True)) == list(range(9)) and t.runs
+    t.close()
+
+
+def test_a_failed_background_flush_is_told_by_the_next_insert(spark, tmp_path, monkeypatch):
+    t = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, Config(buffer_rows=2, background=True))
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "_write", lambda *_: (_ for _ in ()).throw(OSError("disk")))
+        t.insert(row(1))
+        t.insert(row(2))
+        while t._worker is not None:
+            pass
+    with pytest.raises(OSError):
+        t.insert(row(3))
+    t.insert(row(3))
+    t.close()
+    assert ids(t.scan(ordered=True)) == [1, 2, 3]
+
+
+def test_manifest_checks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    a = KeyedTable(spark, path, SCHEMA)
+    a.insert(row(1))
+    a.flush()
+    b = KeyedTable.open(spark, path)
+    b.insert(row(2))
+    b.flush()
+    a.insert(row(3))
+    with pytest.raises(CorruptTableError):
+        a.flush()  # overtaken
+    text = (tmp_path / "t" / "manifest.json").read_text()
+    for bad in (text.replace("runs/1", "runs/9"), text.replace('"format": 1', '"format": 7'), text[:50], "{}"):
+        with pytest.raises(CorruptTableError):
+            Manifest.from_json(bad)
+    assert Manifest.from_json(text).runs == b.runs
 
 
 def test_extreme_keys_and_values(spark, tmp_path):
@@ -123,3 +196,7 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA.spark).parquet(str(tmp_path / "in"))
     upsert_stream(stream, t, str(tmp_path / "c"), available_now=True).awaitTermination()
     assert ids(t.scan(ordered=True)) == list(range(5))
+    # A repeated batch is left out, even where other writes came between.
+    t.append(spark.createDataFrame([(2, -1, 0.0, "later")], SCHEMA.spark))
+    t.append(spark.createDataFrame([row(2)], SCHEMA.spark), (str(tmp_path / "c"), 0))
+    assert t.get(2).first().value == -1
