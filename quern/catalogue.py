@@ -6,6 +6,7 @@ Outputs keep the dialect's column names. Sums and averages of fractions are roun
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -45,35 +46,37 @@ class Query:
         return df
 
 
-_PEOPLE = """
-CREATE TABLE people (id INT64 KEY, name STRING NULL, age INT64, salary DOUBLE NULL);
-INSERT INTO people (id, name, age, salary) VALUES (1, 'Ann', 19, 1000.0);
-INSERT INTO people (id, name, age) VALUES (2, 'Bob', 25);
-INSERT INTO people (id, age, salary) VALUES (3, 17, 2000.0);
-INSERT INTO people (id, name, age, salary) VALUES (4, 'Carl', 19, 1500.0);
-INSERT INTO people (salary, age, name, id) VALUES (5000.0, 19, 'Dasha', 40);
+#: A small table with nulls; rows are out of key order, and one is replaced.
+_CREW = """
+CREATE TABLE crew (id INT64 KEY, nick STRING NULL, grade INT64, pay DOUBLE NULL);
+INSERT INTO crew (id, grade, pay) VALUES (12, 28, 2750.0);
+INSERT INTO crew (pay, grade, nick, id) VALUES (6100.75, 31, 'Milo', 30);
+INSERT INTO crew (id, nick, grade, pay) VALUES (7, 'Zoe', 99, 1.0);
+INSERT INTO crew (id, nick, grade) VALUES (11, 'Juro', 45);
+INSERT INTO crew (id, nick, grade, pay) VALUES (7, 'Ika', 31, 1210.5);
+INSERT INTO crew (nick, id, pay, grade) VALUES ('Lene', 15, 1480.25, 31);
 """
-_PEOPLE_ROWS = "(VALUES (1::BIGINT, 'Ann', 19::BIGINT, 1000.0::DOUBLE), (2, 'Bob', 25, NULL), (3, NULL, 17, 2000.0), (4, 'Carl', 19, 1500.0), (40, 'Dasha', 19, 5000.0)) AS people(id, name, age, salary)"
+_CREW_ROWS = "(VALUES (7::BIGINT, 'Ika', 31::BIGINT, 1210.5::DOUBLE), (11, 'Juro', 45, NULL), (12, NULL, 28, 2750.0), (15, 'Lene', 31, 1480.25), (30, 'Milo', 31, 6100.75)) AS crew(id, nick, grade, pay)"
 
 
 def _root(spark: SparkSession) -> str:
-    """A folder of the session for tables: in the shared folder where there is one."""
+    """A folder of the session for tables: in the shared folder, or a temporary one if there is none and all runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quern-tables-")
 
 
-def _people(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def _crew(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = Engine(spark, _root(spark))
-        e.run(_PEOPLE)
+        e.run(_CREW)
         return e.sql(sql)
 
     return run
 
 
-_G = "people"
+_G = "crew"
 
 _QUERIES: dict[str, Query] = {
     "flagship": Query(
@@ -143,20 +146,23 @@ _QUERIES: dict[str, Query] = {
     "group_distinct": Query("SELECT o_orderpriority FROM orders GROUP BY o_orderpriority;", "SELECT DISTINCT o_orderpriority FROM orders"),
     "group_order_limit": Query("SELECT o_custkey, COUNT(o_orderkey) FROM orders GROUP BY o_custkey ORDER BY o_custkey DESC LIMIT 10;", 'SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(o_orderkey) AS "count(o_orderkey)" FROM orders GROUP BY o_custkey ORDER BY o_custkey DESC LIMIT 10'),
     "group_order_expr": Query(
-        "SELECT o_custkey, COUNT(o_orderkey) FROM orders GROUP BY o_custkey ORDER BY o_custkey > 50, o_custkey LIMIT 20;",
-        'SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(o_orderkey) AS "count(o_orderkey)" FROM orders GROUP BY o_custkey ORDER BY o_custkey > 50, o_custkey LIMIT 20',
+        "SELECT o_custkey, COUNT(o_orderkey) FROM orders GROUP BY o_custkey ORDER BY o_custkey > 50, o_custkey;",
+        'SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(o_orderkey) AS "count(o_orderkey)" FROM orders GROUP BY o_custkey ORDER BY o_custkey > 50, o_custkey',
     ),
     "group_order_first_row": Query(
-        "SELECT o_orderpriority, COUNT(o_orderkey) FROM orders GROUP BY o_orderpriority ORDER BY o_custkey, o_orderpriority LIMIT 3;",
-        'SELECT o_orderpriority, count(o_orderkey) AS "count(o_orderkey)" FROM orders GROUP BY o_orderpriority ORDER BY arg_min(o_custkey, o_orderkey), o_orderpriority LIMIT 3',
+        "SELECT o_orderpriority, COUNT(o_orderkey) FROM orders GROUP BY o_orderpriority ORDER BY o_custkey, o_orderpriority;",
+        'SELECT o_orderpriority, count(o_orderkey) AS "count(o_orderkey)" FROM orders GROUP BY o_orderpriority ORDER BY arg_min(o_custkey, o_orderkey), o_orderpriority',
     ),
-    "order_asc": Query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50"),
-    "order_desc": Query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
-    "order_multi": Query("SELECT c_custkey FROM customer ORDER BY c_mktsegment DESC, c_acctbal ASC, c_custkey LIMIT 25;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey LIMIT 25"),
-    "order_nonselected": Query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10;", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"),
-    "order_bool": Query("SELECT c_custkey FROM customer ORDER BY c_acctbal > 0.0, c_custkey LIMIT 30;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_acctbal > 0, c_custkey LIMIT 30"),
-    "order_literal": Query("SELECT c_custkey FROM customer ORDER BY 2, c_custkey LIMIT 5;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_custkey LIMIT 5"),
+    "order_asc": Query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey"),
+    "order_desc": Query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
+    "order_multi": Query("SELECT c_custkey FROM customer ORDER BY c_mktsegment DESC, c_acctbal ASC, c_custkey;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey"),
+    "order_nonselected": Query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey;", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey"),
+    "order_bool": Query("SELECT c_custkey FROM customer ORDER BY c_acctbal > 0.0, c_custkey;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_acctbal > 0, c_custkey"),
+    "order_literal": Query("SELECT c_custkey FROM customer ORDER BY 2, c_custkey;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer ORDER BY c_custkey"),
     "limit_topk": Query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100;", "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(value AS DOUBLE) AS value FROM events ORDER BY value DESC, event_id LIMIT 100"),
+    "limit_large": Query("SELECT c_custkey, c_name FROM customer LIMIT 5000000000;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer"),
+    "filter_nonassociative": Query("SELECT o_orderkey FROM orders WHERE ((o_totalprice > 100000.0) = (o_orderstatus = 'F')) = (o_custkey > 50);", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE ((o_totalprice > 100000) = (o_orderstatus = 'F')) = (o_custkey > 50)"),
+    "filter_precedence": Query("SELECT o_orderkey FROM orders WHERE o_custkey < 40 OR NOT o_orderstatus = 'O' AND o_totalprice > 120000.0;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE o_custkey < 40 OR ((NOT o_orderstatus = 'O') AND o_totalprice > 120000)"),
     "limit_zero": Query("SELECT c_custkey FROM customer LIMIT 0;", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer LIMIT 0"),
     "where_order_limit": Query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 10;", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 10"),
     "skip_numeric": Query("SELECT COUNT(l_orderkey) FROM lineitem WHERE l_extendedprice > 90000.0;", 'SELECT count(l_orderkey) AS "count(l_orderkey)" FROM lineitem WHERE l_extendedprice > 90000'),
@@ -165,16 +171,16 @@ _QUERIES: dict[str, Query] = {
 }
 
 #: Over a keyed table made by statements, with nulls: (statement, counterpart).
-_PEOPLE_QUERIES = {
-    "filter_is_null": (f"SELECT id FROM {_G} WHERE name IS NULL;", f"SELECT id FROM {_PEOPLE_ROWS} WHERE name IS NULL"),
-    "filter_is_not_null": (f"SELECT id FROM {_G} WHERE salary IS NOT NULL;", f"SELECT id FROM {_PEOPLE_ROWS} WHERE salary IS NOT NULL"),
-    "filter_3vl": (f"SELECT id FROM {_G} WHERE NOT (salary > 1200.0 AND name != 'Bob') OR name = NULL;", f"SELECT id FROM {_PEOPLE_ROWS} WHERE NOT (salary > 1200 AND name <> 'Bob') OR name = NULL"),
-    "item_3vl": (f"SELECT id, salary > 1200.0, NOT name = 'Ann', name IS NULL FROM {_G};", f"SELECT id, salary > 1200 AS expression2, NOT name = 'Ann' AS expression3, name IS NULL AS expression4 FROM {_PEOPLE_ROWS}"),
-    "agg_nulls": (f"SELECT COUNT(id), COUNT(salary), SUM(salary), AVG(salary), MIN(salary), MAX(age) FROM {_G};", f'SELECT count(id) AS "count(id)", count(salary) AS "count(salary)", sum(salary) AS "sum(salary)", avg(salary) AS "avg(salary)", min(salary) AS "min(salary)", max(age) AS "max(age)" FROM {_PEOPLE_ROWS}'),
-    "group_nulls": (f"SELECT name, COUNT(id), SUM(salary) FROM {_G} GROUP BY name;", f'SELECT name, count(id) AS "count(id)", sum(salary) AS "sum(salary)" FROM {_PEOPLE_ROWS} GROUP BY name'),
-    "order_nulls_asc": (f"SELECT id FROM {_G} ORDER BY salary, id LIMIT 4;", f"SELECT id FROM {_PEOPLE_ROWS} ORDER BY salary NULLS LAST, id LIMIT 4"),
-    "order_nulls_desc": (f"SELECT id FROM {_G} ORDER BY salary DESC, id LIMIT 2;", f"SELECT id FROM {_PEOPLE_ROWS} ORDER BY salary DESC NULLS FIRST, id LIMIT 2"),
-    "insert_select": (f"SELECT * FROM {_G};", f"SELECT * FROM {_PEOPLE_ROWS}"),
+_CREW_QUERIES = {
+    "filter_is_null": (f"SELECT id FROM {_G} WHERE nick IS NULL;", f"SELECT id FROM {_CREW_ROWS} WHERE nick IS NULL"),
+    "filter_is_not_null": (f"SELECT id FROM {_G} WHERE pay IS NOT NULL;", f"SELECT id FROM {_CREW_ROWS} WHERE pay IS NOT NULL"),
+    "filter_3vl": (f"SELECT id FROM {_G} WHERE NOT (pay > 1300.0 AND nick != 'Juro') OR nick = NULL;", f"SELECT id FROM {_CREW_ROWS} WHERE NOT (pay > 1300 AND nick <> 'Juro') OR nick = NULL"),
+    "item_3vl": (f"SELECT id, pay > 1300.0, NOT nick = 'Ika', nick IS NULL FROM {_G};", f"SELECT id, pay > 1300 AS expression2, NOT nick = 'Ika' AS expression3, nick IS NULL AS expression4 FROM {_CREW_ROWS}"),
+    "agg_nulls": (f"SELECT COUNT(id), COUNT(pay), SUM(pay), AVG(pay), MIN(pay), MAX(grade) FROM {_G};", f'SELECT count(id) AS "count(id)", count(pay) AS "count(pay)", sum(pay) AS "sum(pay)", avg(pay) AS "avg(pay)", min(pay) AS "min(pay)", max(grade) AS "max(grade)" FROM {_CREW_ROWS}'),
+    "group_nulls": (f"SELECT nick, COUNT(id), SUM(pay) FROM {_G} GROUP BY nick;", f'SELECT nick, count(id) AS "count(id)", sum(pay) AS "sum(pay)" FROM {_CREW_ROWS} GROUP BY nick'),
+    "order_nulls_asc": (f"SELECT id FROM {_G} ORDER BY pay, id;", f"SELECT id FROM {_CREW_ROWS} ORDER BY pay NULLS LAST, id"),
+    "order_nulls_desc": (f"SELECT id FROM {_G} ORDER BY pay DESC, id;", f"SELECT id FROM {_CREW_ROWS} ORDER BY pay DESC NULLS FIRST, id"),
+    "insert_select": (f"SELECT * FROM {_G};", f"SELECT * FROM {_CREW_ROWS}"),
 }
 
 
@@ -198,10 +204,72 @@ def _upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_table(spark, sf_dir, Config(level0_runs=100))[0].sql("SELECT * FROM kept;")
 
 
-def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compacted(spark: SparkSession, sf_dir: str, sql: str = "SELECT * FROM kept;") -> DataFrame:
     e, _ = _orders_table(spark, sf_dir, Config(level0_runs=2))
     e.catalog.table("kept").compact()
-    return e.sql("SELECT id, price FROM kept WHERE id >= 100 AND id < 5000 AND price > 50000.0;")
+    return e.sql(sql)
+
+
+def _mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on a value, over a large run, two that overlap it, frozen and buffered rows."""
+    e, _ = _orders_table(spark, sf_dir, Config(level0_runs=100, buffer_rows=2))
+    for k in (1, 2, 4):
+        e.sql(f"INSERT INTO kept (id, price, status) VALUES ({k}, 999999.5, 'held');")
+    return e.sql("SELECT id, price, status FROM kept WHERE price > 150000.0;")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read made before later writes and compactions."""
+    e, _ = _orders_table(spark, sf_dir, Config(level0_runs=100))
+    before = e.sql("SELECT * FROM kept;")
+    table = e.catalog.table("kept")
+    table.append(before.withColumn("price", F.lit(0.0)).select("id", "price", "status"))
+    e.sql("INSERT INTO kept (id, price, status) VALUES (1, -1.0, 'late');")
+    table.compact()
+    return before
+
+
+def _beside_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows inserted while flushes and compactions run on the table's thread."""
+    e = Engine(spark, _root(spark), Config(buffer_rows=20, level0_runs=2, background=True))
+    e.sql("CREATE TABLE counted (id INT64 KEY, twice INT64);")
+    for k in range(100):
+        e.sql(f"INSERT INTO counted (id, twice) VALUES ({k % 70}, {2 * k});")
+    e.catalog.wait_for_compaction("counted")
+    return e.sql("SELECT * FROM counted;")
+
+
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a full buffer that is not written yet, under newer ones in the buffer."""
+    e = Engine(spark, _root(spark), Config(buffer_rows=1000))
+    e.sql("CREATE TABLE counted (id INT64 KEY, twice INT64);")
+    table = e.catalog.table("counted")
+    for k in range(5):
+        e.sql(f"INSERT INTO counted (id, twice) VALUES ({k}, {2 * k});")
+    table._freeze()
+    e.sql("INSERT INTO counted (id, twice) VALUES (3, 100);")
+    return e.sql("SELECT * FROM counted WHERE twice > 2;")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tables there are, and the columns of one."""
+    e = engine(spark, sf_dir, "nation")
+    rows = [(t, e.catalog.table_exists(t), ",".join(e.catalog.schema_of(t).names) if e.catalog.table_exists(t) else None) for t in ("nation", "region")]
+    return spark.createDataFrame(rows, "name string, there boolean, columns string")
+
+
+def _sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in ascending order where the statement gives none: the places show it."""
+    e = engine(spark, sf_dir, "orders")
+    e.sorted_groups = True
+    rows = e.sql("SELECT o_orderpriority, COUNT(o_orderkey) FROM orders GROUP BY o_orderpriority;").collect()  # a row a priority
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "place int, priority string, n long")
+
+
+def _any_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit without order gives any rows, so many of them."""
+    e = engine(spark, sf_dir, "orders")
+    return e.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' LIMIT 7;").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("different"))
 
 
 def _reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,16 +283,27 @@ def _reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORAGE = {
     "upsert_latest": (_upsert_latest, _KEPT),
-    "flush_compact_roundtrip": (_compacted, f"SELECT id, price FROM ({_KEPT}) WHERE id >= 100 AND id < 5000 AND price > 50000"),
+    "flush_compact_roundtrip": (_compacted, _KEPT),
+    "compacted_range": (
+        lambda spark, d: _compacted(spark, d, "SELECT id, price FROM kept WHERE id >= 100 AND id < 5000 AND price > 50000.0;"),
+        f"SELECT id, price FROM ({_KEPT}) WHERE id >= 100 AND id < 5000 AND price > 50000",
+    ),
     "restart_reload": (_reloaded, f"{_KEPT} UNION ALL SELECT -1, 0.5, 'late'"),
+    "mixed_runs_filter": (_mixed_runs, f"SELECT * FROM ({_KEPT}) WHERE price > 150000 AND id NOT IN (1, 2, 4) UNION ALL SELECT unnest([1, 2, 4])::BIGINT, 999999.5, 'held'"),
+    "snapshot_read": (_snapshot, _KEPT),
+    "beside_compaction": (_beside_compaction, "SELECT max(k) % 70 AS id, 2 * max(k) AS twice FROM range(100) AS r(k) GROUP BY k % 70"),
+    "frozen_buffer": (_frozen, "SELECT k AS id, CASE WHEN k = 3 THEN 100 ELSE 2 * k END AS twice FROM range(2, 5) AS r(k)"),
+    "tables_described": (_described, "SELECT 'nation' AS name, true AS there, 'n_nationkey,n_name,n_regionkey' AS columns UNION ALL SELECT 'region', false, NULL"),
+    "group_sorted": (_sorted_groups, "SELECT (row_number() OVER (ORDER BY o_orderpriority) - 1)::INT AS place, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY o_orderpriority"),
+    "limit_any": (_any_rows, "SELECT least(count(*), 7) AS n, least(count(*), 7) AS different FROM orders WHERE o_orderstatus = 'F'"),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q.run for k, q in _QUERIES.items()} | {k: _people(s) for k, (s, _) in _PEOPLE_QUERIES.items()} | {k: f for k, (f, _) in _STORAGE.items()}
+    return {k: q.run for k, q in _QUERIES.items()} | {k: _crew(s) for k, (s, _) in _CREW_QUERIES.items()} | {k: f for k, (f, _) in _STORAGE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: q.oracle for k, q in _QUERIES.items()} | {k: o for k, (_, o) in _PEOPLE_QUERIES.items()} | {k: o for k, (_, o) in _STORAGE.items()}
+    out = {k: q.oracle for k, q in _QUERIES.items()} | {k: o for k, (_, o) in _CREW_QUERIES.items()} | {k: o for k, (_, o) in _STORAGE.items()}
     out["star_plus_item"] = out["star_plus_item"].replace("{n}", "3")
     return out

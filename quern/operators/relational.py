@@ -46,8 +46,8 @@ def aggregated(df: DataFrame, items: tuple[Item, ...], schema: TableSchema) -> D
     return df.agg(*[aggregate(i.kind, _value(i, schema)).alias(f"__a{n}") for n, i in enumerate(items)]).toDF(*[i.name for i in items])
 
 
-def grouped(df: DataFrame, items: tuple[Item, ...], groups: tuple[g.Expression, ...], order: tuple[g.OrderItem, ...], schema: TableSchema) -> DataFrame:
-    """One row a group, null being a group of its own. An order by anything but the groups takes the value of the group's row of least key."""
+def grouped(df: DataFrame, items: tuple[Item, ...], groups: tuple[g.Expression, ...], order: tuple[g.OrderItem, ...], schema: TableSchema, ascending: bool = False) -> DataFrame:
+    """One row a group, null being a group of its own. An order by anything but the groups takes the value of the group's row of least key. ascending: by the groups, nulls last, where no order is given."""
     out = df.select("*", *[column(e, schema).alias(f"__g{n}") for n, e in enumerate(groups)])
     names = [f"__g{n}" for n in range(len(groups))]
     aggs = [aggregate(i.kind, _value(i, schema)).alias(f"__a{n}") for n, i in enumerate(items) if i.kind]
@@ -65,6 +65,8 @@ def grouped(df: DataFrame, items: tuple[Item, ...], groups: tuple[g.Expression,
             aggs.append(F.min_by(column(o.expression, schema), quoted(schema.key.name)).alias(f"__s{k}"))
             sorts.append((f"__s{k}", o.descending))
     out = out.groupBy(*names).agg(*aggs) if aggs else out.select(*names).distinct()
+    if ascending and not order:
+        sorts = [(n, False) for n in names]
     if sorts:
         # Group columns under their own names again, for expressions over them.
         own = {e.name: F.col(f"__g{n}") for n, e in enumerate(groups) if isinstance(e, g.ColumnRef)}

@@ -28,6 +28,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str | None = None, config: Config | None = None, catalog: Catalog | None = None):
         self.spark, self.catalog = spark, catalog or Catalog(spark, root, config)
+        #: Give groups in ascending order, nulls last, where a statement names no order; a sort more.
+        self.sorted_groups = False
 
     def sql(self, text: str) -> DataFrame | CreateTableResult | InsertResult:
         bound = Binder(self.catalog).bind(parse(text))
@@ -37,7 +39,7 @@ class Engine:
         if isinstance(bound, BoundInsert):
             self.catalog.insert(bound.table, bound.row)
             return InsertResult(1)
-        return compile_select(bound, self.catalog)
+        return compile_select(bound, self.catalog, self.sorted_groups)
 
     def run(self, script: str) -> list:
         """Statements one after another, split at the line ends that follow a semicolon."""

@@ -3,7 +3,7 @@
 import pytest
 
 from quern import errors as e
-from quern.catalogue import _PEOPLE
+from quern.catalogue import _CREW
 from quern.session import Engine
 from quern.types import Column, SchemaBuilder, TableSchema, Type
 
@@ -11,7 +11,7 @@ from quern.types import Column, SchemaBuilder, TableSchema, Type
 @pytest.fixture(scope="module")
 def people(spark, tmp_path_factory):
     engine = Engine(spark, str(tmp_path_factory.mktemp("people")))
-    engine.run(_PEOPLE)
+    engine.run(_CREW)
     return engine
 
 
@@ -20,44 +20,44 @@ def rows(engine, sql):
 
 
 PLAIN = [
-    ("SELECT name FROM people ORDER BY id", ["Ann", "Bob", None, "Carl", "Dasha"]),
-    ("SELECT id FROM people WHERE age < 20 ORDER BY id", [1, 3, 4, 40]),
-    ("SELECT name FROM people WHERE id = 40", ["Dasha"]),
-    ("SELECT id FROM people WHERE id = 40 AND age < 20", [40]),
-    ("SELECT id FROM people WHERE id = 2 AND age < 20", []),
-    ("SELECT id FROM people WHERE id >= 2 AND id < 4 ORDER BY id", [2, 3]),
-    ("SELECT id FROM people WHERE id >= 1 AND id <= 4 AND age < 20 ORDER BY id", [1, 3, 4]),
-    ("SELECT id FROM people WHERE id = 1 AND id = 2", []),
-    ("SELECT name IS NULL FROM people WHERE id = 3", [True]),
-    ("SELECT id FROM people WHERE NOT age >= 20 ORDER BY id", [1, 3, 4, 40]),
-    ("SELECT id FROM people ORDER BY age, id", [3, 1, 4, 40, 2]),
-    ("SELECT id FROM people ORDER BY age DESC, id", [2, 1, 4, 40, 3]),
-    ("SELECT name FROM people ORDER BY age, id", [None, "Ann", "Carl", "Dasha", "Bob"]),
-    ("SELECT id FROM people ORDER BY age, id LIMIT 2", [3, 1]),
-    ("SELECT id FROM people ORDER BY salary, id", [1, 4, 3, 40, 2]),
-    ("SELECT id FROM people ORDER BY salary DESC", [2, 40, 3, 4, 1]),
-    ("SELECT id FROM people ORDER BY age, name DESC", [3, 40, 4, 1, 2]),
-    ("SELECT id FROM people WHERE age < 25 ORDER BY salary DESC", [40, 3, 4, 1]),
-    ("SELECT id FROM people ORDER BY name IS NULL, id", [1, 2, 4, 40, 3]),
-    ("SELECT id FROM people WHERE age = 19 ORDER BY name DESC LIMIT 2", [40, 4]),
-    ("SELECT id FROM people WHERE id >= 1 AND id <= 40 AND age < 25 ORDER BY age, id DESC", [3, 40, 4, 1]),
-    ("SELECT id FROM people LIMIT 0", []),
-    ("SELECT id FROM people WHERE id > 1.5 AND id != 3 ORDER BY id", [2, 4, 40]),
-    ("SELECT id FROM people WHERE id = NULL", []),
-    ("SELECT COUNT(id), SUM(age), AVG(salary), MIN(age), MAX(salary) FROM people", [(5, 99, 2375.0, 17, 5000.0)]),
-    ("SELECT AVG(age) FROM people", [19.8]),
-    ("SELECT COUNT(id), SUM(age), AVG(age), MIN(age), MAX(age) FROM people WHERE id = 1 AND id = 2", [(0, None, None, None, None)]),
-    ("SELECT COUNT(id) FROM people LIMIT 0", []),
-    ("SELECT COUNT(salary), SUM(salary) FROM people WHERE id = 2", [(0, None)]),
-    ("SELECT COUNT(name IS NULL) FROM people", [5]),
-    ("SELECT age, COUNT(id) FROM people GROUP BY age ORDER BY age DESC LIMIT 2", [(25, 1), (19, 3)]),
-    ("SELECT age, COUNT(salary), SUM(salary) FROM people GROUP BY age ORDER BY age", [(17, 1, 2000.0), (19, 3, 7500.0), (25, 0, None)]),
-    ("SELECT name, COUNT(id) FROM people GROUP BY name ORDER BY name", [("Ann", 1), ("Bob", 1), ("Carl", 1), ("Dasha", 1), (None, 1)]),
-    ("SELECT age, name, COUNT(id) FROM people GROUP BY age, name ORDER BY age, name DESC", [(17, None, 1), (19, "Dasha", 1), (19, "Carl", 1), (19, "Ann", 1), (25, "Bob", 1)]),
-    ("SELECT age, COUNT(id) FROM people WHERE id > 1000 GROUP BY age", []),
-    ("SELECT age >= 18, COUNT(id) FROM people GROUP BY age >= 18 ORDER BY age >= 18", [(False, 1), (True, 4)]),
-    ("SELECT age FROM people GROUP BY age ORDER BY name, age", [19, 25, 17]),
-    ("SELECT COUNT(id) FROM people GROUP BY 7 ORDER BY 3", [5]),
+    ("SELECT nick FROM crew ORDER BY id", ["Ika", "Juro", None, "Lene", "Milo"]),
+    ("SELECT id FROM crew WHERE grade < 40 ORDER BY id", [7, 12, 15, 30]),
+    ("SELECT nick FROM crew WHERE id = 30", ["Milo"]),
+    ("SELECT id FROM crew WHERE id = 30 AND grade < 40", [30]),
+    ("SELECT id FROM crew WHERE id = 11 AND grade < 40", []),
+    ("SELECT id FROM crew WHERE id >= 11 AND id < 15 ORDER BY id", [11, 12]),
+    ("SELECT id FROM crew WHERE id >= 7 AND id <= 15 AND grade < 40 ORDER BY id", [7, 12, 15]),
+    ("SELECT id FROM crew WHERE id = 7 AND id = 11", []),
+    ("SELECT nick IS NULL FROM crew WHERE id = 12", [True]),
+    ("SELECT id FROM crew WHERE NOT grade >= 40 ORDER BY id", [7, 12, 15, 30]),
+    ("SELECT id FROM crew ORDER BY grade, id", [12, 7, 15, 30, 11]),
+    ("SELECT id FROM crew ORDER BY grade DESC, id", [11, 7, 15, 30, 12]),
+    ("SELECT nick FROM crew ORDER BY grade, id", [None, "Ika", "Lene", "Milo", "Juro"]),
+    ("SELECT id FROM crew ORDER BY grade, id LIMIT 2", [12, 7]),
+    ("SELECT id FROM crew ORDER BY pay, id", [7, 15, 12, 30, 11]),
+    ("SELECT id FROM crew ORDER BY pay DESC", [11, 30, 12, 15, 7]),
+    ("SELECT id FROM crew ORDER BY grade, nick DESC", [12, 30, 15, 7, 11]),
+    ("SELECT id FROM crew WHERE grade < 45 ORDER BY pay DESC", [30, 12, 15, 7]),
+    ("SELECT id FROM crew ORDER BY nick IS NULL, id", [7, 11, 15, 30, 12]),
+    ("SELECT id FROM crew WHERE grade = 31 ORDER BY nick DESC LIMIT 2", [30, 15]),
+    ("SELECT id FROM crew WHERE id >= 7 AND id <= 30 AND grade < 45 ORDER BY grade, id DESC", [12, 30, 15, 7]),
+    ("SELECT id FROM crew LIMIT 0", []),
+    ("SELECT id FROM crew WHERE id > 7.5 AND id != 12 ORDER BY id", [11, 15, 30]),
+    ("SELECT id FROM crew WHERE id = NULL", []),
+    ("SELECT COUNT(id), SUM(grade), AVG(pay), MIN(grade), MAX(pay) FROM crew", [(5, 166, 2885.375, 28, 6100.75)]),
+    ("SELECT AVG(grade) FROM crew", [33.2]),
+    ("SELECT COUNT(id), SUM(grade), AVG(grade), MIN(grade), MAX(grade) FROM crew WHERE id = 7 AND id = 11", [(0, None, None, None, None)]),
+    ("SELECT COUNT(id) FROM crew LIMIT 0", []),
+    ("SELECT COUNT(pay), SUM(pay) FROM crew WHERE id = 11", [(0, None)]),
+    ("SELECT COUNT(nick IS NULL) FROM crew", [5]),
+    ("SELECT grade, COUNT(id) FROM crew GROUP BY grade ORDER BY grade DESC LIMIT 2", [(45, 1), (31, 3)]),
+    ("SELECT grade, COUNT(pay), SUM(pay) FROM crew GROUP BY grade ORDER BY grade", [(28, 1, 2750.0), (31, 3, 8791.5), (45, 0, None)]),
+    ("SELECT nick, COUNT(id) FROM crew GROUP BY nick ORDER BY nick", [("Ika", 1), ("Juro", 1), ("Lene", 1), ("Milo", 1), (None, 1)]),
+    ("SELECT grade, nick, COUNT(id) FROM crew GROUP BY grade, nick ORDER BY grade, nick DESC", [(28, None, 1), (31, "Milo", 1), (31, "Lene", 1), (31, "Ika", 1), (45, "Juro", 1)]),
+    ("SELECT grade, COUNT(id) FROM crew WHERE id > 1000 GROUP BY grade", []),
+    ("SELECT grade >= 30, COUNT(id) FROM crew GROUP BY grade >= 30 ORDER BY grade >= 30", [(False, 1), (True, 4)]),
+    ("SELECT grade FROM crew GROUP BY grade ORDER BY nick, grade", [31, 45, 28]),
+    ("SELECT COUNT(id) FROM crew GROUP BY 7 ORDER BY 3", [5]),
 ]
 
 
@@ -67,17 +67,17 @@ def test_select(people, sql, expected):
 
 
 def test_names(people):
-    assert people.sql("SELECT *, age, age > 1, COUNT(id) FROM people GROUP BY id, name, age, salary, age > 1;").columns == ["id", "name", "age", "salary", "age", "expression6", "count(id)"]
-    assert people.sql("SELECT SUM(age), COUNT(age IS NULL) FROM people;").columns == ["sum(age)", "count(expression2)"]
+    assert people.sql("SELECT *, grade, grade > 1, COUNT(id) FROM crew GROUP BY id, nick, grade, pay, grade > 1;").columns == ["id", "nick", "grade", "pay", "grade", "expression6", "count(id)"]
+    assert people.sql("SELECT SUM(grade), COUNT(grade IS NULL) FROM crew;").columns == ["sum(grade)", "count(expression2)"]
 
 
 ERRORS = [
-    ("SELECT x FROM people;", e.ColumnNotFoundError), ("SELECT ID FROM people;", e.ColumnNotFoundError), ("SELECT id FROM nobody;", e.TableNotFoundError), ("SELECT id FROM people ORDER BY x;", e.ColumnNotFoundError),
-    ("SELECT COUNT(id) FROM people GROUP BY x;", e.ColumnNotFoundError), ("SELECT name, COUNT(id) FROM people GROUP BY age;", e.InvalidQueryError), ("SELECT name, COUNT(id) FROM people;", e.InvalidQueryError),
-    ("SELECT id FROM people WHERE age;", e.InvalidQueryError), ("SELECT SUM(name) FROM people;", e.TypeMismatchError), ("SELECT MAX(NULL) FROM people;", e.TypeMismatchError), ("SELECT id FROM people WHERE NOT age;", e.TypeMismatchError),
-    ("SELECT id FROM people WHERE name > 5;", e.TypeMismatchError), ("SELECT id FROM people WHERE id = 'x';", e.TypeMismatchError), ("INSERT INTO people (id) VALUES (1);", e.TypeMismatchError),
-    ("INSERT INTO people (id, age) VALUES (1, 2, 3);", e.InvalidQueryError), ("INSERT INTO people (id, id, age) VALUES (1, 1, 3);", e.InvalidQueryError), ("INSERT INTO people (id, age, x) VALUES (1, 1, 3);", e.ColumnNotFoundError),
-    ("INSERT INTO people (id, age, salary) VALUES (1, 1, 3);", e.TypeMismatchError), ("INSERT INTO people (id, age) VALUES (NULL, 1);", e.TypeMismatchError), ("CREATE TABLE people (id INT64 KEY);", e.InvalidQueryError),
+    ("SELECT x FROM crew;", e.ColumnNotFoundError), ("SELECT ID FROM crew;", e.ColumnNotFoundError), ("SELECT id FROM nobody;", e.TableNotFoundError), ("SELECT id FROM crew ORDER BY x;", e.ColumnNotFoundError),
+    ("SELECT COUNT(id) FROM crew GROUP BY x;", e.ColumnNotFoundError), ("SELECT nick, COUNT(id) FROM crew GROUP BY grade;", e.InvalidQueryError), ("SELECT nick, COUNT(id) FROM crew;", e.InvalidQueryError),
+    ("SELECT id FROM crew WHERE grade;", e.InvalidQueryError), ("SELECT SUM(nick) FROM crew;", e.TypeMismatchError), ("SELECT MAX(NULL) FROM crew;", e.TypeMismatchError), ("SELECT id FROM crew WHERE NOT grade;", e.TypeMismatchError),
+    ("SELECT id FROM crew WHERE nick > 5;", e.TypeMismatchError), ("SELECT id FROM crew WHERE id = 'x';", e.TypeMismatchError), ("INSERT INTO crew (id) VALUES (1);", e.TypeMismatchError),
+    ("INSERT INTO crew (id, grade) VALUES (1, 2, 3);", e.InvalidQueryError), ("INSERT INTO crew (id, id, grade) VALUES (1, 1, 3);", e.InvalidQueryError), ("INSERT INTO crew (id, grade, x) VALUES (1, 1, 3);", e.ColumnNotFoundError),
+    ("INSERT INTO crew (id, grade, pay) VALUES (1, 1, 3);", e.TypeMismatchError), ("INSERT INTO crew (id, grade) VALUES (NULL, 1);", e.TypeMismatchError), ("CREATE TABLE crew (id INT64 KEY);", e.InvalidQueryError),
     ("CREATE TABLE p2 (id STRING KEY);", e.InvalidQueryError), ("CREATE TABLE p2 (a INT64, id INT64 KEY);", e.InvalidQueryError), ("CREATE TABLE p2 (id INT64 KEY, id DOUBLE);", e.InvalidQueryError), ("CREATE TABLE p2 (id INT64);", e.InvalidQueryError),
 ]
 
@@ -104,3 +104,21 @@ def test_point_filter_reaches_the_files(spark, tmp_path):
     plan = engine.sql("SELECT v FROM t WHERE id = 7 AND v > 1.0;")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,7)" in plan and "GreaterThan(v,1.0)" in plan
     assert "GreaterThanOrEqual(id,6)" in engine.sql("SELECT v FROM t WHERE id > 5.5;")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_in_order(people):
+    people.sorted_groups = True
+    try:
+        assert rows(people, "SELECT nick, grade FROM crew GROUP BY nick, grade;") == [("Ika", 31), ("Juro", 45), ("Lene", 31), ("Milo", 31), (None, 28)]
+        assert rows(people, "SELECT grade FROM crew GROUP BY grade ORDER BY grade DESC;") == [45, 31, 28]
+    finally:
+        people.sorted_groups = False
+
+
+def test_large_limits_are_exact(spark, monkeypatch):
+    from quern.operators import relational
+
+    df = spark.range(100).repartition(7).orderBy("id")
+    assert relational.limited(df, 3_000_000_000).count() == 100
+    monkeypatch.setattr(relational, "_PLAN_LIMIT", 5)
+    assert [r.id for r in relational.limited(df, 42).collect()] == list(range(42))
