@@ -12,8 +12,8 @@ executors. The dictionary lies beside them in a table of one row.
 Encoding: texts are cut before single spaces and around single line ends, which never changes the ids of a byte-level BPE whose words may begin with one space, and each
 distinct piece is encoded once per worker (a bounded cache, keyed by 64-bit hashes); new pieces are encoded many at a time, as lines of a text.
 
-Defined cases: null text is empty (the end id only); null doc_ids come first; rows that repeat a doc_id follow each other; an empty table gives an empty
-table; a sample too small to train on gives an empty dictionary.
+Defined cases: null text is empty (the end id only); null doc_ids come first; rows that repeat a doc_id follow each other, by a hash of their texts; an empty table gives an empty
+table; a sample too small to train on gives an empty dictionary; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ from .common import bounded_batches, hash_sample, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: The dictionary is trained on about this many documents, those of least hash, and on SAMPLE_BYTES of each at most.
+#: The dictionary is trained on the whole ids of twice as many documents at most, those of least hash, as far as they fit in SAMPLE_BYTES together.
 SAMPLE_DOCS = 1000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 20
 CACHE_PIECES = 2_500_000
@@ -185,7 +185,12 @@ def _serialized(batches, path: str, end_id: int):
 
 def _trained(path: str, end_id: int):
     def run(batches):
-        samples = [b[:SAMPLE_BYTES] for _, b in _serialized(batches, path, end_id)]
+        samples, total = [], 0
+        for _, ids in _serialized(batches, path, end_id):
+            total += len(ids)
+            if samples and total > SAMPLE_BYTES:
+                break
+            samples.append(ids)
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
         except (zstandard.ZstdError, ValueError):
@@ -261,7 +266,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end_id:
     dictionary.write.parquet(f"{out}/dictionary")
     first = docs.sparkSession.read.parquet(f"{out}/dictionary").first()
     raw = bytes(first.dictionary) if first else b""
-    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id are split by text, and equal rows by their place in the input, so no range has to hold them all.
+    order = ["doc_id", "__hash", "__row"]
+    dealt = docs.withColumns({"__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_written(raw, tokenizer, end_id), "part long, block long, n_ids long, payload binary").write.parquet(f"{out}/blocks")
 
 

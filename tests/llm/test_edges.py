@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -89,7 +90,8 @@ def tokens_of(rows):
     from tokenizers import Tokenizer
 
     t, start, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
-    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+    hashed = lambda x: 42 if x is None else int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64))
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, hashed(r.text))):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
         out.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

@@ -93,6 +93,49 @@ def test_mixing(docs, pandas_docs):
     assert (abs(by.taken - by.target) <= 0.02 * by.target).all()
 
 
+def test_mixing_rates_by_a_plain_solver(docs):
+    out = mixing.mixed(docs).toPandas()
+    for (source_size, target), g in out.groupby(["source_size", "target"]):
+        x = g["size"] / (source_size / len(g))
+        if target >= 2 * source_size:
+            assert (g.rate == 2).all()
+            continue
+        words_at = lambda lam: (np.minimum(2.0, np.exp(np.minimum(lam * x, 50))) * g["size"]).sum()  # noqa: E731, B023
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words_at(mid) < target else (low, mid)
+        assert abs((g.rate * g["size"]).sum() - target) <= 1e-6 * target
+        assert np.allclose(g.rate, np.minimum(2.0, np.exp(low * x)), atol=1e-5)
+
+
+def test_mixing_of_equal_rows(spark):
+    # Of 300 rows that are equal in all columns, as many are taken as the target wants, and none more than twice.
+    rows = [(1, "w " * 100, "a")] * 300 + [(i, "w " * (20 + i % 50), "a") for i in range(2, 62)] + [(100 + i, "v " * 90, "b") for i in range(400)] + [(None, None, None)] * 5 + [(None, "x y", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.op2(df).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all()
+    for _, g in out.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(0.01 * g.target.iloc[0], 100)
+    again = mixing.op2(df.repartition(3)).toPandas()
+    key = ["source_size", "size", "taken"]
+    assert sorted(map(tuple, out[key].to_numpy().tolist())) == sorted(map(tuple, again[key].to_numpy().tolist()))
+    # The mix itself takes the same numbers of copies.
+    text = {r[1]: n for n, r in enumerate(dict.fromkeys(rows))}
+    got = mixing.mix(df).toPandas()
+    assert len(text) and len(got) == int((out.copies).sum()) and (got.doc_id == 1).sum() == int(out[(out.doc_id == 1)].copies.sum())
+
+
+def test_running_sums(spark):
+    df = spark.range(200).selectExpr("(id * 37) % 101 AS k", "id AS tie", "id % 7 AS n")
+    rows = sorted(df.collect(), key=lambda r: (r.k, r.tie))
+    got = {(r.k, r.tie): r.upto for r in common.running(df, [F.col("k"), F.col("tie")], upto=F.col("n")).collect()}
+    total = 0
+    for r in rows:
+        total += r.n
+        assert got[r.k, r.tie] == total
+
+
 def test_quality_rules(docs, pandas_docs):
     out = quality_rules.op3(docs).toPandas().set_index("doc_id")
     for i, text in zip(pandas_docs.doc_id, pandas_docs.text):
@@ -161,7 +204,7 @@ def test_suffix_sort_far_beyond_memory(tmp_path):
     finally:
         tracemalloc.stop()
         suffix_sort.suffix_array = one
-    assert isinstance(sa, np.memmap) and len(levels) >= 3 and peak < 8 * len(t), (levels, peak)
+    assert isinstance(sa.base, np.memmap) and len(levels) >= 3 and peak < 8 * len(t), (levels, peak)
     full = text + b"\0"
     assert (np.bincount(sa, minlength=len(t)) == 1).all()
     for j in r.integers(1, len(t), 3000):
@@ -244,6 +287,30 @@ def test_importance(spark, data):
     assert out[out.quality == 1].kept.mean() > 0.95 and out[out.quality == 0].kept.mean() < 0.35
 
 
+def test_importance_by_brute_force(docs, pandas_docs, labels):
+    one = lambda w: int(textvec.span_hashes(textvec.prefix_hashes(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0])
+    seen = {}
+    grams = {}
+    for i, text in zip(pandas_docs.doc_id, pandas_docs.text, strict=True):
+        h = [seen.setdefault(w, one(w.encode())) for w in lowered(text)]
+        two = textvec.mix(np.array(h[:-1], np.uint64) * textvec._BASE + np.array(h[1:], np.uint64)) if len(h) > 1 else np.zeros(0, np.uint64)
+        grams[i] = [x % importance.BUCKETS for x in [*h, *map(int, two)]]
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    raw, target = collections.Counter(x for g in grams.values() for x in g), collections.Counter(x for i, g in grams.items() if i in good for x in g)
+    sizes = {id(c): sum(c.values()) + importance.SMOOTHING * importance.BUCKETS for c in (raw, target)}
+    share = lambda c, x: math.log((c[x] + importance.SMOOTHING) / sizes[id(c)])
+    ratio = {x: share(target, x) - share(raw, x) for x in raw}
+    out = {r.doc_id: r for r in importance.op5(docs, labels).collect()}
+    for i, g in grams.items():
+        assert out[i].n_grams == len(g) and math.isclose(out[i].log_weight, sum(ratio[x] for x in g), rel_tol=1e-9, abs_tol=1e-6)
+    k = round(len(out) * np.mean([r.quality for r in labels.collect()]))
+    best = sorted(out.values(), key=lambda r: (-r.gumbel_key, r.doc_id))[:k]
+    assert {r.doc_id for r in out.values() if r.kept} == {r.doc_id for r in best}
+    # The noise is standard Gumbel: mean 0.577, variance pi^2 / 6.
+    noise = np.array([r.gumbel_key - r.log_weight for r in out.values()])
+    assert abs(noise.mean() - 0.5772) < 5 * 1.2825 / len(noise) ** 0.5 and 0.5 < noise.var() / (math.pi**2 / 6) < 2
+
+
 @pytest.mark.parametrize("last", [1 << 16, 2])
 def test_top_is_exact(spark, monkeypatch, last):
     monkeypatch.setattr(importance, "BINS", 8)
