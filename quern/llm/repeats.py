@@ -49,14 +49,12 @@ _FOUND = ["doc", "begin", "end", "kind", "anchor"]
 
 
 def _window_least(v: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w values in a row (van Herk's two passes)."""
-    n = len(v) - w + 1
-    full = np.full(-(-len(v) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    full[: len(v)] = v
-    rows = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, 1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+    """Least of each w values in a row, by doubling."""
+    n, have = len(v) - w + 1, 1
+    while 2 * have <= w:
+        v = np.minimum(v[: len(v) - have], v[have:])
+        have *= 2
+    return np.minimum(v[:n], v[w - have : w - have + n])
 
 
 def blocks(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -65,11 +63,13 @@ def blocks(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     if len(data) < length:
         return empty
     prefix = textvec.prefix_hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    h = textvec.span_hashes(prefix, at, at + gram)
+    h = textvec.run_hashes(prefix, gram)
     # Half the hash decides, then the place, the same way wherever a text stands.
     low = np.uint64(0xFFFFFFFF)
-    least = _window_least((h & ~low) | at.astype(np.uint64), length - gram + 1) & low
+    key = h & ~low
+    key |= np.arange(len(h), dtype=np.uint64)
+    least = _window_least(key, length - gram + 1)
+    least &= low
     start = np.arange(len(least))
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
     inside = np.flatnonzero(start + length < bounds[text + 1])
@@ -226,7 +226,7 @@ class _Shard:
     def text(self) -> np.ndarray:
         np.zeros(1, np.int16).tofile(self.file)
         self.file.flush()
-        return np.memmap(self.file, np.int16, "r")
+        return np.asarray(np.memmap(self.file, np.int16, "r"))
 
 
 def later_windows(t: np.ndarray, bounds: np.ndarray, length: int, memory: int = suffix_sort.MEMORY) -> np.ndarray:

@@ -31,7 +31,7 @@ def array(n: int, memory: int, dtype=np.int32) -> np.ndarray:
     if n <= memory:
         return np.empty(n, dtype)
     with tempfile.TemporaryFile(prefix="quern-") as f:
-        return np.memmap(f, dtype, "w+", shape=(n,))
+        return np.asarray(np.memmap(f, dtype, "w+", shape=(n,)))  # a plain view of the mapped file
 
 
 def _stretches(n: int, memory: int):
@@ -61,12 +61,14 @@ class DiskQueue:
         """bucket ascending."""
         if not len(bucket):
             return
-        x = np.stack([bucket, suffix, lcp]).astype(np.int64)
+        x = np.empty((3, len(bucket)), np.int64)
+        x[0], x[1], x[2] = bucket, suffix, lcp
         part = (x[0] - self.low) // self.width
         if part[0] < self.now:
             self._unload()
-        cut = np.flatnonzero(part[1:] != part[:-1]) + 1
-        for p, y in zip(part[np.append(0, cut)].tolist(), np.split(x, cut, 1), strict=True):
+        cut = [0, *((part[1:] != part[:-1]).nonzero()[0] + 1).tolist(), len(part)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            p, y = int(part[i]), x[:, i:j]
             if p == self.now and self.inner is not None:
                 self.inner.push(*y)
             elif p == self.now and self.width > 1:
@@ -181,24 +183,34 @@ class _Minima:
 
     def sent(self, lcp: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Scan lcp; entries at[k] (ascending inside a bucket) send to bucket to[k] (ascending). Returns their common-prefix values."""
-        n = len(lcp)
-        new = np.concatenate([[True], to[1:] != to[:-1]]) if len(to) else np.zeros(0, bool)
-        low = np.empty(len(at), np.int64)
-        inner = np.flatnonzero(~new)
-        if len(inner):
-            pairs = np.stack([at[inner - 1] + 1, at[inner] + 1], 1).ravel()
-            low[inner] = np.minimum.reduceat(np.append(lcp, FAR), pairs)[0::2]
-        first = np.flatnonzero(new)
-        if len(first):
-            here = np.minimum.accumulate(lcp)[at[first]]
-            since = np.searchsorted(self.times, self.last[to[first]], "right")
-            before = np.append(self.values, FAR)[since]
-            low[first] = np.where(self.last[to[first]] < 0, -1, np.minimum(here, before))
+        n, m = len(lcp), len(at)
+        low = np.empty(m, np.int64)
+        if m:
+            new = np.empty(m, bool)
+            new[0] = True
+            np.not_equal(to[1:], to[:-1], out=new[1:])
+            first = new.nonzero()[0]
+            if len(first) < m:
+                inner = (~new).nonzero()[0]
+                pairs = np.empty(2 * len(inner), np.int64)
+                pairs[0::2], pairs[1::2] = at[inner - 1] + 1, at[inner] + 1
+                wide = np.empty(n + 1, np.int64)
+                wide[:n], wide[n] = lcp, FAR
+                low[inner] = np.minimum.reduceat(wide, pairs)[0::2]
+            here, last = np.minimum.accumulate(lcp)[at[first]], self.last[to[first]]
+            since = self.times.searchsorted(last, "right")
+            kept = since < len(self.values)
+            here[kept] = np.minimum(here[kept], self.values[since[kept]])
+            here[last < 0] = -1
+            low[first] = here
         if n:
             # Minima of what follows: entries below all later ones.
             back = np.minimum.accumulate(lcp[::-1])[::-1]
-            keep = np.flatnonzero(np.append(lcp[:-1] < back[1:], True))
-            old = int(np.searchsorted(self.values, back[0]))  # values rise
+            below = np.empty(n, bool)
+            below[n - 1] = True
+            np.less(lcp[:-1], back[1:], out=below[:-1])
+            keep = below.nonzero()[0]
+            old = int(self.values.searchsorted(back[0]))  # values rise
             self.times = np.concatenate([self.times[:old], self.time + keep])
             self.values = np.concatenate([self.values[:old], lcp[keep]])
         self.last[to] = self.time + at  # the last one of a bucket stays
@@ -461,7 +473,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, run: np.ndarray, symbols: int, want
             fed = to[to < high]
             stop = int(fed.min()) if len(fed) else high
             if stop > low:
-                width = min(width * 2, 1 << 16) if stop == high else max(1, (stop - low))
+                width = min(width * 2, 1 << 16) if stop == high else 2 * (stop - low) + 200
                 keep = int(np.searchsorted(bucket, stop))
                 queue.give_back(int((~given_[keep:]).sum()))
                 done += int(given_[:keep].sum())

@@ -14,11 +14,23 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = 1 << 20
 # Arrays of 4 MB and more go back to the system when they are freed, so workers that wait do not hold what they once needed.
+_LIBC = None
 with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 4 << 20)
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
@@ -60,6 +72,14 @@ def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((p[end] - p[start]) * _upto(len(p))[1][start] + (end - start).astype(np.uint64) * _BASE)
 
 
+def run_hashes(p: np.ndarray, n: int) -> np.ndarray:
+    """span_hashes of all runs of n bytes."""
+    h = p[n:] - p[:-n]
+    h *= _upto(len(p))[1][: len(h)]
+    h += np.uint64(n * int(_BASE) & (1 << 64) - 1)
+    return mix(h)
+
+
 @dataclass
 class Words:
     """The words of a chunk of texts, in order."""
