@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
 Every step is joins and minimum aggregations; each round's edges are written to the shared folder. A vertex with very many
-neighbours costs rows, not a task: minima are aggregated before the shuffle, and joins on a hot vertex are split by the
-engine. Rounds are logarithmic in the longest path.
+neighbours costs rows, not a task: minima are aggregated before the shuffle and written, so that the engine can split a hot vertex in the join with them. Rounds are
+logarithmic in the longest path.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("__m")).select("u", F.least("u", "__m").alias("m"))
         # Neighbours of u above u: the edges whose smaller end is u.
+        low = stored(low)
         return edges.join(low, edges.b == low.u).select(F.col("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    low = stored(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
     moved = edges.join(low, edges.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
