@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_sort, textvec
-from .common import bounded_batches, stored
+from .common import bounded_batches, partition_keys, stored
 from .packing import packed as _pack
 from .packing import unpacked as _unpack
 
@@ -81,7 +81,10 @@ def blocks(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     return t[new], begin, end, h[a[new]], textvec.span_hashes(prefix, begin, end)
 
 
-def _dealt(parts: int, length: int, gram: int):
+def _dealt(keys: list[int], length: int, gram: int):
+    """Anchors' blocks, packed by the partition of their anchor; dest is its key."""
+    parts = len(keys)
+
     def flush(held: list):
         doc, begin, size, anchor, block = (np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True))
         ids = np.concatenate([h[0] for h in held])
@@ -91,7 +94,7 @@ def _dealt(parts: int, length: int, gram: int):
         known, order = order[again], order[~again]
         found = []
         if len(known):
-            found.append((int(ids[0]) % parts, _pack((ids[doc[known]], begin[known].astype(np.int32), (begin + size)[known].astype(np.int32)))))
+            found.append((keys[int(ids[0]) % parts], _pack((ids[doc[known]], begin[known].astype(np.int32), (begin + size)[known].astype(np.int32)))))
         doc, begin, size, anchor, block = (x[order] for x in (doc, begin, size, anchor, block))
         # Anchors are least values, so they are mixed before they are dealt.
         dest = ((textvec.mix(anchor) >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
@@ -102,7 +105,7 @@ def _dealt(parts: int, length: int, gram: int):
             if len(mine):
                 own, back = np.unique(doc[mine], return_inverse=True)
                 # The low half of the anchor's hash is enough: a chance meeting only adds a candidate.
-                found.append((p, _pack((ids[own], back.astype(np.min_scalar_type(len(own))), begin[mine].astype(np.min_scalar_type(int(begin[mine].max()))), size[mine].astype(np.uint16), anchor[mine].astype(np.uint32), block[mine]))))
+                found.append((keys[p], _pack((ids[own], back.astype(np.min_scalar_type(len(own))), begin[mine].astype(np.min_scalar_type(int(begin[mine].max()))), size[mine].astype(np.uint16), anchor[mine].astype(np.uint32), block[mine]))))
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["dest", "payload"])
 
     def run(batches):
@@ -161,15 +164,15 @@ def _compared(batches):
 
 
 def _cut(batches):
-    """The texts of the wanted blocks: (shard, anchor, doc, begin, bytes) from rows (doc, text, wanted)."""
+    """The texts of the wanted blocks: (key, doc, begin, bytes) from rows (doc, text, wanted)."""
     for batch in batches:
         out = []
         for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            out += [(w["shard"], doc, w["begin"], raw[w["begin"] : w["end"]]) for w in wanted]
+            out += [(w["key"], doc, w["begin"], raw[w["begin"] : w["end"]]) for w in wanted]
         if out:
             s, d, b, r = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(b, pa.int32()), pa.array(r, pa.binary())], ["shard", "doc", "begin", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(b, pa.int32()), pa.array(r, pa.binary())], ["key", "doc", "begin", "raw"])
 
 
 def _split(length: int, gram: int, step: int):
@@ -216,14 +219,27 @@ class _Shard:
 
     def __init__(self):
         self.file, self.docs, self.begins, self.sizes = tempfile.TemporaryFile(prefix="quern-"), [], [], []
+        self.held, self.size = [], 0
 
     def add(self, doc: int, begin: int, raw: bytes) -> None:
-        (np.frombuffer(raw + b"\0", np.uint8).astype(np.int16) + np.append(np.full(len(raw), 2, np.int16), np.int16(1))).tofile(self.file)
+        self.held.append(raw)
+        self.size += len(raw)
         self.docs.append(doc)
         self.begins.append(begin)
         self.sizes.append(len(raw))
+        if self.size > 1 << 18:
+            self._write()
+
+    def _write(self) -> None:
+        if self.held:
+            x = np.frombuffer(b"\0".join(self.held) + b"\0", np.uint8).astype(np.int16)
+            x += 2
+            x[np.cumsum([len(r) + 1 for r in self.held]) - 1] = 1
+            x.tofile(self.file)
+        self.held, self.size = [], 0
 
     def text(self) -> np.ndarray:
+        self._write()
         np.zeros(1, np.int16).tofile(self.file)
         self.file.flush()
         return np.asarray(np.memmap(self.file, np.int16, "r"))
@@ -263,7 +279,7 @@ def later_windows(t: np.ndarray, bounds: np.ndarray, length: int, memory: int =
 
 
 def _sorted_out(length: int, memory: int = suffix_sort.MEMORY):
-    """Spans (doc, begin, end) of windows that also start earlier, from rows in (shard, doc, begin) order; texts go to a file as they come."""
+    """Spans (doc, begin, end) of windows that also start earlier among the rows (key, doc, begin, raw) of a partition, which is a shard, in (doc, begin) order; texts go to a file as they come."""
 
     def one(shard: _Shard):
         bounds = np.append(0, np.cumsum(np.array(shard.sizes, np.int64) + 1))
@@ -284,16 +300,13 @@ def _sorted_out(length: int, memory: int = suffix_sort.MEMORY):
             yield pa.RecordBatch.from_arrays([pa.array(docs[which]), pa.array((at[first] + shift).astype(np.int32)), pa.array((at[last] + shift + length).astype(np.int32))], ["doc", "begin", "end"])
 
     def run(batches):
-        now, held = None, None
+        shard = None
         for batch in batches:
-            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    if held is not None:
-                        yield from one(held)
-                    held, now = _Shard(), shard
-                held.add(*row)
-        if held is not None:
-            yield from one(held)
+            for _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = shard or _Shard()
+                shard.add(*row)
+        if shard:
+            yield from one(shard)
 
     return run
 
@@ -330,7 +343,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // DEALT_BYTES))
     long_ = rows.filter(F.octet_length("text") >= length)
-    found = long_.mapInArrow(_dealt(parts, length, gram), _DEALT).repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(_compared, "doc long, begin int, end int, kind int, anchor long")
+    found = long_.mapInArrow(_dealt(partition_keys(docs.sparkSession, parts), length, gram), _DEALT).repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(_compared, "doc long, begin int, end int, kind int, anchor long")
     found = stored(found)
     edges = found.filter("kind = 1")
     sizes = edges.groupBy("anchor").agg(F.sum(F.col("end") - F.col("begin")).alias("bytes"))
@@ -340,20 +353,20 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     if not shards:
         return spans
 
-    def cut(edges: DataFrame, shard: Column) -> DataFrame:
-        wanted = stored(edges.groupBy("doc").agg(F.collect_list(F.struct(shard.alias("shard"), "begin", "end")).alias("wanted")))  # at most one text's blocks in a row
+    def cut(edges: DataFrame) -> DataFrame:
+        wanted = stored(edges.groupBy("doc").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "begin", "end")).alias("wanted")))  # at most one text's blocks in a row
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         ids = wanted.select("doc")
         texts = long_.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-        return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "shard int, doc long, begin int, raw binary")
+        return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "key long, doc long, begin int, raw binary")
 
     def sorted_out(rows: DataFrame, shards: int) -> DataFrame:
-        return rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "begin").mapInArrow(_sorted_out(length), "doc long, begin int, end int")
+        return rows.repartition(shards, "key").sortWithinPartitions("doc", "begin").mapInArrow(_sorted_out(length), "doc long, begin int, end int")
 
     if not hot.head(1):
-        return spans.union(sorted_out(cut(edges, _dealt_to("anchor", shards)), shards))
-    spans = spans.union(sorted_out(cut(edges.join(F.broadcast(hot), "anchor", "left_anti"), _dealt_to("anchor", shards)), shards))
-    rows = cut(edges.join(F.broadcast(hot), "anchor", "left_semi"), F.lit(0)).select("doc", "begin", "raw")
+        return spans.union(sorted_out(cut(edges), shards))
+    spans = spans.union(sorted_out(cut(edges.join(F.broadcast(hot), "anchor", "left_anti")), shards))
+    rows = cut(edges.join(F.broadcast(hot), "anchor", "left_semi")).select("doc", "begin", "raw")
     for step in ((length - gram) // 8 + 1, 1):
         parts = stored(rows.mapInArrow(_split(length, gram, step), "kind int, key long, doc long, begin int, end int, raw binary"))
         spans = spans.union(parts.filter("kind = 0").select("doc", "begin", "end"))
@@ -364,7 +377,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             parts = parts.join(F.broadcast(heavy), "key", "left_anti")
         shards = _shards(parts, F.octet_length("raw"))
         if shards:
-            spans = spans.union(sorted_out(parts.select(_dealt_to("key", shards).alias("shard"), "doc", "begin", "raw"), shards))
+            spans = spans.union(sorted_out(parts.select("key", "doc", "begin", "raw"), shards))
     return spans
 
 
@@ -374,10 +387,6 @@ def _shards(rows: DataFrame, size: Column) -> int:
     return max(4, -(-total // SHARD_BYTES)) if total else 0
 
 
-def _dealt_to(key: str, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-
-
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row."""
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
