@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
+def bounded_batches(df: DataFrame, most: str = "8m") -> DataFrame:
     """Limit what passes to Python at once by bytes too: long texts would else fill memory by their number alone."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
     return df
 
 
@@ -68,6 +68,17 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """One whole number (int) for each of `parts` partitions that repartition(parts, key) sends to it: numbers 0, 1, .. would meet by chance, three or four in one task."""
+    found, tried = {}, 0
+    while len(found) < parts:
+        ids = spark.range(tried, tried + 16 * parts).select(F.col("id").cast("int").alias("k"))
+        tried += 16 * parts
+        for r in ids.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect():  # a row a partition
+            found.setdefault(r.p, r.k)
+    return [found[p] for p in range(parts)]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder on any store that Hadoop's file systems reach."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

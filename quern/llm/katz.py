@@ -20,7 +20,7 @@ Tables, all written to the shared folder:
 
 Each distinct trigram of a batch is one question, dealt to its partition; the partition first counts all questions (by their training occurrences), then answers them from
 its table: the trigram's count and its context's, or, where it was not seen, backoff(a,b), c(b,w) and c(b). Batches meet their answers and evaluate the
-recursion for every token. A shuffle's rows are at most one a batch and partition, and hold BATCH_TOKENS / partitions questions each.
+recursion for every token. Questions travel as at most one row a batch and GROUP partitions, answers as one a batch and partition.
 
 A word with more tokens than a partition should hold is split by the word before it, a pair with as many by the word after it too. What such a word's parts know in
 common only (c(b), c(b,w), and for such pairs their context's sums) is added up by key and joined back. Words and pairs are found by counting, in whole batches.
@@ -36,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import bounded_batches, stored
+from .common import bounded_batches, partition_keys, stored
 from .packing import packed, spread, squeezed, unpacked
 
 K = 5
 HELD = 0.1
 END, BOS = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 2_500_000
+BATCH_TOKENS = 2_200_000
+#: Batches are evaluated in so many rounds, one after another, so that a round's shuffle takes little room.
+ROUNDS = 4
+#: Weights of answers travel as whole numbers of this unit (7e-12).
+UNIT = 2.0**-37
 #: Bytes of text whose tokens a partition of the tables should hold.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+#: A frequent word's own partition may hold the tokens of so many others before it is split.
+UNIT_PARTS = 4
+#: Partitions that one task counts, one after another; questions are dealt to such groups, as they share words.
+GROUP = 20
 
 
 def is_training(doc_id: int | None) -> bool:
@@ -82,8 +91,8 @@ class Batch:
         )
 
     def pack(self) -> bytes:
-        words, rank = _ranked(self.words, self.code)
-        return packed((self.ids, np.packbits(self.nulls), squeezed(self.size), np.packbits(self.train), words, squeezed(rank[self.code])))
+        words, code = _coded(self.words, self.code)
+        return packed((self.ids, np.packbits(self.nulls), squeezed(self.size), np.packbits(self.train), words, squeezed(code[self.code])))
 
     @classmethod
     def unpack(cls, payload: bytes) -> Batch:
@@ -115,22 +124,51 @@ class Batch:
         return t, deal.parts_of(t), back
 
 
-def _ranked(words: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words from the most used down, the rank of each): ranks of running text are small numbers mostly."""
-    order = np.argsort(-np.bincount(used, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return words[order], rank
+#: So many of the most used words are coded by rank, the rest by place.
+TOP_WORDS = 4096
 
 
-def _placed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words ascending, the place of each rank)"""
+def _coded(words: np.ndarray, *used: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """(the words packed: the most used ones, and differences of the rest; the code of each): codes of running text are small numbers mostly."""
+    n = sum(np.bincount(x, minlength=len(words)) for x in used)
+    top = np.argsort(-n, kind="stable")[:TOP_WORDS]
+    rest = np.ones(len(words), bool)
+    rest[top] = False
+    code = np.empty(len(words), np.int32)
+    code[top] = np.arange(len(top))
+    code[rest] = np.arange(len(top), len(words))
+    rest = words[rest]
+    return (words[top], squeezed(rest - np.append(np.zeros(1, np.uint64), rest[:-1])[: len(rest)])), code
+
+
+def _placed(packed_words: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(words ascending, the place of each code)"""
+    top, rest = packed_words
+    words = np.concatenate([top, np.cumsum(spread(rest).view(np.uint64), dtype=np.uint64)])
     order = np.argsort(words)
     place = np.empty(len(words), np.int32)
     place[order] = np.arange(len(words), dtype=np.int32)
     return words[order], place
 
 
+def _joined(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    out = high.astype(np.int64)
+    out <<= bits
+    out |= low
+    return out
+
+
+def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values, ascending; which of them each is, as int32)"""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    back = np.empty(len(key), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], back
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a run of rows that are equal in all columns begins."""
     if not len(columns[0]):
@@ -159,17 +197,15 @@ class Trigrams:
     def distinct(cls, words: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[Trigrams, np.ndarray]:
         """(the distinct ones, which of them each row is)"""
         bits = max(1, (len(words) - 1).bit_length())
-        u = lambda x: x.astype(np.uint64)
-        low, one = np.uint64((1 << bits) - 1), np.uint64(bits)
-        if 3 * bits <= 64:
-            key, back = np.unique((u(b) << (one + one)) | (u(w) << one) | u(a), return_inverse=True)
-            b, w, a = key >> (one + one), (key >> one) & low, key & low
+        if 3 * bits <= 63:
+            key, back = _unique(_joined(_joined(b, w, bits), a, bits))
+            a, pair = (key & ((1 << bits) - 1)).astype(np.int32), key >> bits
         else:
-            pair, at = np.unique((u(b) << np.uint64(32)) | u(w), return_inverse=True)
-            key, back = np.unique((u(at) << np.uint64(32)) | u(a), return_inverse=True)
-            pair, a = pair[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF)
-            b, w = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
-        return cls(words, *(x.astype(np.int32) for x in (a, b, w))), back
+            bits = 32
+            pair, at = _unique(_joined(b, w, bits))
+            key, back = _unique(_joined(at, a, bits))
+            a, pair = (key & ((1 << bits) - 1)).astype(np.int32), pair[key >> bits]
+        return cls(words, a, (pair >> bits).astype(np.int32), (pair & ((1 << bits) - 1)).astype(np.int32)), back
 
     def __len__(self) -> int:
         return len(self.a)
@@ -178,12 +214,15 @@ class Trigrams:
         return Trigrams(self.words, self.a[rows], self.b[rows], self.w[rows])
 
     def pack(self, times: np.ndarray) -> bytes:
-        used, at = np.unique(np.concatenate([self.a, self.b, self.w]), return_inverse=True)
-        a, b, w = np.split(at, 3)
-        words, rank = _ranked(self.words[used], np.concatenate([a, w]))
+        some = np.zeros(len(self.words), bool)
+        for x in (self.a, self.b, self.w):
+            some[x] = True
+        place = np.cumsum(some, dtype=np.int32) - 1
+        a, b, w = place[self.a], place[self.b], place[self.w]
+        words, code = _coded(self.words[some], a, w)
         new = np.zeros(len(a), bool)
         new[_starts(b, w)] = True
-        return packed((words, squeezed(np.diff(b, prepend=0)), squeezed(np.where(new, rank[w] + 1, 0)), squeezed(rank[a]), squeezed(times)))
+        return packed((words, squeezed(np.diff(b, prepend=0)), squeezed(np.where(new, code[w] + 1, 0)), squeezed(code[a]), squeezed(times)))
 
     @classmethod
     def unpack(cls, payload: bytes) -> tuple[Trigrams, np.ndarray]:
@@ -209,7 +248,7 @@ class Deal:
     def of(cls, parts: int, words: list[tuple[int, float]], pairs: list[tuple[int, int]]) -> Deal:
         """words: (hash, how many partitions its tokens would fill); pairs: (word, word after)."""
         words = sorted((np.uint64(h & (1 << 64) - 1), load) for h, load in words)
-        units = np.array([max(1, int(np.ceil(load))) for _, load in words], np.int64)
+        units = np.array([max(1, int(np.ceil(load / UNIT_PARTS))) for _, load in words], np.int64)
         a, b = (np.array([x[k] & (1 << 64) - 1 for x in pairs], np.uint64) for k in (0, 1))
         return cls(parts, np.array([h for h, _ in words], np.uint64), parts + np.cumsum(units) - units, units, np.sort(_pair(a, b)))
 
@@ -217,6 +256,10 @@ class Deal:
     def all(self) -> int:
         return self.parts + int(self.units.sum())
 
+    @property
+    def groups(self) -> int:
+        return -(-self.all // GROUP)
+
     def split(self, part: int) -> np.uint64 | None:
         """The word of which this partition holds a part only."""
         k = int(np.searchsorted(self.first, part, "right")) - 1 if part >= self.parts else -1
@@ -287,6 +330,7 @@ def _streamed(share: float):
                 hashes = np.insert(hashes, w.first[1:], END)
                 if ids and total + len(hashes) > BATCH_TOKENS:
                     yield flush(number, ids, tokens, sizes)
+                    textvec.release()
                     number += 1
                     ids, tokens, sizes, total = [], [], [], 0
                 ids += w.rows
@@ -299,22 +343,25 @@ def _streamed(share: float):
     return run
 
 
-def _dealt(deal: Deal):
-    """Each batch's questions, by partition."""
+def _dealt(deal: Deal, keys: list[int]):
+    """Each batch's questions, by group of partitions."""
 
     def run(batches):
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = Batch.unpack(payload)
                 t, part, back = b.questions(deal)
-                times = np.bincount(back, b.train[b.doc], len(t)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(deal.all + 1))
+                times = np.bincount(back, b.train[b.doc], len(t)).astype(np.int32)
+                del b, back
+                group = part // GROUP
+                order = np.argsort(group, kind="stable")
+                cut = np.searchsorted(group[order], np.arange(deal.groups + 1))
                 some = np.flatnonzero(np.diff(cut))
-                for i in range(0, len(some), 64):
-                    parts = some[i : i + 64]
-                    found = [t.take(order[cut[p] : cut[p + 1]]).pack(times[order[cut[p] : cut[p + 1]]]) for p in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array(found, pa.binary())], ["part", "batch", "payload"])
+                for i in range(0, len(some), 8):
+                    groups = some[i : i + 8]
+                    found = [t.take(order[cut[g] : cut[g + 1]]).pack(times[order[cut[g] : cut[g + 1]]]) for g in groups]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[g] for g in groups], pa.int32()), pa.array([number] * len(groups), pa.int64()), pa.array(found, pa.binary())], ["dest", "batch", "payload"])
+                textvec.release()
 
     return run
 
@@ -384,18 +431,26 @@ _PAIRS = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("n", pa.int6
 _TRIPLES = pa.list_(pa.struct([("a", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("n", pa.int64())]))
 
 
-def _counted(deal: Deal):
-    """A partition's table with the batches' questions as places in it, from rows (part, batch, payload). pairs, hot: of split words, what their partitions know in part."""
-
-    def one(part: int, messages: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        got = [Trigrams.unpack(p) for _, p in messages]
-        words, at = np.unique(np.concatenate([t.words for t, _ in got]), return_inverse=True)
-        at = np.split(at.astype(np.int32), np.cumsum([len(t.words) for t, _ in got])[:-1])
-        a, b, w = (np.concatenate([k[getattr(t, c)] for k, (t, _) in zip(at, got, strict=True)]) for c in "abw")
-        t, back = Trigrams.distinct(words, a, b, w)
-        c3 = np.bincount(back, np.concatenate([n for _, n in got]), len(t)).astype(np.int64)
-        places = np.split(back, np.cumsum([len(x) for x, _ in got])[:-1])
-        asks = packed([(batch, squeezed(np.diff(x, prepend=0))) for (batch, _), x in zip(messages, places, strict=True)])
+def _counted(deal: Deal, keys: list[int]):
+    """Each partition's table with the batches' questions as places in it, from rows (dest, batch, payload). pairs, hot: of split words, what their partitions know in part."""
+
+    def one(part: int, words: np.ndarray, messages: list[tuple]) -> pa.RecordBatch | None:
+        numbers, got = [], []
+        for batch, abw, n, order, cut in messages:
+            mine = order[cut[part % GROUP] : cut[part % GROUP + 1]]
+            if len(mine):
+                numbers.append(batch)
+                got.append((*(x[mine] for x in abw), n[mine]))
+        if not got:
+            return None
+        *abw, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        cut = np.cumsum([len(x[3]) for x in got])[:-1]
+        del got
+        t, back = Trigrams.distinct(words, *abw)
+        del abw
+        c3 = np.bincount(back, times, len(t)).astype(np.int64)
+        asks = packed([(batch, squeezed(np.diff(x, prepend=0))) for batch, x in zip(numbers, np.split(back, cut), strict=True)])
+        del back
 
         pair, word = _starts(t.b, t.w), _starts(t.b)
         c2, c1 = _summed(c3, pair), _summed(c3, word)
@@ -419,8 +474,27 @@ def _counted(deal: Deal):
         )
 
     def run(batches):
-        for part, messages in _groups(batches):
-            yield one(part, messages)
+        for key, rows in _groups(batches):
+            group, messages, hashes = keys.index(key), [], []
+            while rows:
+                batch, payload = rows.pop(0)
+                t, n = Trigrams.unpack(payload)
+                place = (deal.parts_of(t) - group * GROUP).astype(np.uint8)
+                order = np.argsort(place, kind="stable").astype(np.int32)
+                messages.append((batch, (t.a, t.b, t.w), n.astype(np.int32), order, np.searchsorted(place[order], np.arange(GROUP + 1))))
+                hashes.append(t.words)
+            words = np.unique(np.concatenate(hashes))
+            for (_, abw, *_), h in zip(messages, hashes, strict=True):
+                place = np.searchsorted(words, h).astype(np.int32)
+                for x in abw:
+                    x[:] = place[x]
+            del hashes
+            for part in range(group * GROUP, (group + 1) * GROUP):
+                row = one(part, words, messages)
+                textvec.release()
+                if row is not None:
+                    yield row
+            del messages
 
     return run
 
@@ -471,6 +545,17 @@ class Table:
         return weights(self.cx, np.bincount(self.context_of, s3, n), self.c1[self.context_word], np.bincount(self.context_of, np.where(seen, s2, 0.0), n))
 
 
+def _fixed(weight: np.ndarray) -> tuple[int, tuple]:
+    """(the least, multiples of UNIT above it)"""
+    x = np.rint(weight / UNIT).astype(np.int64)
+    low = int(x.min()) if len(x) else 0
+    return low, squeezed(x - low)
+
+
+def _floating(x: tuple[int, tuple]) -> np.ndarray:
+    return (spread(x[1]) + x[0]) * UNIT
+
+
 def weights(n, star, below, below_star) -> np.ndarray:
     """log10 of (1 - star / n) / (1 - below_star / below) where n > 0, else 0."""
     n, below = np.asarray(n, float), np.asarray(below, float)
@@ -520,7 +605,7 @@ def _answered(deal: Deal, known: Constants, contexts: dict[tuple[int, int], floa
         if split and contexts:
             for k in np.flatnonzero(np.isin(_pair(table.context_a, table.b[table.context_word]), deal.pairs)).tolist():
                 cx[k], weight[k] = contexts.get((int(_signed(table.context_a[k : k + 1])[0]), int(_signed(table.b[table.context_word[k : k + 1]])[0])), (0, 0.0))
-        yield 0, None, packed((table.context_a, table.b, squeezed(table.context_word), squeezed(cx), weight)), []
+        yield 0, None, packed(weight.astype(np.float32)), []
         for batch, places in unpacked(asks):
             at = np.cumsum(spread(places))
             c3, context, word = table.c3[at], table.context_of[at], table.word_of[at]
@@ -528,13 +613,14 @@ def _answered(deal: Deal, known: Constants, contexts: dict[tuple[int, int], floa
             miss = np.flatnonzero(c3 == 0)
             c2 = table.c2[table.pair_of[at[miss]]]
             bare = word[miss][(c2 == 0) & (table.c1[word[miss]] > 0)]
-            answer = squeezed(c3), squeezed(np.where(c3 > 0, cx[context], 0)), squeezed(table.c1[word[new]]), squeezed(c2), weight[context[miss]]
+            answer = squeezed(c3), squeezed(np.where(c3 > 0, cx[context], 0)), squeezed(table.c1[word[new]]), squeezed(c2), _fixed(weight[context[miss]])
             yield 1, batch, packed(answer), _signed(table.b[np.unique(bare)]).tolist()
 
     def run(batches):
         for batch in batches:
             for part, counts, asks, totals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kind, number, payload, need = zip(*one(part, counts, asks, totals), strict=True)
+                textvec.release()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kind, pa.int32()), pa.array([part] * len(kind), pa.int32()), pa.array(number, pa.int64()), pa.array(payload, pa.binary()), pa.array(need, pa.list_(pa.int64()))],
                     ["kind", "part", "batch", "payload", "need"],
@@ -553,8 +639,9 @@ def _evaluated(deal: Deal, known: Constants):
     def one(rows: list[tuple]) -> pa.RecordBatch:
         b = Batch.unpack(next(p for kind, _, p, _ in rows if kind == 0))
         t, part, back = b.questions(deal)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(deal.all + 1))
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        cut = np.append(0, np.cumsum(np.bincount(part, minlength=deal.all)))
+        del part
         value, c1 = np.zeros(len(t)), np.zeros(len(b.words), np.int64)
         c1[0] = known.docs
         bare = []
@@ -569,7 +656,7 @@ def _evaluated(deal: Deal, known: Constants):
             word = t.b[mine[_starts(t.b[mine])]]
             c1[word] = own
             miss, c2 = mine[miss], spread(c2)
-            value[miss] = weight
+            value[miss] = _floating(weight)
             two = c2 > 0
             value[miss[two]] += np.log10(known.star(2, c2[two])) - np.log10(c1[t.b[miss[two]]])
             bare.append(miss[~two])
@@ -583,7 +670,8 @@ def _evaluated(deal: Deal, known: Constants):
             value[bare] += lower[t.b[bare]] + np.log10(known.p(c1[t.w[bare]]))
         n, doc = len(b.ids), b.doc
         base = np.log10(c1 + 0.5) - np.log10(known.n + 0.5 * (known.v + 1))
-        sums = [np.bincount(doc, x, n) for x in ((c1 > 0)[b.code], base[b.code], value[back])]
+        del order
+        sums = [np.bincount(doc, x[at], n) for x, at in ((c1 > 0, b.code), (base, b.code), (value, back))]
         return pa.RecordBatch.from_arrays(
             [pa.array(b.ids, mask=b.nulls), pa.array(~b.train), pa.array(b.size, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -592,13 +680,14 @@ def _evaluated(deal: Deal, known: Constants):
     def run(batches):
         for _, rows in _groups(batches):
             yield one(rows)
+            textvec.release()
 
     return run
 
 
 @dataclass
 class Model:
-    """The stored tables. counts: part, counts (Trigrams.unpack), asks. answers: kind 0 rows hold a partition's context weights. backoff: h, n, weight of each word."""
+    """The stored tables. counts: part, counts (Trigrams.unpack), asks. answers: kind 0 rows hold the log10 weights of a partition's contexts, in the order of Table. backoff: h, n, weight of each word."""
 
     deal: Deal
     known: Constants
@@ -618,13 +707,14 @@ def _frequent(streams: DataFrame, parts: int) -> Deal:
 
 def model(docs: DataFrame) -> Model:
     """Count the training documents' trigrams, and answer what all documents ask."""
-    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs, "2m").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
-    streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM))
+    streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM), "none")
     deal = _frequent(streams, parts)
-    dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal), "part int, batch long, payload binary").repartition(deal.all, "part").sortWithinPartitions("part", "batch")
-    counts = stored(dealt.mapInArrow(_counted(deal), _COUNTED))
+    keys = partition_keys(docs.sparkSession, deal.groups)
+    dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal, keys), "dest int, batch long, payload binary").repartition(deal.groups, "dest").sortWithinPartitions("dest", "batch")
+    counts = stored(dealt.mapInArrow(_counted(deal, keys), _COUNTED), "none")
 
     some = len(deal.split_words) > 0
     partial = counts.select("part", F.explode("pairs").alias("x")).select("part", "x.h", "x.w", "x.n")
@@ -658,19 +748,25 @@ def model(docs: DataFrame) -> Model:
         rows = rows.filter(~F.col("part").isin(split)).withColumn("totals", empty).unionByName(mine.select("part", "counts", "asks", "totals"))
     else:
         rows = rows.withColumn("totals", empty)
-    answers = stored(rows.mapInArrow(_answered(deal, known, contexts), _ANSWERED))
+    answers = stored(rows.mapInArrow(_answered(deal, known, contexts), _ANSWERED), "none")
     return Model(deal, known, streams, counts, answers, backoff)
 
 
 def evaluated(m: Model) -> DataFrame:
     """Every document's scores, from the stored tables."""
-    answers = m.answers.filter("kind = 1")
+    out = [stored(_round(m, k)) for k in range(ROUNDS)]
+    return reduce(DataFrame.union, out)
+
+
+def _round(m: Model, k: int) -> DataFrame:
+    mine = F.pmod(F.shiftright("batch", 20) + F.col("batch"), F.lit(ROUNDS)) == k
+    streams, answers = m.streams.filter(mine), m.answers.filter("kind = 1").filter(mine)
     need = answers.select("batch", F.explode("need").alias("h")).distinct().join(m.backoff, "h").groupBy("batch").agg(F.collect_list(F.struct("h", "weight")).alias("weights"))  # words of one batch
     none = F.lit(None).cast(_WEIGHTS).alias("weights")
-    rows = m.streams.select("batch", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("part"), "payload", none)
+    rows = streams.select("batch", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("part"), "payload", none)
     rows = rows.union(answers.select("batch", "kind", "part", "payload", none))
     rows = rows.union(need.select("batch", F.lit(2).alias("kind"), F.lit(None).cast("int"), F.lit(None).cast("binary"), F.col("weights").cast(_WEIGHTS)))
-    n = max(1, m.streams.count())
+    n = max(1, streams.count())
     return rows.repartition(2 * n, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(_evaluated(m.deal, m.known), _SCORED)
 
 
