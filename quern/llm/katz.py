@@ -51,7 +51,7 @@ from .packing import packed, spread, squeezed, unpacked
 K = 5
 HELD = 0.1
 END, BOS = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 2_200_000
+BATCH_TOKENS = 4_500_000
 #: Batches are evaluated in so many rounds, one after another, so that a round's shuffle takes little room.
 ROUNDS = 4
 #: Weights of answers travel as whole numbers of this unit (7e-12).
@@ -61,7 +61,7 @@ PART_BYTES = 4 << 20
 #: A frequent word's own partition may hold the tokens of so many others before it is split.
 UNIT_PARTS = 4
 #: Partitions that one task counts, one after another; questions are dealt to such groups, as they share words.
-GROUP = 20
+GROUP = 12
 
 
 def is_training(doc_id: int | None) -> bool:
