@@ -5,8 +5,8 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier: in a doc
 Suffixes that may be equal must meet in one shard. Every LENGTH-byte window is assigned the least hash among its GRAM-byte strings (its anchor; winnowing,
 Schleimer et al. 2003), which equal windows share; neighbouring windows mostly share theirs too, so a text falls into blocks of windows with one anchor, of about
 2 / (LENGTH - GRAM) a byte. First, blocks are dealt by anchor, as hashes: every block that is equal to an earlier one goes, and anchors whose
-blocks differ are left (the edges of repeated passages). Of these, each distinct block's text is fetched once, and shards of them are sorted by induced suffix
-sorting with common-prefix values (suffix_sort.py): runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest go.
+blocks differ are left (the edges of repeated passages). Of these, each distinct block's text is fetched once, and shards of them, without the stretches in which every window's hash is the
+only one of its kind, are sorted by induced suffix sorting with common-prefix values (suffix_sort.py): runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest go.
 Last, the removed spans are merged by document.
 
 The sort works in files: text, types, names, both inductions' queues and results of more than suffix_sort.MEMORY entries, which a shard of SHARD_BYTES has, so a shard may be far larger than memory; shards are kept
@@ -44,6 +44,7 @@ SHARD_BYTES = 2 << 20
 BATCH_BYTES = 48 << 20
 SPLIT_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
+TRIM_WINDOWS = 1 << 22
 _DEALT = "dest int, payload binary"
 _FOUND = ["doc", "begin", "end", "kind", "anchor"]
 
@@ -214,12 +215,19 @@ def _split(length: int, gram: int, step: int):
     return run
 
 
+def _inside(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places of all windows inside texts of such sizes, which lie end to end with a byte after each."""
+    count = np.maximum(sizes - length + 1, 0)
+    return np.repeat(np.cumsum(sizes + 1) - sizes - 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class _Shard:
     """Texts laid end to end in a scratch file, as symbols: bytes plus 2, a 1 after each text, a 0 at the end."""
 
-    def __init__(self):
+    def __init__(self, length: int | None = None):
         self.file, self.docs, self.begins, self.sizes = tempfile.TemporaryFile(prefix="quern-"), [], [], []
-        self.held, self.size = [], 0
+        self.held, self.size, self.stretches = [], 0, []
+        self.length, self.windows, self.hashes = length, 0, []
 
     def add(self, doc: int, begin: int, raw: bytes) -> None:
         self.held.append(raw)
@@ -232,12 +240,48 @@ class _Shard:
 
     def _write(self) -> None:
         if self.held:
-            x = np.frombuffer(b"\0".join(self.held) + b"\0", np.uint8).astype(np.int16)
+            data, sizes = np.frombuffer(b"\0".join(self.held) + b"\0", np.uint8), np.array([len(r) for r in self.held], np.int64)
+            if self.length:
+                at = _inside(sizes, self.length)
+                self.windows += len(at)
+                self.hashes = [*self.hashes, textvec.run_hashes(textvec.prefix_hashes(data), self.length)[at]] if self.windows <= TRIM_WINDOWS else []
+            x = data.astype(np.int16)
             x += 2
-            x[np.cumsum([len(r) + 1 for r in self.held]) - 1] = 1
+            x[np.cumsum(sizes + 1) - 1] = 1
             x.tofile(self.file)
+            self.stretches.append(len(self.held))
         self.held, self.size = [], 0
 
+    def trimmed(self) -> _Shard:
+        """The same texts, cut down to the stretches that hold windows of which another may be equal: windows of a hash of their own are equal to none. Shards of more than TRIM_WINDOWS stay as they are."""
+        self._write()
+        if self.windows > TRIM_WINDOWS or not self.windows:
+            return self
+        h = np.concatenate(self.hashes)
+        order = np.argsort(h)
+        h = h[order]
+        same = np.flatnonzero(h[1:] == h[:-1])
+        twice = np.zeros(len(h), bool)
+        twice[order[same]] = twice[order[same + 1]] = True
+        del h, order
+        self.file.seek(0)
+        out, text, window = _Shard(), 0, 0
+        for n in self.stretches:
+            sizes = np.array(self.sizes[text : text + n], np.int64)
+            raw = (np.fromfile(self.file, np.int16, int(sizes.sum()) + n) - 2).astype(np.uint8).tobytes()
+            at, ends = _inside(sizes, self.length), np.cumsum(sizes + 1)
+            at, window = at[twice[window : window + len(at)]], window + len(at)
+            if len(at):
+                which = np.searchsorted(ends, at, "right")
+                # Windows that overlap stay in one piece.
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] >= at[:-1] + self.length) | (which[1:] != which[:-1])]))
+                which, begin, end = which[new], at[new], at[np.append(new[1:], len(at)) - 1] + self.length
+                shift = begin - (ends - sizes - 1)[which]
+                for i, k, b, e in zip((which + text).tolist(), shift.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    out.add(self.docs[i], self.begins[i] + k, raw[b:e])
+            text += n
+        return out
+
     def text(self) -> np.ndarray:
         self._write()
         np.zeros(1, np.int16).tofile(self.file)
@@ -303,22 +347,24 @@ def _sorted_out(length: int, memory: int = suffix_sort.MEMORY):
         shard = None
         for batch in batches:
             for _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shard = shard or _Shard()
+                shard = shard or _Shard(length)
                 shard.add(*row)
         if shard:
-            yield from one(shard)
+            shard = shard.trimmed()
+            if shard.docs:
+                yield from one(shard)
 
     return run
 
 
 def _removed(batches):
-    """n_bytes, n_removed, n_spans, kept_sha256 and the spans from rows (doc, text, spans)."""
+    """n_bytes, n_removed, n_spans, kept_sha256 and the spans from rows (doc, text, spans); null spans are none."""
     for batch in batches:
         out = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             merged: list[list[int]] = []
-            for s in sorted((x["begin"], x["end"]) for x in spans):
+            for s in sorted((x["begin"], x["end"]) for x in spans or ()):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -355,18 +401,16 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def cut(edges: DataFrame) -> DataFrame:
         wanted = stored(edges.groupBy("doc").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "begin", "end")).alias("wanted")))  # at most one text's blocks in a row
-        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        ids = wanted.select("doc")
-        texts = long_.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-        return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "key long, doc long, begin int, raw binary")
+        return _among(wanted, long_, "left_semi").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "key long, doc long, begin int, raw binary")
 
     def sorted_out(rows: DataFrame, shards: int) -> DataFrame:
         return rows.repartition(shards, "key").sortWithinPartitions("doc", "begin").mapInArrow(_sorted_out(length), "doc long, begin int, end int")
 
     if not hot.head(1):
         return spans.union(sorted_out(cut(edges), shards))
-    spans = spans.union(sorted_out(cut(edges.join(F.broadcast(hot), "anchor", "left_anti")), shards))
-    rows = cut(edges.join(F.broadcast(hot), "anchor", "left_semi")).select("doc", "begin", "raw")
+    hot, cold = hot.withColumnRenamed("anchor", "key"), stored(cut(edges))  # texts are read once for both
+    rows = cold.join(F.broadcast(hot), "key", "left_semi").select("doc", "begin", "raw")
+    spans = spans.union(sorted_out(cold.join(F.broadcast(hot), "key", "left_anti"), shards))
     for step in ((length - gram) // 8 + 1, 1):
         parts = stored(rows.mapInArrow(_split(length, gram, step), "kind int, key long, doc long, begin int, end int, raw binary"))
         spans = spans.union(parts.filter("kind = 0").select("doc", "begin", "end"))
@@ -381,6 +425,17 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return spans
 
 
+def _among(found: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows whose doc is one of found's (how: left_semi) or is not (left_anti). Of more than BROADCAST_IDS a table of bits, by hash, is sent instead of the ids: then some others count as found's too, the same ones for both."""
+    ids, n = found.select("doc"), found.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), "doc", how)
+    h = F.xxhash64("doc")
+    word, bit = F.pmod(h, F.lit(max(1, min(BROADCAST_IDS, n // 8)))), F.shiftrightunsigned(h, 58).cast("int")
+    bits = ids.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("__word")) & (F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1), how)
+
+
 def _shards(rows: DataFrame, size: Column) -> int:
     """How many shards rows of such sizes fill; 0 if there are none."""
     total = rows.agg(F.sum(size)).first()[0]
@@ -398,14 +453,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 
 def _applied(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    few = spans.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = spans.select(F.col("doc").alias("doc_id"))
-    ids = F.broadcast(ids) if few else ids
-    hit = rows.join(ids, "doc_id", "left_semi").join(spans, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans")
+    rows = rows.withColumnRenamed("doc_id", "doc")
+    hit = _among(spans, rows, "left_semi").join(spans, "doc", "left").select("doc", "text", "spans")
     hit = hit.mapInArrow(_removed, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>").withColumnRenamed("doc", "doc_id")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rest = rows.join(ids, "doc_id", "left_anti").select(
-        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), F.array().cast("array<array<int>>").alias("spans")
+    rest = _among(spans, rows, "left_anti").select(
+        F.col("doc").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), F.array().cast("array<array<int>>").alias("spans")
     )
     return hit.unionByName(rest)
 

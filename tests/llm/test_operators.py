@@ -284,6 +284,44 @@ def test_repeats_of_few_letters(spark, monkeypatch):
     assert {x.doc_id: tuple(x)[1:] for x in out} == brute_repeats(rows, 20)
 
 
+def test_repeats_in_many_documents(spark, monkeypatch):
+    # More documents with repeats than ids are broadcast: no join deals all texts out.
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", 40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = np.random.default_rng(5)
+        text = lambda n: "".join(r.choice(list("abcdefgh ")) for _ in range(n))
+        shared = [text(180) for _ in range(30)]
+        rows = [(i, text(40) + shared[i % 30] + text(60) if i % 5 == 0 else text(250)) for i in range(500)]
+        out = repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("spans")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {x.doc_id: tuple(x)[1:] for x in out.collect()} == brute_repeats(rows, 100)
+        assert plan.count("BroadcastHashJoin") >= 2 and not re.search(r"SortMergeJoin[^\n]*Left(Semi|Anti)", plan)
+        df, found = spark.createDataFrame(rows, "doc long, text string"), spark.createDataFrame([(i,) for i in range(0, 500, 5)], "doc long")
+        some, others = ({x.doc for x in repeats._among(found, df, how).collect()} for how in ("left_semi", "left_anti"))
+        assert set(range(0, 500, 5)) <= some and len(some) < 250 and some | others == set(range(500)) and not some & others
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeats_sorts_what_may_repeat(monkeypatch):
+    import pyarrow as pa
+
+    sizes, whole = [], suffix_sort.suffix_array
+    monkeypatch.setattr(suffix_sort, "suffix_array", lambda t, memory: sizes.append(len(t)) or whole(t, memory))
+    r = np.random.default_rng(6)
+    text = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    shared = text(150)
+    raws = [text(130) for _ in range(40)] + [text(200) + shared, shared + text(90), text(99)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 43, pa.int64()), pa.array(range(43), pa.int64()), pa.array(range(7, 50), pa.int32()), pa.array(raws, pa.binary())], ["key", "doc", "begin", "raw"])
+    assert [tuple(x.values()) for b in repeats._sorted_out(100)([batch]) for x in b.to_pylist()] == [(41, 48, 198)]
+    assert sizes == [2 * 151 + 1]
+    monkeypatch.setattr(repeats, "TRIM_WINDOWS", 100)
+    assert [tuple(x.values()) for b in repeats._sorted_out(100)([batch]) for x in b.to_pylist()] == [(41, 48, 198)]
+    assert sizes[1:] == [sum(len(x) + 1 for x in raws) + 1]
+
+
 def test_importance(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = importance.op5(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
