@@ -20,7 +20,7 @@ Tables, all written to the shared folder:
 
 Each distinct trigram of a batch is one question, dealt to its partition; the partition first counts all questions (by their training occurrences), then answers them from
 its table: the trigram's count and its context's, or, where it was not seen, backoff(a,b), c(b,w) and c(b). Batches meet their answers and evaluate the
-recursion for every token. Questions travel as at most one row a batch and GROUP partitions, answers as one a batch and partition.
+recursion for every token. Questions travel as at most one row a batch and GROUP partitions, answers as one a batch and partition; the former in COUNT_ROUNDS, the latter in ROUNDS.
 
 A word with more tokens than a partition should hold is split by the word before it, a pair with as many by the word after it too. What such a word's parts know in
 common only (c(b), c(b,w), and for such pairs their context's sums) is added up by key and joined back. Words and pairs are found by counting, in whole batches.
@@ -54,6 +54,8 @@ END, BOS = np.uint64(1), np.uint64(2)
 BATCH_TOKENS = 2_200_000
 #: Batches are evaluated in so many rounds, one after another, so that a round's shuffle takes little room.
 ROUNDS = 4
+#: Groups of partitions are counted in so many rounds, for the same reason; each round reads the streams anew.
+COUNT_ROUNDS = 2
 #: Weights of answers travel as whole numbers of this unit (7e-12).
 UNIT = 2.0**-37
 #: Bytes of text whose tokens a partition of the tables should hold.
@@ -343,8 +345,8 @@ def _streamed(share: float):
     return run
 
 
-def _dealt(deal: Deal, keys: list[int]):
-    """Each batch's questions, by group of partitions."""
+def _dealt(deal: Deal, keys: dict[int, int]):
+    """Each batch's questions to the groups of partitions that have a key, by group."""
 
     def run(batches):
         for batch in batches:
@@ -354,7 +356,10 @@ def _dealt(deal: Deal, keys: list[int]):
                 times = np.bincount(back, b.train[b.doc], len(t)).astype(np.int32)
                 del b, back
                 group = part // GROUP
-                order = np.argsort(group, kind="stable")
+                wanted = np.zeros(deal.groups, bool)
+                wanted[list(keys)] = True
+                order = np.flatnonzero(wanted[group])
+                order = order[np.argsort(group[order], kind="stable")]
                 cut = np.searchsorted(group[order], np.arange(deal.groups + 1))
                 some = np.flatnonzero(np.diff(cut))
                 for i in range(0, len(some), 8):
@@ -431,7 +436,7 @@ _PAIRS = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("n", pa.int6
 _TRIPLES = pa.list_(pa.struct([("a", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("n", pa.int64())]))
 
 
-def _counted(deal: Deal, keys: list[int]):
+def _counted(deal: Deal, keys: dict[int, int]):
     """Each partition's table with the batches' questions as places in it, from rows (dest, batch, payload). pairs, hot: of split words, what their partitions know in part."""
 
     def one(part: int, words: np.ndarray, messages: list[tuple]) -> pa.RecordBatch | None:
@@ -474,8 +479,9 @@ def _counted(deal: Deal, keys: list[int]):
         )
 
     def run(batches):
+        groups = {key: group for group, key in keys.items()}
         for key, rows in _groups(batches):
-            group, messages, hashes = keys.index(key), [], []
+            group, messages, hashes = groups[key], [], []
             while rows:
                 batch, payload = rows.pop(0)
                 t, n = Trigrams.unpack(payload)
@@ -712,9 +718,13 @@ def model(docs: DataFrame) -> Model:
     parts = max(4, -(-size // PART_BYTES))
     streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM), "none")
     deal = _frequent(streams, parts)
-    keys = partition_keys(docs.sparkSession, deal.groups)
-    dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal, keys), "dest int, batch long, payload binary").repartition(deal.groups, "dest").sortWithinPartitions("dest", "batch")
-    counts = stored(dealt.mapInArrow(_counted(deal, keys), _COUNTED), "none")
+    counts = []
+    for k in range(min(COUNT_ROUNDS, deal.groups)):
+        groups = range(k, deal.groups, COUNT_ROUNDS)
+        keys = dict(zip(groups, partition_keys(docs.sparkSession, len(groups)), strict=True))
+        dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal, keys), "dest int, batch long, payload binary").repartition(len(groups), "dest").sortWithinPartitions("dest", "batch")
+        counts.append(stored(dealt.mapInArrow(_counted(deal, keys), _COUNTED), "none"))
+    counts = reduce(DataFrame.union, counts)
 
     some = len(deal.split_words) > 0
     partial = counts.select("part", F.explode("pairs").alias("x")).select("part", "x.h", "x.w", "x.n")

@@ -439,6 +439,25 @@ def test_katz_splits_hot_words(spark, monkeypatch, hot):
     check_katz(rows, katz.evaluated(m).collect())
 
 
+def test_katz_counts_in_rounds(docs, pandas_docs, monkeypatch):
+    # No shuffle holds the questions to all partitions at once.
+    monkeypatch.setattr(katz, "PART_BYTES", 10_000)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 20_000)
+    tables, one = [], katz.stored
+
+    def noted(df, *compression):
+        out = one(df, *compression)
+        if "asks" in df.columns:
+            tables.append({r.part for r in out.select("part").collect()})
+        return out
+
+    monkeypatch.setattr(katz, "stored", noted)
+    m = katz.model(docs)
+    assert len(tables) == katz.COUNT_ROUNDS > 1 and sum(map(len, tables)) == len(set().union(*tables))
+    assert m.deal.groups > 4 and max(map(len, tables)) < 0.7 * sum(map(len, tables))
+    check_katz(list(zip(pandas_docs.doc_id.tolist(), pandas_docs.text, strict=True)), katz.evaluated(m).collect())
+
+
 def test_katz_tables(spark, docs, pandas_docs):
     # The stored tables hold the model: distributions from them sum to one.
     m = katz.model(docs)
