@@ -31,6 +31,21 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+@contextlib.contextmanager
+def held(most: int) -> Iterator[None]:
+    """Keep up to so many freed bytes for the arrays to come, where pages would else be given back and asked for again at every step."""
+    if _LIBC:
+        _LIBC.mallopt(-1, most)
+        _LIBC.mallopt(-3, 32 << 20)
+    try:
+        yield
+    finally:
+        if _LIBC:
+            _LIBC.mallopt(-1, 128 << 10)
+            _LIBC.mallopt(-3, 4 << 20)
+        release()
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)

@@ -39,6 +39,8 @@ INNER = 5
 TRIGRAM = 3
 THRESHOLD = 0.3
 EPOCHS, RATE, VECTOR_RATE, BATCH = 5, 0.01, 0.05, 768
+#: Bytes that training and scoring keep between steps.
+HELD_BYTES = 128 << 20
 #: Sharpness of the soft maximum over a document's windows.
 SHARP = 3.0
 N_ODDS = 7
@@ -90,18 +92,21 @@ class Tables:
         self.odds = np.stack([_odds(self.seen[k, 1], self.seen[k, 0], self.prior) for k in range(3)]).astype(np.float32)
         self.any = (self.seen.sum(1) > 0).astype(np.float32)
 
-    def inputs(self, kinds, size: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """(spans, N_ODDS). own: label of each span's training document, which is left out."""
+    def without(self, label: int) -> Tables:
+        """For the words of a training document of this label, which is left out."""
+        out = Tables()
+        out.seen = np.maximum(self.seen - np.array([label == 0, label == 1], np.int32)[:, None], 0)
+        out.docs = self.docs
+        out.finish()
+        return out
+
+    def inputs(self, kinds, size: np.ndarray) -> np.ndarray:
+        """(spans, N_ODDS)"""
         n = len(size)
         out = np.zeros((n, N_ODDS), np.float32)
         for k, (owner, bucket) in enumerate(kinds):
             bucket = bucket.astype(np.int64)
-            if own is None:
-                odds, known = self.odds[k, bucket], self.any[k, bucket]
-            else:
-                y = own[owner]
-                p, q = self.seen[k, 1, bucket] - y, self.seen[k, 0, bucket] - (1 - y)
-                odds, known = _odds(p, q, self.prior).astype(np.float32), (p + q > 0).astype(np.float32)
+            odds, known = self.odds[k, bucket], self.any[k, bucket]
             if k == 0:
                 out[:, 0], out[:, 1] = odds, known
             elif len(owner):
@@ -133,7 +138,8 @@ class Network:
         """(words, N_INPUTS): rows of the word vectors, character trigrams gram[first[i] : first[i + 1]] (one at least), inputs from the tables."""
         if not len(word):
             return np.zeros((0, N_INPUTS), odds.dtype)
-        chars = np.add.reduceat(self.p["chars"][gram], first[:-1]) / np.diff(first)[:, None]
+        chars = np.add.reduceat(self.p["chars"][gram], first[:-1])
+        chars /= np.diff(first)[:, None]
         return np.concatenate([self.p["words"][word], chars, odds], 1)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -141,31 +147,38 @@ class Network:
         return x @ self.p["w"] + self.p["c"]
 
     def forward(self, proj: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of windows; at, mask: (steps, windows), rows of proj and whether there is a word."""
-        u, h, steps = self.p["u"], HIDDEN, len(at)
-        state = np.zeros((2, at.shape[1], h), proj.dtype)
-        hs, saved = np.empty((steps, at.shape[1], 2 * h), proj.dtype), []
-        for k in range(steps):
-            x = np.stack([proj[0][at[k]], proj[1][at[steps - 1 - k]]])
-            m = np.stack([mask[k], mask[steps - 1 - k]])[:, :, None]
-            hu = state @ u
-            zr = x[:, :, : 2 * h] + hu[:, :, : 2 * h]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            z, r = zr[:, :, :h], zr[:, :, h:]
-            n = np.tanh(x[:, :, 2 * h :] + r * hu[:, :, 2 * h :])
-            if keep:
-                saved.append((state, z, r, n, hu[:, :, 2 * h :], m))
-            state = state + m * (1 - z) * (n - state)
-            hs[k, :, :h], hs[steps - 1 - k, :, h:] = state[0], state[1]
-        e = np.tanh(hs @ self.p["a"] + self.p["ac"])
-        s = np.where(mask > 0, e @ self.p["v"], np.float32(-1e9))
+        """Logits of windows; at, mask: (steps, windows), rows of proj and whether there is a word. Windows are the last axis of all that is made, so that each operation runs along them."""
+        h, steps = HIDDEN, len(at)
+        # Gates are 1 / (1 + exp(-x)): their part of x comes with the sign changed.
+        sign = np.repeat(np.array([-1, 1], proj.dtype), [2 * h, h])
+        proj, u = proj * sign, np.ascontiguousarray((self.p["u"] * sign).transpose(0, 2, 1))
+        state = np.zeros((2, h, at.shape[1]), proj.dtype)
+        hs, saved = np.empty((steps, 2 * h, at.shape[1]), proj.dtype), []
+        x = np.empty((2, 3 * h, at.shape[1]), proj.dtype)
+        with np.errstate(over="ignore"):
+            for k in range(steps):
+                x[0], x[1] = proj[0].take(at[k], 0).T, proj[1].take(at[steps - 1 - k], 0).T
+                hu = u @ state
+                gate = x[:, : 2 * h] + hu[:, : 2 * h]
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                z, r, hun = gate[:, :h], gate[:, h:], hu[:, 2 * h :]
+                n = r * hun
+                n += x[:, 2 * h :]
+                np.tanh(n, out=n)
+                move = 1 - z
+                move *= mask[[k, steps - 1 - k]][:, None]
+                if keep:
+                    saved.append((state, z, r, n, hun, move))
+                state = state + move * (n - state)
+                hs[k, :h], hs[steps - 1 - k, h:] = state
+        e = np.tanh(self.p["a"].T @ hs + self.p["ac"][:, None])
+        s = np.where(mask > 0, self.p["v"] @ e, np.float32(-1e9))
         w = np.exp(s - s.max(0))
         w /= w.sum(0)
-        c = np.einsum("tn,tnh->nh", w, hs)
-        return c @ self.p["o"] + self.p["oc"][0], (hs, e, w, c, saved)
+        c = np.einsum("tn,thn->hn", w, hs)
+        return self.p["o"] @ c + self.p["oc"][0], (hs, e, w, c, saved)
 
     def gradients(self, b: dict) -> tuple[float, dict]:
         """Loss and its gradients on a batch of documents: word, gram, first, odds of its rows (inputs()), at and mask of its windows, doc of each window, y of each document."""
@@ -184,42 +197,42 @@ class Network:
         prob = _sigmoid(soft)
         loss = -np.mean(np.log(np.where(y > 0, prob, 1 - prob) + 1e-9))
         dl = ((prob - y) / len(y))[doc] * part / whole[doc]
-        g = {"o": c.T @ dl, "oc": dl.sum(keepdims=True)}
-        dc = dl[:, None] * p["o"]
-        dw = np.einsum("tnh,nh->tn", hs, dc)
+        g = {"o": c @ dl, "oc": dl.sum(keepdims=True)}
+        dc = p["o"][:, None] * dl
+        dw = np.einsum("thn,hn->tn", hs, dc)
         ds = w * (dw - (w * dw).sum(0))
-        dhs = w[:, :, None] * dc
-        g["v"] = np.einsum("tnh,tn->h", e, ds)
-        de = ds[:, :, None] * p["v"] * (1 - e * e)
-        g["a"], g["ac"] = np.einsum("tnh,tnk->hk", hs, de), de.sum((0, 1))
-        dhs += de @ p["a"].T
+        dhs = w[:, None] * dc
+        g["v"] = (e @ ds[:, :, None]).sum((0, 2))
+        de = ds[:, None] * p["v"][:, None] * (1 - e * e)
+        g["a"], g["ac"] = (hs @ de.transpose(0, 2, 1)).sum(0), de.sum((0, 2))
+        dhs += p["a"] @ de
         carry, gu = np.zeros_like(saved[0][0]), np.zeros_like(p["u"])
-        dx = np.zeros((2, steps, at.shape[1], 3 * h), proj.dtype)
+        dx = np.empty((2, 3 * h, *at.shape), proj.dtype)
         for k in range(steps - 1, -1, -1):
-            state, z, r, n, hun, m = saved[k]
-            dh = np.stack([dhs[k, :, :h], dhs[steps - 1 - k, :, h:]]) + carry
-            dn = dh * m * (1 - z) * (1 - n * n)
-            dz = dh * m * (state - n) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
-            d = np.concatenate([dz, dr, dn], 2)
-            dx[0, k], dx[1, steps - 1 - k] = d[0], d[1]
-            dhu = np.concatenate([dz, dr, dn * r], 2)
-            gu += state.transpose(0, 2, 1) @ dhu
-            carry = dh * (1 - m * (1 - z)) + dhu @ p["u"].transpose(0, 2, 1)
+            state, z, r, n, hun, move = saved[k]
+            dh = carry
+            dh[0] += dhs[k, :h]
+            dh[1] += dhs[steps - 1 - k, h:]
+            moved = dh * move
+            dn = moved * (1 - n * n)
+            d = np.empty((2, 3 * h, at.shape[1]), proj.dtype)
+            np.multiply(moved * (state - n), z, out=d[:, :h])
+            np.multiply(dn * hun, r * (1 - r), out=d[:, h : 2 * h])
+            d[:, 2 * h :] = dn
+            dx[0, :, k], dx[1, :, steps - 1 - k] = d
+            d[:, 2 * h :] *= r
+            gu += state @ d.transpose(0, 2, 1)
+            carry = dh - moved + p["u"] @ d
         g["u"] = gu
         # Back from windows to rows, from rows to inputs.
-        flat = at.ravel()
-        order = np.argsort(flat, kind="stable")
-        begin = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-        dproj = np.zeros_like(proj)
-        for k in range(2):
-            dproj[k, flat[order][begin]] = np.add.reduceat(dx[k].reshape(-1, 3 * h)[order], begin)
-        g["c"] = dproj.sum(1, keepdims=True)
-        g["w"] = x.T @ dproj
-        din = (dproj @ p["w"].transpose(0, 2, 1)).sum(0)
-        g["words"] = _rows(b["word"], din[:, :EMBED])
+        flat, rows = at.ravel(), len(x)
+        dproj = np.array([[np.bincount(flat, y.ravel(), rows) for y in side] for side in dx]).astype(proj.dtype)
+        g["c"] = dproj.sum(2)[:, None]
+        g["w"] = x.T @ dproj.transpose(0, 2, 1)
+        din = (p["w"] @ dproj).sum(0)
+        g["words"] = _rows(b["word"], din[:EMBED])
         size = np.diff(b["first"])
-        g["chars"] = _rows(b["gram"], np.repeat(din[:, EMBED : 2 * EMBED] / size[:, None], size, 0))
+        g["chars"] = _rows(b["gram"], (din[EMBED : 2 * EMBED] / size)[:, np.repeat(np.arange(rows), size)])
         return loss, g
 
     def fit(self, batches, epochs: int, steps: int) -> None:
@@ -246,10 +259,9 @@ class Network:
 
 
 def _rows(row: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their gradients)"""
-    order = np.argsort(row, kind="stable")
-    begin = np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))
-    return row[order][begin], np.add.reduceat(d[order], begin)
+    """(distinct rows, sums of their gradients); d: a column a row."""
+    some = np.flatnonzero(np.bincount(row))
+    return some, np.stack([np.bincount(row, x)[some] for x in d], 1)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,6 +308,7 @@ def train(rows: list[tuple[str | None, int]]) -> bytes:
     for w, y, prefix in chunks:
         tables.add(_buckets(w.data, prefix, w.start, w.end), w.text, y)
     tables.finish()
+    left = [tables.without(k) for k in (0, 1)]
     # All words of all chunks, each once for either label: the tables leave a document's own label out.
     hashes, odds, grams, at, mask, label, sizes = [], [], [], [], [], [], []
     held: dict[int, np.ndarray] = {}
@@ -304,7 +317,8 @@ def train(rows: list[tuple[str | None, int]]) -> bytes:
         shift = sum(len(h) for h in hashes)
         size = (w.end - w.start)[one]
         hashes.append(w.hashes[one])
-        odds.append([tables.inputs(_buckets(w.data, prefix, w.start[one], w.end[one]), size, np.full(len(one), k)) for k in (0, 1)])
+        kinds = list(_buckets(w.data, prefix, w.start[one], w.end[one]))
+        odds.append([left[k].inputs(kinds, size) for k in (0, 1)])
         grams.append(trigrams(prefix, w.start[one], w.end[one]))
         doc, step, m = windows(w.first)
         at.append(shift + back[step])
@@ -321,6 +335,7 @@ def train(rows: list[tuple[str | None, int]]) -> bytes:
     known = h[np.bincount(which, np.bincount(np.concatenate(list(held.values())), minlength=len(hashes)), len(h)) >= MIN_DOCS]
     word = word_rows(hashes, known)
     begin = np.cumsum(sizes) - sizes
+    place = np.zeros(2 * len(hashes), np.int32)  # of a word with a label among those of a batch
 
     def batches(_: int):
         order = r.permutation(len(label))
@@ -328,12 +343,17 @@ def train(rows: list[tuple[str | None, int]]) -> bytes:
         for docs in np.split(order, np.flatnonzero(np.diff(upto // BATCH)) + 1):
             win = np.concatenate([np.arange(begin[d], begin[d] + sizes[d]) for d in docs])
             doc = np.repeat(np.arange(len(docs)), sizes[docs])
-            key, back = np.unique(at[win] * 2 + label[docs][doc][:, None], return_inverse=True)
+            asked = (at[win] * 2 + label[docs][doc][:, None]).T
+            place[asked] = 1
+            key = np.flatnonzero(place)
+            place[key] = np.arange(len(key), dtype=np.int32)
+            back = place[asked]
+            place[key] = 0
             row, y = key >> 1, key & 1
             n = first[row + 1] - first[row]
             inside = np.append(0, np.cumsum(n))
             some = np.arange(inside[-1]) - np.repeat(inside[:-1], n) + np.repeat(first[row], n)
-            yield {"word": word[row], "gram": gram[some], "first": inside, "odds": np.where(y[:, None] > 0, odds[1][row], odds[0][row]), "at": back.reshape(len(win), WINDOW).T, "mask": mask[win].T, "doc": doc, "y": label[docs].astype(np.float32)}
+            yield {"word": word[row], "gram": gram[some], "first": inside, "odds": np.where(y[:, None] > 0, odds[1][row], odds[0][row]), "at": back, "mask": np.ascontiguousarray(mask[win].T), "doc": doc, "y": label[docs].astype(np.float32)}
 
     net = Network()
     per = max(1, -(-int(sizes.sum()) // BATCH))
@@ -368,14 +388,17 @@ class Scorer:
 
 def _trained(batches):
     rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([train(rows)], pa.binary())], ["model"])
+    with textvec.held(HELD_BYTES):
+        model = train(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def _scored(shared):
     def run(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            score = [np.zeros(len(w.rows)) if scorer is None else scorer.scores(w) for w in textvec.words(((None, t) for t in batch.column(1).to_pylist()), limit=2 << 20)]
+            with textvec.held(HELD_BYTES):
+                score = [np.zeros(len(w.rows)) if scorer is None else scorer.scores(w) for w in textvec.words(((None, t) for t in batch.column(1).to_pylist()), limit=2 << 20)]
             if score:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(score), 0, 1))], ["doc_id", "score"])
 

@@ -583,6 +583,30 @@ def test_network_gradients():
             assert abs((up - down) / 2 / step - g[k][i]) < 1e-6, k
 
 
+def test_network_runs_in_single_precision():
+    r, net = np.random.default_rng(1), toxicity.Network()
+    odds = r.normal(size=(4, toxicity.N_ODDS)).astype(np.float32)
+    b = {"word": np.array([3, 0, 7, 3]), "gram": np.array([1, 2, 3, 2, 5, 9]), "first": np.array([0, 2, 3, 5, 6]), "odds": odds, "at": r.integers(0, 4, (7, 6)), "mask": np.ones((7, 6), np.float32), "doc": np.array([0, 0, 1, 2, 2, 2]), "y": np.array([0, 1, 1], np.float32)}
+    proj = net.projected(net.inputs(b["word"], b["gram"], b["first"], odds))
+    logit, _ = net.forward(proj, b["at"], b["mask"])
+    assert proj.dtype == logit.dtype == np.float32
+    _, g = net.gradients(b)
+    assert all(g[k].dtype == np.float32 for k in ("w", "c", "u", "a", "ac", "v", "o", "oc"))
+
+
+def test_toxicity_tables_leave_a_document_out():
+    r, tables = np.random.default_rng(2), toxicity.Tables()
+    tables.seen[:, :, :50] = r.integers(0, 4, (3, 2, 50))
+    tables.docs[:] = 30, 10
+    tables.finish()
+    for label in (0, 1):
+        left = tables.without(label)
+        for k, b in ((k, b) for k in range(3) for b in range(50) if tables.seen[k, label, b]):
+            p, q = int(tables.seen[k, 1, b]) - label, int(tables.seen[k, 0, b]) - (1 - label)
+            rate = (p + toxicity.SHRINK * 0.25) / (p + q + toxicity.SHRINK)
+            assert abs(left.odds[k, b] - math.log(rate / (1 - rate)) - math.log(3)) < 1e-5 and left.any[k, b] == (p + q > 0)
+
+
 def plain_score(model, text):
     """The network as the docstring of toxicity.py tells it, one number at a time."""
     import io
