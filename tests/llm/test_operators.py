@@ -458,6 +458,29 @@ def test_katz_counts_in_rounds(docs, pandas_docs, monkeypatch):
     check_katz(list(zip(pandas_docs.doc_id.tolist(), pandas_docs.text, strict=True)), katz.evaluated(m).collect())
 
 
+def test_katz_distinct_values(monkeypatch):
+    """Places are sorted within the values' own words; only values that differ in nothing but bits that find no room are sorted by places."""
+    r, sorts, plain = np.random.default_rng(0), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    hashes, near = r.integers(0, 1 << 64, 5000, dtype=np.uint64), np.arange(3, dtype=np.uint64) | np.uint64(1 << 63)
+    for key, slow in ((np.zeros(0, np.int64), 0), (np.array([7]), 0), (r.integers(0, 1 << 36, 9999), 0), (r.integers(0, 50, 9999), 0), (r.choice(hashes, 30000), 0), (r.choice(near, 4000), 1), (np.append(r.choice(hashes, 99), near), 1)):
+        sorts.clear()
+        value, back = katz._unique(key)
+        assert len(sorts) == slow
+        want = np.unique(key, return_inverse=True)
+        assert value.dtype == key.dtype and value.tolist() == want[0].tolist() and back.tolist() == want[1].tolist()
+
+
+def test_katz_words_by_use():
+    r = np.random.default_rng(1)
+    for n in (0, 1, katz.TOP_WORDS, 9000):
+        words = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        used = r.integers(0, max(n, 1), 4 * n)
+        packed, code = katz._coded(words, used)
+        got, place = katz._placed(packed)
+        assert got.tolist() == words.tolist() and place[code].tolist() == list(range(n))
+
+
 def test_katz_tables(spark, docs, pandas_docs):
     # The stored tables hold the model: distributions from them sum to one.
     m = katz.model(docs)
