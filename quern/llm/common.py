@@ -52,9 +52,10 @@ def hash_sample(df: DataFrame, total: int, wanted: int, *columns: str) -> DataFr
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy", group: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors. compression: "none" for columns that are compressed already; the
-    codecs keep buffers of a page's size outside the heap, which large values make large."""
+    codecs keep buffers of a page's size outside the heap, which large values make large. group: bytes of a row group, for large values; writers and readers hold one at a time, which
+    else is 128 MB, and a page has a hundred values at least."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     for scope in _scopes:
@@ -62,7 +63,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path, compression=compression)
+        df.write.options(**({} if group is None else {"parquet.block.size": group, "parquet.page.size.row.check.min": 1})).parquet(path, compression=compression)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

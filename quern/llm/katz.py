@@ -20,7 +20,7 @@ Tables, all written to the shared folder:
 
 Each distinct trigram of a batch is one question, dealt to its partition; the partition first counts all questions (by their training occurrences), then answers them from
 its table: the trigram's count and its context's, or, where it was not seen, backoff(a,b), c(b,w) and c(b). Batches meet their answers and evaluate the
-recursion for every token. Questions travel as at most one row a batch and GROUP partitions, answers as one a batch and partition; the former in COUNT_ROUNDS, the latter in ROUNDS.
+recursion for every token. Questions travel as at most one message a batch and GROUP partitions, in rows of PIECE bytes, answers as one row a batch and partition; the former in COUNT_ROUNDS, the latter in ROUNDS.
 
 A word with more tokens than a partition should hold is split by the word before it, a pair with as many by the word after it too. What such a word's parts know in
 common only (c(b), c(b,w), and for such pairs their context's sums) is added up by key and joined back. Words and pairs are found by counting, in whole batches.
@@ -37,6 +37,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,12 @@ PART_BYTES = 4 << 20
 UNIT_PARTS = 4
 #: Freed bytes that are kept while a batch is dealt.
 DEALING_BYTES = 32 << 20
+#: Rows that are worked on at a time where arrays as long as a batch would else be made on the way.
+STEP = 1 << 18
+#: Bytes of a message that travel in one row: twice as many are under half a region of the JVM's heap, which larger arrays would fill with whole regions.
+PIECE = 192 << 10
+#: Bytes of the stored tables' row groups.
+ROW_GROUP = 4 << 20
 #: Partitions that one task counts, one after another; questions are dealt to such groups, as they share words.
 GROUP = 12
 
@@ -167,31 +175,47 @@ def _joined(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _parted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of what _joined() took, with no more than 31 low bits; high in key's own place."""
+    low = key.astype(np.int32)
+    low &= (1 << bits) - 1
+    key >>= bits
+    return low, key
+
+
 def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the distinct values, ascending; which of them each is, as int32) of whole numbers from 0 on. Each value is sorted with its place in one word of 64 bits, several times faster than places
     by values; what does not fit are the value's lowest bits, and where values differ in these only, places are sorted by values."""
     if not len(key):
         return key, np.zeros(0, np.int32)
-    bits = np.uint64(max(1, (len(key) - 1).bit_length()))
+    size, kind = len(key), key.dtype
+    bits = np.uint64(max(1, (size - 1).bit_length()))
     lost = np.uint64(max(0, int(key.max()).bit_length() + int(bits) - 64))
     order = key.view(np.uint64) >> lost
+    if not lost:
+        del key
     order <<= bits
-    order |= np.arange(len(key), dtype=np.uint64)
+    for i in range(0, size, STEP):
+        order[i : i + STEP] |= np.arange(i, min(i + STEP, size), dtype=np.uint64)
     order.sort()
-    high = order >> bits
+    new = np.ones(size, bool)
+    for i in range(1, size, STEP):
+        new[i : i + STEP] = (order[i : i + STEP] ^ order[i - 1 : min(i - 1 + STEP, size - 1)]) >> bits != 0
+    value = None if lost else order[new] >> bits
     order &= (np.uint64(1) << bits) - np.uint64(1)
     order = order.view(np.int64)
-    new = np.ones(len(key), bool)
-    np.not_equal(high[1:], high[:-1], out=new[1:])
     if lost:
-        high = key[order]
-        if not np.array_equal(new[1:], high[1:] != high[:-1]):
+        value = key[order]
+        if not np.array_equal(new[1:], value[1:] != value[:-1]):
             order = np.argsort(key)
-            high = key[order]
-            np.not_equal(high[1:], high[:-1], out=new[1:])
-    back = np.empty(len(key), np.int32)
-    back[order] = np.cumsum(new, dtype=np.int32) - 1
-    return high[new].view(key.dtype), back
+            value = key[order]
+            np.not_equal(value[1:], value[:-1], out=new[1:])
+        value = value[new]
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    back = np.empty(size, np.int32)
+    back[order] = rank
+    return value.view(kind), back
 
 
 def _order(x: np.ndarray, upto: int) -> np.ndarray:
@@ -229,8 +253,10 @@ class Trigrams:
         bits = max(1, (len(words) - 1).bit_length())
         pair, at = _unique(_joined(b, w, bits))
         key, back = _unique(_joined(at, a, bits))
-        a, pair = (key & ((1 << bits) - 1)).astype(np.int32), pair[key >> bits]
-        return cls(words, a, (pair >> bits).astype(np.int32), (pair & ((1 << bits) - 1)).astype(np.int32)), back
+        del at
+        a, key = _parted(key, bits)
+        w, pair = _parted(pair[key], bits)
+        return cls(words, a, pair.astype(np.int32), w), back
 
     def __len__(self) -> int:
         return len(self.a)
@@ -300,12 +326,13 @@ class Deal:
         if len(self.hot):
             which = np.full(len(t.words), -1)
             which[np.isin(t.words, self.hot)] = np.searchsorted(self.hot, t.words[np.isin(t.words, self.hot)])
-            rows = np.flatnonzero(which[t.b] >= 0)
-            k, a = which[t.b[rows]], t.words[t.a[rows]]
-            by = textvec.mix(a + np.uint64(9))
-            more = np.isin(_pair(a, t.words[t.b[rows]]), self.pairs)
-            by = np.where(more, textvec.mix(by + t.words[t.w[rows]]), by)
-            out[rows] = self.first[k] + ((by >> np.uint64(11)) % self.units[k].astype(np.uint64)).astype(np.int64)
+            for i in range(0, len(t), STEP):
+                rows = i + np.flatnonzero(which[t.b[i : i + STEP]] >= 0)
+                k, a = which[t.b[rows]], t.words[t.a[rows]]
+                by = textvec.mix(a + np.uint64(9))
+                more = np.isin(_pair(a, t.words[t.b[rows]]), self.pairs)
+                by = np.where(more, textvec.mix(by + t.words[t.w[rows]]), by)
+                out[rows] = self.first[k] + ((by >> np.uint64(11)) % self.units[k].astype(np.uint64)).astype(np.int64)
         return out
 
 
@@ -332,7 +359,10 @@ def _streamed(share: float):
     """Rows of the streams; hot: words that are this share of a batch's tokens, with a null, and such pairs (a, h)."""
 
     def flush(number: int, ids: list, tokens: list, sizes: list) -> pa.RecordBatch:
-        b = Batch.of(ids, np.concatenate(tokens), np.concatenate(sizes))
+        hashes = np.concatenate(tokens)
+        tokens.clear()
+        b = Batch.of(ids, hashes, np.concatenate(sizes))
+        del hashes
         least = max(share * len(b.code), 2)
         before2, before = b.context()
         n = np.bincount(before, minlength=len(b.words))
@@ -368,8 +398,11 @@ def _streamed(share: float):
     return run
 
 
+_MESSAGES = "dest int, batch long, piece int, payload binary"
+
+
 def _dealt(deal: Deal, keys: dict[int, int]):
-    """Each batch's questions to the groups of partitions that have a key, by group."""
+    """Each batch's questions to the groups of partitions that have a key, by group, in pieces."""
 
     def run(batches):
         for batch in batches:
@@ -377,19 +410,26 @@ def _dealt(deal: Deal, keys: dict[int, int]):
                 with textvec.held(DEALING_BYTES):
                     b = Batch.unpack(payload)
                     t, part, back = b.questions(deal)
-                    times = np.bincount(back, b.train[b.doc], len(t)).astype(np.int32)
-                    del b, back
+                    times, doc = np.zeros(len(t), np.int32), b.doc
+                    for i in range(0, len(back), STEP):
+                        np.add.at(times, back[i : i + STEP], b.train[doc[i : i + STEP]].astype(np.int32))
+                    del b, back, doc
                     group = part // GROUP
+                    del part
                     wanted = np.zeros(deal.groups, bool)
                     wanted[list(keys)] = True
                     order = np.flatnonzero(wanted[group])
                     order = order[_order(group[order], deal.groups)]
                     cut = np.searchsorted(group[order], np.arange(deal.groups + 1))
                     some = np.flatnonzero(np.diff(cut))
-                    for i in range(0, len(some), 8):
-                        groups = some[i : i + 8]
-                        found = [t.take(order[cut[g] : cut[g + 1]]).pack(times[order[cut[g] : cut[g + 1]]]) for g in groups]
-                        yield pa.RecordBatch.from_arrays([pa.array([keys[g] for g in groups], pa.int32()), pa.array([number] * len(groups), pa.int64()), pa.array(found, pa.binary())], ["dest", "batch", "payload"])
+                    for g in some:
+                        mine = order[cut[g] : cut[g + 1]]
+                        message = t.take(mine).pack(times[mine])
+                        for i in range(0, len(message), 8 * PIECE):
+                            found = [message[j : j + PIECE] for j in range(i, min(i + 8 * PIECE, len(message)), PIECE)]
+                            n = len(found)
+                            piece = np.arange(i // PIECE, i // PIECE + n)
+                            yield pa.RecordBatch.from_arrays([pa.array([keys[g]] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(piece, pa.int32()), pa.array(found, pa.binary())], ["dest", "batch", "piece", "payload"])
 
     return run
 
@@ -408,6 +448,20 @@ def _groups(batches) -> Iterator[tuple]:
         yield now, held
 
 
+def _messages(batches) -> Iterator[tuple[int, int, bytes]]:
+    """(dest, batch, payload) from rows (dest, batch, piece, payload) in this order."""
+    now, held = None, []
+    for batch in batches:
+        for dest, number, _, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (dest, number) != now:
+                yield *now, b"".join(held)
+                held = []
+            now = dest, number
+            held.append(payload)
+    if held:
+        yield *now, b"".join(held)
+
+
 # Counts and constants
 
 
@@ -460,13 +514,13 @@ _TRIPLES = pa.list_(pa.struct([("a", pa.int64()), ("h", pa.int64()), ("w", pa.in
 
 
 def _counted(deal: Deal, keys: dict[int, int]):
-    """Each partition's table with the batches' questions as places in it, from rows (dest, batch, payload). pairs, hot: of split words, what their partitions know in part."""
+    """Each partition's table with the batches' questions as places in it, from rows (dest, batch, piece, payload). pairs, hot: of split words, what their partitions know in part."""
 
     def one(part: int, words: np.ndarray, messages: list[tuple]) -> pa.RecordBatch | None:
         numbers, got = [], []
-        for batch, abw, n, order, cut in messages:
-            mine = order[cut[part % GROUP] : cut[part % GROUP + 1]]
-            if len(mine):
+        for batch, abw, n, cut in messages:
+            mine = slice(cut[part % GROUP], cut[part % GROUP + 1])
+            if mine.start < mine.stop:
                 numbers.append(batch)
                 got.append((*(x[mine] for x in abw), n[mine]))
         if not got:
@@ -503,15 +557,16 @@ def _counted(deal: Deal, keys: dict[int, int]):
 
     def run(batches):
         groups = {key: group for group, key in keys.items()}
-        for key, rows in _groups(batches):
+        for key, rows in groupby(_messages(batches), itemgetter(0)):
             group, messages, hashes = groups[key], [], []
-            while rows:
-                batch, payload = rows.pop(0)
+            for _, batch, payload in rows:
                 t, n = Trigrams.unpack(payload)
                 place = (deal.parts_of(t) - group * GROUP).astype(np.uint8)
-                order = np.argsort(place, kind="stable").astype(np.int32)
-                messages.append((batch, (t.a, t.b, t.w), n.astype(np.int32), order, np.searchsorted(place[order], np.arange(GROUP + 1))))
+                order = np.argsort(place, kind="stable")
+                cut = np.searchsorted(place[order], np.arange(GROUP + 1))
+                messages.append((batch, tuple(x[order] for x in (t.a, t.b, t.w)), n[order].astype(np.min_scalar_type(int(n.max()))), cut))
                 hashes.append(t.words)
+                del t, n, place, order, payload
             words = np.concatenate(hashes)
             words.sort()
             words = words[_starts(words)]
@@ -525,7 +580,7 @@ def _counted(deal: Deal, keys: dict[int, int]):
                 textvec.release()
                 if row is not None:
                     yield row
-            del messages
+            del messages, abw, x
 
     return run
 
@@ -742,14 +797,14 @@ def model(docs: DataFrame) -> Model:
     docs = bounded_batches(docs, "2m").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
-    streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM), "none")
+    streams = stored(docs.mapInArrow(_streamed(0.125 / parts), _STREAM), "none", ROW_GROUP)
     deal = _frequent(streams, parts)
     counts = []
     for k in range(min(COUNT_ROUNDS, deal.groups)):
         groups = range(k, deal.groups, COUNT_ROUNDS)
         keys = dict(zip(groups, partition_keys(docs.sparkSession, len(groups)), strict=True))
-        dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal, keys), "dest int, batch long, payload binary").repartition(len(groups), "dest").sortWithinPartitions("dest", "batch")
-        counts.append(stored(dealt.mapInArrow(_counted(deal, keys), _COUNTED), "none"))
+        dealt = streams.select("batch", "payload").mapInArrow(_dealt(deal, keys), _MESSAGES).repartition(len(groups), "dest").sortWithinPartitions("dest", "batch", "piece")
+        counts.append(stored(dealt.mapInArrow(_counted(deal, keys), _COUNTED), "none", ROW_GROUP))
     counts = reduce(DataFrame.union, counts)
 
     some = len(deal.split_words) > 0
@@ -770,8 +825,11 @@ def model(docs: DataFrame) -> Model:
         below = np.array([known.split[r.h] for r in sums], np.int64)
         weight = weights([r.m for r in sums], np.array([r.s3 for r in sums]), below, np.array([r.s2 for r in sums]))
         contexts = {(r.a, r.h): (r.m, float(w)) for r, w in zip(sums, weight, strict=True)}
-        low = [(r.a, 0, 0.0, float(known.p(np.array([known.split[r.h]]))[0])) for r in sums if r.h != int(BOS)]
-        masses = masses.unionByName(docs.sparkSession.createDataFrame(low, masses.schema))
+        low = [r for r in sums if r.h != int(BOS)]
+        none, p = np.zeros(len(low)), known.p(np.array([known.split[r.h] for r in low], np.int64))
+        # A table of Arrow: rows as a list would start more Python workers, which stay.
+        low = pa.table([pa.array([r.a for r in low], pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.float64()), pa.array(p, pa.float64())], ["h", "n", "star", "low"])
+        masses = masses.unionByName(docs.sparkSession.createDataFrame(low))
     sums = masses.groupBy("h").agg(F.sum("n").alias("n"), F.sum("star").alias("star"), F.sum("low").alias("low")).filter("n > 0")
     backoff = stored(sums.select("h", "n", (F.log10((F.col("n") - F.col("star")) / F.col("n")) - F.log10(1 - F.col("low"))).alias("weight")))
 
@@ -784,7 +842,7 @@ def model(docs: DataFrame) -> Model:
         rows = rows.filter(~F.col("part").isin(split)).withColumn("totals", empty).unionByName(mine.select("part", "counts", "asks", "totals"))
     else:
         rows = rows.withColumn("totals", empty)
-    answers = stored(rows.mapInArrow(_answered(deal, known, contexts), _ANSWERED), "none")
+    answers = stored(rows.mapInArrow(_answered(deal, known, contexts), _ANSWERED), "none", ROW_GROUP)
     return Model(deal, known, streams, counts, answers, backoff)
 
 

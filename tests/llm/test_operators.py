@@ -4,10 +4,13 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,6 +484,60 @@ def test_katz_words_by_use():
         assert got.tolist() == words.tolist() and place[code].tolist() == list(range(n))
 
 
+def katz_batch(tokens, words, docs=50):
+    r = np.random.default_rng(3)
+    hashes = np.unique(r.integers(3, 1 << 64, words, dtype=np.uint64))
+    hashes = hashes[(len(hashes) * r.random(tokens) ** 3).astype(np.int64)]
+    hashes[tokens // docs - 1 :: tokens // docs] = katz.END
+    return katz.Batch.of(list(range(docs)), hashes, np.full(docs, tokens // docs))
+
+
+def test_katz_messages_in_pieces(monkeypatch):
+    # Rows of questions stay small, and come together again, in the order of their keys.
+    monkeypatch.setattr(katz, "PIECE", 1000)
+    monkeypatch.setattr(katz, "GROUP", 2)
+    b = katz_batch(20_000, 3000)
+    deal = katz.Deal.of(8, [(int(b.words[5]), 9.0)], [(int(b.words[5]), int(b.words[5]))])
+    keys = {g: 10 + g for g in range(deal.groups) if g != 1}
+    rows = [r for payload in (b.pack(), katz_batch(500, 90).pack()) for out in katz._dealt(deal, keys)([pa.record_batch([[7 if len(payload) > 9999 else 8], [payload]], ["batch", "payload"])]) for r in out.to_pylist()]
+    assert max(len(r["payload"]) for r in rows) == 1000 and max(r["piece"] for r in rows) > 8
+    rows.sort(key=lambda r: (r["dest"], r["batch"], r["piece"]))
+    t, part, back = b.questions(deal)
+    times, seen = np.bincount(back, b.train[b.doc], len(t)), 0
+    # Rows come by twos, so messages go over batches' ends.
+    for dest, batch, payload in katz._messages(pa.RecordBatch.from_pylist(rows[i : i + 2]) for i in range(0, len(rows), 2)):
+        got, n = katz.Trigrams.unpack(payload)
+        if batch == 7:
+            mine = np.flatnonzero(part // 2 == dest - 10)
+            for x in "abw":
+                assert got.words[getattr(got, x)].tolist() == t.words[getattr(t, x)[mine]].tolist()
+            assert n.tolist() == times[mine].tolist()
+        seen += 1
+    assert seen == len({(r["dest"], r["batch"]) for r in rows}) and list(katz._messages([])) == []
+
+
+def test_katz_deals_in_little_memory():
+    # A batch is dealt with at most so many bytes a token at once, besides the messages themselves; arrays of a batch's length are 4 or 8 each.
+    b = katz_batch(1_000_000, 60_000)
+    deal = katz.Deal.of(40, [(int(h), 3.0) for h in b.words[2:40]], [])
+    rows, keys = [pa.record_batch([[7], [b.pack()]], ["batch", "payload"])], {g: g for g in range(0, deal.groups, katz.COUNT_ROUNDS)}
+    tracemalloc.start()
+    for _ in katz._dealt(deal, keys)(rows):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 57 * len(b.code)
+
+
+def test_stored_row_groups(spark):
+    # Large values go into row groups of the size that is asked for, so that neither writers nor readers hold a file's values at once.
+    df = spark.range(0, 40, 1, 1).select("id", F.expr("cast(repeat(uuid(), 3000) as binary)").alias("payload"))
+    out = common.stored(df, "none", 1 << 20)
+    meta = [pq.read_metadata(f.removeprefix("file://")) for f in out.inputFiles()]
+    sizes = [m.row_group(k).total_byte_size for m in meta for k in range(m.num_row_groups)]
+    assert len(sizes) >= 4 and max(sizes) < 1.3 * (1 << 20) and out.count() == 40
+
+
 def test_katz_tables(spark, docs, pandas_docs):
     # The stored tables hold the model: distributions from them sum to one.
     m = katz.model(docs)
