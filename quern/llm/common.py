@@ -52,11 +52,18 @@ def hash_sample(df: DataFrame, total: int, wanted: int, *columns: str) -> DataFr
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, compression: str = "snappy", group: int | None = None) -> DataFrame:
+#: Rows of a few numbers that one task writes, where their number is known.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, compression: str = "snappy", group: int | None = None, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors. compression: "none" for columns that are compressed already; the
     codecs keep buffers of a page's size outside the heap, which large values make large. group: bytes of a row group, for large values; writers and readers hold one at a time, which
-    else is 128 MB, and a page has a hundred values at least."""
+    else is 128 MB, and a page has a hundred values at least. rows: at most so many, if that is known, of a few numbers each; few rows then take few tasks and files, whatever the
+    number of shuffle partitions."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     for scope in _scopes:
         scope.append(path)

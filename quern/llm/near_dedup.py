@@ -356,13 +356,15 @@ class Texts:
 def links(texts: Texts, n: int, percent: int, same: DataFrame) -> DataFrame:
     """(id, root) of the classes texts.reps (rep, doc, n_shingles, sig) that are linked, directly or not, with others; same: links (a, b) that hold anyway."""
     ends = texts.reps.select("rep", F.col("n_shingles").alias("n"), "sig")
+    total = texts.reps.count()
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: ends.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
         sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        near = stored(sized.mapInArrow(_close, "a long, b long").distinct())
+        most = pairs.count()
+        near = stored(sized.mapInArrow(_close, "a long, b long").distinct(), rows=most)
         blocks = near.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("blocks"))
-        dealt = stored(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("k"), "b"))
+        dealt = stored(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("k"), "b"), rows=most)
         found = texts.of(dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct())
         leaders = dealt.select("a", "k").distinct().join(found, F.col("id") == F.col("a")).select("a", "k", F.lit(None).cast("long").alias("b"), "text")
         rows = leaders.union(dealt.join(found, F.col("id") == F.col("b")).select("a", "k", "b", "text"))
@@ -372,9 +374,10 @@ def links(texts: Texts, n: int, percent: int, same: DataFrame) -> DataFrame:
     stars = stored(keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, a long, b long"))
     tried = stored(stars.filter(F.col("key").isNull()).groupBy("a", "b").agg(F.count("*").alias("shared")))
     # First each member with the leader it shares most entries with; then what pairs are left between components.
-    nearest = stored(tried.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("__m")).select((-F.col("__m.a")).alias("a"), "b"))
-    linked = stored(graph.components(verify(nearest).union(same)))
-    linked = _joined(linked, verify(_apart(tried.select("a", "b").join(nearest, ["a", "b"], "left_anti"), linked)))
+    nearest = stored(tried.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("__m")).select((-F.col("__m.a")).alias("a"), "b"), rows=total)
+    first = verify(nearest).union(same)
+    linked = stored(graph.components(first, rows=first.count()), rows=total)
+    linked = _joined(linked, verify(_apart(tried.select("a", "b").join(nearest, ["a", "b"], "left_anti"), linked)), total)
 
     # Buckets of three or more whose members are not all connected yet.
     members = stars.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("rep")).distinct()
@@ -383,7 +386,7 @@ def links(texts: Texts, n: int, percent: int, same: DataFrame) -> DataFrame:
     elements = stored(texts.of(members.select(F.col("rep").alias("id")).distinct()).mapInArrow(_elements(n), "rep long, h long"))
     common = None
     for _ in range(LEAVING_ROUNDS):
-        inside = stored(members.select("rep").distinct())
+        inside = stored(members.select("rep").distinct(), rows=total)
         before = inside.count()
         here = elements.join(inside, "rep", "left_semi")
         alone = here.groupBy("h").agg(F.count("*").alias("__c"), F.min("rep").alias("rep")).filter("__c = 1").groupBy("rep").agg(F.count("*").alias("__alone"))
@@ -401,14 +404,15 @@ def links(texts: Texts, n: int, percent: int, same: DataFrame) -> DataFrame:
     if not across.head(1):
         return linked
     # Documents in such pairs meet by regions of connected ones, once for each pair of blocks, not once for each pair.
-    region = graph.components(across.filter("others is null").select("a", F.col("root").alias("b")))
+    pairs = across.filter("others is null").select("a", F.col("root").alias("b"))
+    region = graph.components(pairs, rows=pairs.count())
     blocks = region.groupBy("root").agg(F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks"))
-    region = stored(region.join(blocks, "root").select("id", F.col("root").alias("region"), "blocks"))
+    region = stored(region.join(blocks, "root").select("id", F.col("root").alias("region"), "blocks"), rows=total)
     found = texts.of(region.select("id").distinct()).withColumn("others", F.lit(None).cast("array<long>"))
     lists = across.filter("others is not null").select(F.col("a").alias("id"), F.lit(None).cast("string").alias("text"), "others")
     rows = found.select("id", "text", "others").union(lists).join(region, "id").select("region", "blocks", "id", "text", "others")
     met = rows.mapInArrow(_to_blocks, _MET).repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", F.col("others").isNotNull(), "id")
-    return _joined(linked, stored(met.mapInArrow(_met(n, percent), "a long, b long").distinct()))
+    return _joined(linked, stored(met.mapInArrow(_met(n, percent), "a long, b long").distinct()), total)
 
 
 def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -429,11 +433,11 @@ def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     return stored(_rooted(pairs, linked).filter("ra <> rb").select("a", "b"))
 
 
-def _joined(linked: DataFrame, found: DataFrame) -> DataFrame:
-    """linked after the links found are added."""
-    tops = stored(graph.components(_rooted(found, linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+def _joined(linked: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """linked, at most total rows, after the links found (stored) are added."""
+    tops = stored(graph.components(_rooted(found, linked).select(F.col("ra").alias("a"), F.col("rb").alias("b")), rows=found.count()), rows=total)
     moved = linked.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return stored(moved.union(tops).groupBy("id").agg(F.min("root").alias("root")))
+    return stored(moved.union(tops).groupBy("id").agg(F.min("root").alias("root")), rows=total)
 
 
 def clusters(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -441,15 +445,16 @@ def clusters(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_signed(n), "doc_id long, n_shingles long, rep long, sig binary"))
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(full.groupBy("rep").agg(F.min("doc_id").alias("doc")))
+    total = signed.count()
+    classes = stored(full.groupBy("rep").agg(F.min("doc_id").alias("doc")), rows=total)
     reps = classes.join(full.select("rep", F.col("doc_id").alias("doc"), "n_shingles", "sig"), ["rep", "doc"]).dropDuplicates(["rep"])
     # Classes of one doc_id are linked; ends of stars, so no pairs are listed.
     several = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("__last")).filter(F.col("a") < F.col("__last"))
-    same = stored(full.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").filter(F.col("a") < F.col("b")).select("a", "b").distinct())
+    same = stored(full.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").filter(F.col("a") < F.col("b")).select("a", "b").distinct(), rows=total)
     linked = links(Texts(docs, stored(reps), n), n, percent, same)
     roots = classes.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rep", "doc", F.coalesce("root", "rep").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("__least"))
-    roots = stored(roots.join(least, "root").select("rep", "__least"))
+    roots = stored(roots.join(least, "root").select("rep", "__least"), rows=total)
     out = signed.select("doc_id", "n_shingles", "rep").join(roots, "rep", "left")
     root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__least")).otherwise(F.col("doc_id"))
     rows = out.select("doc_id", "n_shingles", root.alias("component_id"))

@@ -783,6 +783,37 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_of_few_edges_take_few_files_and_rounds(spark, monkeypatch):
+    files = []
+
+    def recorded(df, **options):
+        files.append(len((out := common.stored(df, **options)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "stored", recorded)
+    options = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    pairs = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)]
+    stars = [(i, i % 7) for i in range(7, 300)]
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = {x.id: x.root for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), rows=len(pairs)).collect()}
+        assert got == components_of(pairs) and max(files) == 1
+        # Edges of more than one task's rows still come out whole.
+        monkeypatch.setattr(common, "FILE_ROWS", 150)
+        files.clear()
+        got = {x.id: x.root for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), rows=len(pairs)).collect()}
+        assert got == components_of(pairs) and 1 < max(files) <= 6
+        # Stars are settled as they are: the first round shows it.
+        files.clear()
+        got = {x.id: x.root for x in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+        assert got == components_of(stars) and len(files) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def check_links(spark, rows, n):
     sets = {}
     for i, t in rows:
